@@ -1,0 +1,3 @@
+"""Registered queries; importing this package registers all of them."""
+
+from . import block_queries, colour_queries, stats_queries  # noqa: F401
