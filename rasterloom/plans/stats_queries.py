@@ -114,12 +114,12 @@ def f07(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("f08_block_histogram", """WITH r AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS len, l_returnflag AS symbol,
-  CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM lineitem)
+  CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM lineitem)
 SELECT (place // 16) // 4 AS ty, (place % 16) // 4 AS tx, symbol, count(*) AS n, CAST(sum(len) AS BIGINT) AS len FROM r GROUP BY 1, 2, 3""")
 def f08(spark: SparkSession, sf: str) -> DataFrame:
     """References (an order's lines, as long as their quantity) charged to the 4x4 tile, of a picture 16 wide, where they begin."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, -1)
-    r = grids.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("len"), F.col("l_returnflag").alias("symbol"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").rowsBetween(Window.unboundedPreceding, -1)
+    r = grids.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", F.col("l_quantity").cast("long").alias("len"), F.col("l_returnflag").alias("symbol"))
     r = r.withColumn("at", F.coalesce(F.sum("len").over(w), F.lit(0)))
     return r.groupBy(F.expr("(at div 16) div 4").alias("ty"), F.expr("(at % 16) div 4").alias("tx"), "symbol").agg(F.count("*").alias("n"), F.sum("len").alias("len"))
 
