@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import bpe, decontaminate, secret_scan, simhash, toxicity
-from rasterloom.llm.shared import scratch, table
+from rasterloom.llm.shared import scratch, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id; of rows with the same id and text one."""
-    groups = simhash.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id", F.col("fingerprint").alias("_fp")).distinct()
-    named = groups.filter(F.col("component_id").isNull() | (F.col("component_id") == F.col("_id"))).select("_id").distinct()
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    return simhash.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +28,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark; n_chars follows the text."""
     found = secret_scan.found(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.withColumn("_found", found)
-    rows = rows.withColumn("text", secret_scan.masked(F.col("text"), F.col("_found")))
+    spans = unused(docs, "spans")
+    rows = docs.withColumn(spans, found)
+    rows = rows.withColumn("text", secret_scan.masked(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(docs.columns)
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text
+from .shared import id_and_text, unused
 from .spans import word_text
 
 #: 1: the word counts; 0: it may be another one.
@@ -97,6 +97,7 @@ def assess(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    bad = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    mine = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_bad_hash"))
+    at, text_hash = unused(docs, "bad_id"), unused(docs, "bad_hash")
+    bad = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash)).distinct()
+    mine = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(at)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(text_hash))
     return docs.join(bad, mine, "left_anti")

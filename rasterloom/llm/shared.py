@@ -139,6 +139,14 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as df's columns leave."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id):
     """crc32 of the id written as text, mod 5."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

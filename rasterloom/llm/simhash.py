@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, id_and_text, kept
+from .shared import chunks, id_and_text, kept, unused
 
 RADIUS = 3
 SEGMENTS = 6
@@ -97,14 +97,15 @@ def fingerprints_of(column: pa.Array, shingle: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp (long, the fingerprint's 64 bits)."""
+    """doc_id, text_hash, fp (long, the fingerprint's 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints_of(b.column(1), shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = fingerprints_of(b.column(2), shingle)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _segment_masks(segments: int) -> list[int]:
@@ -208,12 +209,37 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()) if e is not None else spark.createDataFrame([], "node long, root long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
-    prints = kept(fingerprints(docs, id_col, text_col, shingle))
+def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, root (of its component), component_id (the component's smallest id) of fingerprints()."""
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(links(least.select("fp"), radius))
     grouped = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = grouped.join(named, "root").select("fp", "component_id")
+    return grouped.join(named, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
+    prints = kept(fingerprints(docs, id_col, text_col, shingle).select("doc_id", "fp"))
+    of = classes(prints, radius).select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """One row of docs for each component, with all its columns: that of the smallest id, or if all ids are null of the smallest hash.
+
+    Texts go through one shuffle at most; rows that repeat both id and text are told apart only where there are any.
+    """
+    prints = kept(fingerprints(docs, id_col, text_col, shingle))
+    of = classes(prints, radius).select("fp", "root")
+    first = prints.join(of, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
+    at, text_hash = unused(docs, "first_id"), unused(docs, "first_hash")
+    row_id, row_hash = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    same = row_id.eqNullSafe(F.col(at)) & (row_hash == F.col(text_hash))
+    out = docs.join(first.select(F.col("f.doc_id").alias(at), F.col("f.text_hash").alias(text_hash)), same, "left_semi")
+    repeated = kept(prints.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash)))
+    if repeated.isEmpty():
+        return out
+    key = unused(docs, "row_key")
+    twice = out.join(repeated, same, "left_semi").withColumn(key, F.struct(row_id, row_hash)).dropDuplicates([key]).drop(key)
+    return out.join(repeated, same, "left_anti").unionByName(twice)
