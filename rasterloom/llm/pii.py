@@ -4,7 +4,7 @@ Entities are found by patterns: e-mail addresses, IPv4 addresses, payment cards,
 identity numbers, and names behind a title. Each distinct entity of the corpus gets one
 surrogate, so mentions stay coreferent across documents:
 
-- digits become digits and letters become letters of the same script and case, in place;
+- digits become digits and letters become letters of the same script, in place; a mention in capitals gets capitals;
 - a card keeps its first digit, and its check digit stays as right or wrong as it was;
 - an address keeps each octet below 256; a phone keeps its country code; e-mail keeps the
   number of labels, and equal domains stay equal;
@@ -172,7 +172,8 @@ def surrogate(kind: Column, s: Column, attempt: int, key: str) -> Column:
 
 def assign(entities: DataFrame, key: str = KEY, attempts: int = ATTEMPTS) -> DataFrame:
     """kind, entity (canonical), surrogate, attempt: one row for each distinct (kind, entity); entities has kind, entity, form."""
-    known = kept(entities.groupBy("kind", "entity").agg(F.min("form").alias("form")))
+    form = F.when(F.col("kind") == "email", F.col("entity")).otherwise(F.min("form"))
+    known = kept(entities.groupBy("kind", "entity").agg(form.alias("form")))
     left, done = known, None
     for k in range(attempts):
         tried = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), k, key)).withColumn("to", canonical(F.col("surrogate")))
@@ -213,7 +214,9 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = each.select("doc_id", "text_hash", F.col("m.start").alias("start"), F.col("m.end").alias("end"), _kind(F.col("m.s")).alias("kind"), F.col("m.s").alias("form"), canonical(F.col("m.s")).alias("entity"))
     each = kept(each)
     mapped = assign(each.select("kind", "entity", "form"), key, attempts)
-    parts = each.join(mapped, ["kind", "entity"]).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("parts"))
+    shouted = (F.col("form") == F.upper("form")) & F.col("form").rlike("[A-Z]")
+    shown = F.when(shouted, F.upper("surrogate")).otherwise(F.col("surrogate")).alias("surrogate")
+    parts = each.join(mapped, ["kind", "entity"]).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", shown))).alias("parts"))
     a, b = with_ids.alias("a"), parts.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")))
     changed = joined.select("a.doc_id", _replaced(F.col("a.text"), F.col("b.parts")).alias("text"), F.col("b.parts").cast(none).alias("parts"))
