@@ -84,7 +84,8 @@ def _encoder(ranks_file: bytes, pattern: str):
     key = hash((ranks_file, pattern))
     if key not in _ENCODERS:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
-        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # with no special token at all the library looks for an empty one at each byte; texts never reach this one
+        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|pad|>": max(ranks.values()) + 1})
     return _ENCODERS[key]
 
 
