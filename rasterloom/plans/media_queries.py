@@ -142,3 +142,153 @@ def k10(spark: SparkSession, sf: str) -> DataFrame:
     """Decoding that stops after the first frame."""
     px = _unpacked(media.pixels(_clips(spark, sf), media.DecodeOptions(first_only=True)))
     return px.groupBy("file_id").agg(F.sum(F.shiftright("argb", 24)).alias("alpha_sum"))
+
+
+def _pictures(spark: SparkSession, sf: str) -> DataFrame:
+    """Four tiles beside each other, two by two, as the luma of a 16x16 picture; chroma from the first and last."""
+    t = grids.tiles(spark, sf).withColumn("picture_id", F.expr("vec_id div 4"))
+    return t.groupBy("picture_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "px"))).alias("tiles")).filter(F.size("tiles") == 4)  # four tiles at most
+
+
+def _planes(tiles: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    p = [np.array(t["px"], np.uint8).reshape(8, 8) for t in tiles]
+    return np.block([[p[0], p[1]], [p[2], p[3]]]), p[0], p[3]
+
+
+_PICTURES = "pc AS (SELECT vec_id // 4 AS picture_id FROM t GROUP BY 1 HAVING count(*) = 4)"
+
+
+@register("k11_lossy_decode", with_(TILES, _PICTURES) + "SELECT picture_id, quality, true AS exact, CAST(16 AS BIGINT) AS width, CAST(16 AS BIGINT) AS height FROM pc, (SELECT unnest([20, 75, 95]) AS quality)")
+def k11(spark: SparkSession, sf: str) -> DataFrame:
+    """Key frames at three qualities: what the decoder gives is what the encoder rebuilt, and is near the source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..operators import lossy
+
+        for b in batches:
+            for i, tiles in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                planes = _planes(tiles)
+                for quality in (20, 75, 95):
+                    data, rebuilt = lossy.Encoder(quality).encode(*planes)
+                    got = lossy.Decoder().decode(data)
+                    exact = all((a == c).all() for a, c in zip(got, rebuilt))
+                    yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in ((i, pa.int64()), (quality, pa.int32()), (exact, pa.bool_()), (got[0].shape[1], pa.int64()), (got[0].shape[0], pa.int64()))], names=["picture_id", "quality", "exact", "width", "height"])
+
+    return _pictures(spark, sf).mapInArrow(run, "picture_id long, quality int, exact boolean, width long, height long")
+
+
+@register("k02_coded_headers", with_(TILES, _PICTURES) + "SELECT picture_id, CAST(quality AS BIGINT) AS quality, CAST(greatest(0, least(127, trunc(127 * (1 - pow(CASE WHEN quality >= 75 THEN 2 * (quality / 100.0) - 1 ELSE (quality / 100.0) * 2 / 3 END, 1.0 / 3)) + 1e-9))) AS BIGINT) AS base FROM (SELECT picture_id, 20 + (picture_id * 7) % 80 AS quality FROM pc)")
+def k02(spark: SparkSession, sf: str) -> DataFrame:
+    """The quantizer index read from the arithmetic-coded part of a frame's header."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..operators import lossy
+        from ..operators.boolcoder import BoolReader
+
+        for b in batches:
+            found = []
+            for i, tiles in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                quality = 20 + i * 7 % 80
+                data = lossy.Encoder(quality, small_blocks=False).encode(*_planes(tiles))[0]
+                first = lossy.frame_tag(data)[3]
+                r = BoolReader(data[10 : 10 + first])
+                r.bits(2)
+                lossy.Decoder()._header(r)
+                r.bits(2)
+                found.append((i, quality, r.bits(7)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["picture_id", "quality", "base"])
+
+    return _pictures(spark, sf).mapInArrow(run, "picture_id long, quality long, base long")
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, bytes: the low byte of each of a text's first 64 code points."""
+    t = grids.table(spark, sf, "documents").filter(F.length("text") > 0)
+    return t.select("doc_id", F.transform(F.split(F.substring("text", 1, 64), ""), lambda c: F.ascii(c).bitwiseAND(255)).alias("bytes"))
+
+
+def _per_text(spark: SparkSession, sf: str, of) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = of(listed)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), i)), pa.array(np.arange(1, len(got) + 1)), pa.array(np.array(got, np.int64))], names=["doc_id", "i", "b"])
+
+    return _texts(spark, sf).mapInArrow(run, "doc_id long, i long, b long")
+
+
+_TX = with_(grids.TEXT_BYTES) + "SELECT doc_id, i, CAST(b AS BIGINT) AS b FROM tx"
+
+
+@register("k01_bool_round_trip", _TX)
+def k01(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes through the arithmetic coder, bit by bit, at probabilities that go by the place."""
+
+    def of(listed: list[int]) -> list[int]:
+        from ..operators.boolcoder import BoolReader, BoolWriter
+
+        odds = [1 + (37 * k) % 255 for k in range(8)]
+        w = BoolWriter()
+        for v in listed:
+            for k in range(8):
+                w.bit(v >> k & 1, odds[k])
+        r = BoolReader(w.bytes())
+        return [sum(r.bit(odds[k]) << k for k in range(8)) for _ in listed]
+
+    return _per_text(spark, sf, of)
+
+
+@register("g08_lazy_parse", _TX)
+def g08(spark: SparkSession, sf: str) -> DataFrame:
+    """Back references of a text taken as a picture 8 wide, expanded again."""
+
+    def of(listed: list[int]) -> list[int]:
+        from ..operators.lossless import matches
+
+        out: list[int] = []
+        for ref in matches(listed, 8):
+            if ref[0] == "v":
+                out.append(ref[1])
+            else:
+                for _ in range(ref[2]):
+                    out.append(out[-ref[1]])
+        return out
+
+    return _per_text(spark, sf, of)
+
+
+@register("k07_prefix_round_trip", _TX)
+def k07(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes through their own optimal prefix code, which is stored before them."""
+
+    def of(listed: list[int]) -> list[int]:
+        from ..operators.bits import BitReader, BitWriter
+        from ..operators.prefix import code_lengths, read_code, write_code
+
+        counts = [0] * 256
+        for v in listed:
+            counts[v] += 1
+        w = BitWriter()
+        codes = write_code(w, code_lengths(counts))
+        for v in listed:
+            w.write(*codes[v])
+        r = BitReader(w.bytes())
+        d = read_code(r, 256)
+        return [d.read(r) for _ in listed]
+
+    return _per_text(spark, sf, of)
+
+
+@register("i08_code_cost", None)
+def i08(spark: SparkSession, sf: str) -> DataFrame:
+    """Bits of each text under its optimal prefix code, as the mean of a byte times the bytes."""
+
+    def of(listed: list[int]) -> list[int]:
+        from ..operators.prefix import code_lengths
+
+        counts = [0] * 256
+        for v in listed:
+            counts[v] += 1
+        return [sum(n * c for n, c in zip(code_lengths(counts), counts))]
+
+    return _per_text(spark, sf, of).select("doc_id", F.col("b").alias("bits"))
