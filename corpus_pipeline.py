@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, decontaminate, secret_scan, simhash, toxicity
+from rasterloom.llm import bpe, decontaminate, near_copies, secret_scan, toxicity
 from rasterloom.llm.shared import scratch, table, unused
 
 
@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id; of rows with the same id and text one."""
-    return simhash.keep_first(docs)
+    """One document of each group of copies and near copies: the one with the smallest id; of rows with the same id and text one."""
+    return near_copies.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

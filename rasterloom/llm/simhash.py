@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, id_and_text, kept, unused
+from .shared import chunks, drop, id_and_text, kept, saved
 
 RADIUS = 3
 SEGMENTS = 6
@@ -51,16 +51,26 @@ def _ascii_lower() -> np.ndarray:
 LOWER = _ascii_lower()
 
 
-def _majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each group of hashes the 64 bits that are 1 in over half of them."""
-    out = np.zeros(len(bounds) - 1, np.uint64)
-    full = np.flatnonzero(np.diff(bounds) > 0)
+#: For each byte its eight bits, one to a byte of a 64-bit word, so that sums of up to 255 don't overflow.
+_SPREAD = np.array([sum((v >> j & 1) << 8 * j for j in range(8)) for v in range(256)], np.uint64)
+
+
+def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each group of hashes the 64 bits that are 1 in over half of them; 0 for an empty group."""
+    n = np.diff(bounds)
+    out, full = np.zeros(len(n), np.uint64), np.flatnonzero(n > 0)
     if not len(full):
         return out
-    at, n = bounds[full], np.diff(bounds)[full]
-    for bit in range(64):
-        ones = np.add.reduceat((hashes >> np.uint64(bit)) & np.uint64(1), at, dtype=np.int64)
-        out[full] |= (2 * ones > n).astype(np.uint64) << np.uint64(bit)
+    begin, size = bounds[full], n[full]
+    pieces = -(-size // 255)
+    first = np.concatenate([[0], np.cumsum(pieces)])[:-1]
+    starts = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    raw = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
+    ones = np.zeros((len(full), 64), bool)
+    for k in range(8):
+        sums = np.add.reduceat(_SPREAD[raw[:, k]], starts).view(np.uint8).reshape(-1, 8)
+        ones[:, 8 * k : 8 * k + 8] = 2 * np.add.reduceat(sums, first, axis=0, dtype=np.int64) > size[:, None]
+    out[full] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).reshape(-1)
     return out
 
 
@@ -92,20 +102,19 @@ def fingerprints_of(column: pa.Array, shingle: int = 3) -> np.ndarray:
         tail = np.where(per[which] >= shingle, lead + shingle - 1, first[which] + per[which] - 1)
         buffer = packed.tobytes()
         hashes = np.fromiter((digest(buffer[a:b], 42) for a, b in zip(begin[lead].tolist(), end[tail].tolist())), np.uint64, len(lead))
-        found.append(_majority(hashes, bounds))
+        found.append(majority(hashes, bounds))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, text_hash, fp (long, the fingerprint's 64 bits)."""
+    """doc_id, fp (long, the fingerprint's 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints_of(b.column(2), shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+            fp = fingerprints_of(b.column(1), shingle)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
 def _segment_masks(segments: int) -> list[int]:
@@ -190,7 +199,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round writes its links to the shared folder, so a lost executor costs that round at most.
     """
     spark = edges.sparkSession
-    e = kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    e, path = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -199,47 +208,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: smaller neighbours, and the node itself, are linked to the least
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b")
-        new = kept(small.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(small.select(F.col("m").alias("a"), "b")).filter("a < b").distinct())
+        new, new_path = saved(small.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(small.select(F.col("m").alias("a"), "b")).filter("a < b").distinct(), "links")
         same = new.count() == e.count() and new.join(e, ["a", "b"], "left_anti").isEmpty()
-        e = new
+        drop(spark, path)
+        e, path = new, new_path
         if same:
             break
     else:
         raise RuntimeError("the components didn't settle")
-    return e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()) if e is not None else spark.createDataFrame([], "node long, root long")
+    return e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp, root (of its component), component_id (the component's smallest id) of fingerprints()."""
+    """fp, component_id (the smallest id of its component) of fingerprints()."""
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(links(least.select("fp"), radius))
     grouped = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return grouped.join(named, "root").select("fp", "root", "component_id")
+    return grouped.join(named, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
-    prints = kept(fingerprints(docs, id_col, text_col, shingle).select("doc_id", "fp"))
-    of = classes(prints, radius).select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """One row of docs for each component, with all its columns: that of the smallest id, or if all ids are null of the smallest hash.
-
-    Texts go through one shuffle at most; rows that repeat both id and text are told apart only where there are any.
-    """
     prints = kept(fingerprints(docs, id_col, text_col, shingle))
-    of = classes(prints, radius).select("fp", "root")
-    first = prints.join(of, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
-    at, text_hash = unused(docs, "first_id"), unused(docs, "first_hash")
-    row_id, row_hash = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
-    same = row_id.eqNullSafe(F.col(at)) & (row_hash == F.col(text_hash))
-    out = docs.join(first.select(F.col("f.doc_id").alias(at), F.col("f.text_hash").alias(text_hash)), same, "left_semi")
-    repeated = kept(prints.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash)))
-    if repeated.isEmpty():
-        return out
-    key = unused(docs, "row_key")
-    twice = out.join(repeated, same, "left_semi").withColumn(key, F.struct(row_id, row_hash)).dropDuplicates([key]).drop(key)
-    return out.join(repeated, same, "left_anti").unionByName(twice)
+    of = classes(prints, radius)
+    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
