@@ -89,18 +89,18 @@ def _number(digest: Column, at: int, width: int) -> Column:
 
 def _shape(s: Column, digest: Column) -> Column:
     """Each digit and letter replaced by one of its kind; the digest decides, again from its start if it is used up."""
-    each = F.split(s, "")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(s) / 16).cast("int")), lambda k: F.sha2(F.concat(digest, k.cast("string")), 256))
 
-    def one(c: Column, i: Column) -> Column:
-        n = F.conv(F.substring(F.sha2(F.concat(digest, (i / 16).cast("int").cast("string")), 256), (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    def one(c: Column, i: Column, block: Column) -> Column:
+        n = F.conv(F.substring(F.get(block, F.floor(i / 16).cast("int")), (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
         pick = lambda letters: F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))
         return (
-            F.when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-            .when(c.rlike("[а-яё]"), pick("абвгдежзийклмнопрстуфхцчшщэюя")).when(c.rlike("[А-ЯЁ]"), pick("АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ")).when(c.rlike("[α-ω]"), pick("αβγδεζηθικλμνξοπρστυφχψω"))
+            F.when(c.between("0", "9"), pick("0123456789")).when(c.between("a", "z"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.between("A", "Z"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            .when(c.between("а", "я") | (c == "ё"), pick("абвгдежзийклмнопрстуфхцчшщэюя")).when(c.between("А", "Я") | (c == "Ё"), pick("АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ")).when(c.between("α", "ω"), pick("αβγδεζηθικλμνξοπρστυφχψω"))
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(each, one), "")
+    return F.transform(F.array(blocks), lambda block: F.array_join(F.transform(F.split(s, ""), lambda c, i: one(c, i, block)), ""))[0]
 
 
 def luhn(digits: Column) -> Column:
@@ -175,8 +175,10 @@ def assign(entities: DataFrame, key: str = KEY, attempts: int = ATTEMPTS) -> Dat
     form = F.when(F.col("kind") == "email", F.col("entity")).otherwise(F.min("form"))
     known = kept(entities.groupBy("kind", "entity").agg(form.alias("form")))
     left, done = known, None
+    spread = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for k in range(attempts):
-        tried = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), k, key)).withColumn("to", canonical(F.col("surrogate")))
+        # entities are few bytes but long to work on, so they are spread by number
+        tried = kept(left.repartition(spread, "kind", "entity").withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), k, key))).withColumn("to", canonical(F.col("surrogate")))
         # the least entity keeps a surrogate that several would have, unless it is taken or real
         first = tried.groupBy("kind", "to").agg(F.min("entity").alias("entity"))
         real = known.select("kind", F.col("entity").alias("to"))
