@@ -621,8 +621,11 @@ class Frame:
             self.px[plane][y : y + 8, x : x + 8] = np.clip(self.predicted(plane, mx, my, chroma) + part, 0, 255)
 
     def smooth(self, simple: bool) -> None:
-        inner = [p[1:, 1 : 1 + self.across * s] for p, s in zip(self.px, (16, 8, 8))]
-        filter_frame(inner, self.filters, simple)
+        filter_frame(self.whole(), self.filters, simple)
+
+    def whole(self) -> list[np.ndarray]:
+        """Planes of whole macroblocks."""
+        return [p[1:, 1 : 1 + self.across * s] for p, s in zip(self.px, (16, 8, 8))]
 
     def planes(self, width: int, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w, h = width + 1 >> 1, height + 1 >> 1
@@ -713,7 +716,7 @@ class Encoder:
                 decided.append((empty, small, chosen, chroma))
         skips = sum(d[0] for d in decided)
         skip = max(1, (len(decided) - skips) * 255 // len(decided))
-        fresh = self._probabilities(tokens)
+        fresh = self.current = self._probabilities(tokens, self.tables.coefficients)
         self._head(modes, level, fresh, skip)
         for k, (empty, small, chosen, chroma) in enumerate(decided):
             if k % across == 0:
@@ -731,6 +734,7 @@ class Encoder:
             raise Unsupported("modes take more than 512 KB")
         tag = len(first) << 5 | 1 << 4
         frame.smooth(False)
+        self.rebuilt = frame.whole()
         head = tag.to_bytes(3, "little") + b"\x9d\x01\x2a" + struct.pack("<HH", width, height)
         return head + first + second, frame.planes(width, height)
 
@@ -772,8 +776,8 @@ class Encoder:
                 a, b = contexts(name, k)
                 top[a] = left[b] = int(block(type_, levels[name, k], top[a] + left[b], start) > start)
 
-    def _probabilities(self, tokens: list) -> np.ndarray:
-        """Defaults, replaced where the frame's own shares save more than an update costs."""
+    def _probabilities(self, tokens: list, old: np.ndarray) -> np.ndarray:
+        """The old ones, replaced where the frame's own shares save more than an update costs."""
         counts = np.zeros((4, 8, 3, 11, 2), np.int64)
         for slot, bit in tokens:
             if not isinstance(slot, int):
@@ -782,7 +786,7 @@ class Encoder:
         fresh = np.clip(n0 * 256 // np.maximum(n0 + n1, 1), 1, 254)
         cost = lambda p: np.floor(-np.log2(p / 256) * 256)
         price = lambda p: n0 * cost(p) + n1 * cost(256 - p)
-        old, up = self.tables.coefficients, self.tables.updates
+        up = self.tables.updates
         better = price(fresh) + cost(256 - up) + 8 * 256 < price(old) + cost(up)
         return np.where(better & (n0 + n1 > 0), fresh, old)
 

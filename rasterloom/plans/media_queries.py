@@ -292,3 +292,28 @@ def i08(spark: SparkSession, sf: str) -> DataFrame:
         return [sum(n * c for n, c in zip(code_lengths(counts), counts))]
 
     return _per_text(spark, sf, of).select("doc_id", F.col("b").alias("bits"))
+
+
+_CLIPS = "cl AS (SELECT vec_id // 20 AS clip_id, (vec_id % 20) // 4 AS frame_no FROM t GROUP BY 1, 2 HAVING count(*) = 4)"
+
+
+@register("k04_video_round_trip", with_(TILES, _CLIPS) + "SELECT clip_id, CAST(frame_no AS BIGINT) AS frame_no, frame_no = 0 AS key_frame, true AS exact FROM cl")
+def k04(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips of up to five 16x16 frames, a key frame and then frames that predict from the last: the decoder rebuilds what the encoder did."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..operators import lossy, video
+
+        for b in batches:
+            out = []
+            for i, frames in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                enc, dec = video.VideoEncoder(70), video.VideoDecoder()
+                for k, f in enumerate(frames):
+                    data, rebuilt = (enc.encode_inter if k else enc.encode_key)(*_planes(f["tiles"]))
+                    got = dec.decode(data)
+                    out.append((i, f["frame_no"], lossy.frame_tag(data)[0], all((a == c).all() for a, c in zip(got, rebuilt))))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))], names=["clip_id", "frame_no", "key_frame", "exact"])
+
+    p = _pictures(spark, sf).select(F.expr("picture_id div 5").alias("clip_id"), (F.col("picture_id") % 5).alias("frame_no"), "tiles")
+    clips = p.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "tiles"))).alias("frames"))  # five frames at most
+    return clips.mapInArrow(run, "clip_id long, frame_no long, key_frame boolean, exact boolean")

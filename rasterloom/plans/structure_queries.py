@@ -203,15 +203,15 @@ def d03(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("d05_vector_bounds", PX + """, b AS (SELECT vec_id, y, x, (r - 128) * 4 AS row_, (g - 128) * 4 AS col_, -(x * 16) * 8 AS le, (7 - x) * 128 AS ri, -(y * 16) * 8 AS tp, (7 - y) * 128 AS bo FROM px)
-SELECT vec_id, y, x, CAST(least(greatest(row_, tp - 152), bo + 152) AS BIGINT) AS row_clamped, CAST(least(greatest(col_, le - 152), ri + 152) AS BIGINT) AS col_clamped, col_ < le - 152 OR col_ > ri + 152 OR row_ < tp - 152 OR row_ > bo + 152 AS outside,
+SELECT vec_id, y, x, CAST(least(greatest(row_, tp - 128), bo + 128) AS BIGINT) AS row_clamped, CAST(least(greatest(col_, le - 128), ri + 128) AS BIGINT) AS col_clamped, col_ < le - 128 OR col_ > ri + 128 OR row_ < tp - 128 OR row_ > bo + 128 AS outside,
   2 * col_ < le - 152 OR 2 * col_ > ri + 144 OR 2 * row_ < tp - 152 OR 2 * row_ > bo + 144 AS beyond_border FROM b""")
 def d05(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of 8x8 macroblocks in eighths of a pixel, against the picture's rim with margins of 19 and 18 pixels."""
-    near, far = 19 * 8, 18 * 8
+    """Vectors of 8x8 macroblocks in eighths of a pixel, against the picture's rim: clamped to a margin of 16 pixels, and tested against one of 19 and 18."""
+    margin, near, far = 16 * 8, 19 * 8, 18 * 8
     row, col = (F.col("r") - 128) * 4, (F.col("g") - 128) * 4
     left, right, top, bottom = -(F.col("x") * 128), (7 - F.col("x")) * 128, -(F.col("y") * 128), (7 - F.col("y")) * 128
-    out = lambda k, m: (k * col < left - near) | (k * col > right + m) | (k * row < top - near) | (k * row > bottom + m)
-    return _longs(grids.pixels(spark, sf), ["vec_id", "y", "x"], {"row_clamped": F.least(F.greatest(row, top - near), bottom + near), "col_clamped": F.least(F.greatest(col, left - near), right + near), "outside": out(1, near), "beyond_border": out(2, far)})
+    out = lambda k, low, high: (k * col < left - low) | (k * col > right + high) | (k * row < top - low) | (k * row > bottom + high)
+    return _longs(grids.pixels(spark, sf), ["vec_id", "y", "x"], {"row_clamped": F.least(F.greatest(row, top - margin), bottom + margin), "col_clamped": F.least(F.greatest(col, left - margin), right + margin), "outside": out(1, margin, margin), "beyond_border": out(2, near, far)})
 
 
 @register("d06_transform_applies", AR + "SELECT vec_id, bool_and((v >> 7) & 16711935 & 65537 = 0) AS red_blue_zero, bool_or((v >> 31) = 0) AS translucent FROM argb GROUP BY vec_id")
