@@ -57,6 +57,15 @@ class BitWriter:
             self.window >>= 8 * whole
             self.held -= 8 * whole
 
+    def copy(self) -> BitWriter:
+        """A writer that goes on from here, to try what follows."""
+        out = BitWriter()
+        out.take(self)
+        return out
+
+    def take(self, other: BitWriter) -> None:
+        self.done, self.window, self.held = bytearray(other.done), other.window, other.held
+
     def __len__(self) -> int:
         return 8 * len(self.done) + self.held
 

@@ -419,6 +419,98 @@ def matches(px: list[int], width: int, window: int = 1 << 16, tries: int = 16) -
     return out
 
 
+def cheapest_parse(refs: list[tuple], px: list[int], width: int) -> list[tuple]:
+    """A parse of least estimated bits: each place is a literal or any shorter form of a copy that begins there.
+
+    Prices come from the histograms of a first parse; a shortest path from the first pixel to the last decides.
+    """
+    counts, _ = _counted(refs, width, 0)
+    price = []
+    for c in counts:
+        total = sum(c) or 1
+        price.append([np.log2(total) - np.log2(n) if n else np.log2(total) + 1 for n in c])
+    found: dict[int, tuple[int, int]] = {}
+    at = 0
+    for ref in refs:
+        if ref[0] == "c":
+            found[at] = (ref[1], ref[2])
+        at += ref[2] if ref[0] == "c" else 1
+    n = len(px)
+    best, came = [0.0] + [np.inf] * n, [("v", 0)] * (n + 1)
+    open_copy: tuple[int, int] | None = None  # distance and where a copy that runs here ends
+    for i in range(n):
+        if i in found:
+            open_copy = (found[i][0], i + found[i][1])
+        a, r, g, b = _split(px[i])
+        # literals are a little dearer than they seem, as copies leave fewer of them
+        one = best[i] + 1.0386 * (price[0][g] + price[1][r] + price[2][b] + price[3][a])
+        if one < best[i + 1]:
+            best[i + 1], came[i + 1] = one, ("v", px[i])
+        if open_copy and open_copy[1] - i >= 2:
+            distance, end = open_copy
+            s, extra, _ = prefix_of(code_of(distance, width))
+            far = price[4][s] + extra
+            for length in range(2, min(end - i, 256) + 1):
+                t, more, _ = prefix_of(length)
+                whole = best[i] + far + price[0][256 + t] + more
+                if whole < best[i + length]:
+                    best[i + length], came[i + length] = whole, ("c", distance, length)
+            if end - i > 256:
+                t, more, _ = prefix_of(end - i)
+                whole = best[i] + far + price[0][256 + t] + more
+                if whole < best[end]:
+                    best[end], came[end] = whole, ("c", distance, end - i)
+    out, i = [], n
+    while i:
+        out.append(came[i])
+        i -= came[i][2] if came[i][0] == "c" else 1
+    return out[::-1]
+
+
+def _cost(h: np.ndarray, bounds: list[int]) -> float:
+    """Bits of histograms side by side, with 5 for each used symbol and 40 for each code."""
+    total = 0.0
+    for a, b in zip(bounds, bounds[1:]):
+        v = h[a:b][h[a:b] > 0].astype(float)
+        total += (v.sum() * np.log2(v.sum()) - (v * np.log2(v)).sum() + 5 * len(v) if len(v) else 0) + 40
+    return total
+
+
+def code_groups(refs: list[tuple], width: int, height: int, cache_bits: int, bits: int) -> tuple[np.ndarray, float]:
+    """A group of codes for each tile, and the groups' cost: tiles go to 64 bins by cost, then bins merge while that saves most.
+
+    A reference counts to the tile of its first pixel.
+    """
+    sizes = [size + (1 << cache_bits if k == 0 and cache_bits else 0) for k, size in enumerate(ALPHABETS)]
+    bounds = [0, *np.cumsum(sizes).tolist()]
+    across, down = tiles_along(width, bits), tiles_along(height, bits)
+    tiles = np.zeros((across * down, bounds[-1]), np.int64)
+    at = 0
+    for ref in refs:
+        y, x = divmod(at, width)
+        for tree, s, _, _ in _symbols(ref, width):
+            tiles[(y >> bits) * across + (x >> bits), bounds[tree] + s] += 1
+        at += ref[2] if ref[0] == "c" else 1
+    cost = np.array([_cost(t, bounds) for t in tiles])
+    low, high = cost.min(), cost.max()
+    bins = np.minimum((cost - low) * 64 / max(high - low, 1e-9), 63).astype(np.int64)
+    groups = {int(b): tiles[bins == b].sum(0) for b in np.unique(bins)}
+    price = {g: _cost(h, bounds) for g, h in groups.items()}
+    gain = {(a, b): price[a] + price[b] - _cost(groups[a] + groups[b], bounds) for a in groups for b in groups if a < b}
+    while gain:
+        (a, b), saved = max(gain.items(), key=lambda e: (e[1], -e[0][0], -e[0][1]))
+        if saved <= 0:
+            break
+        groups[a] = groups[a] + groups.pop(b)
+        bins[bins == b] = a
+        price[a] = _cost(groups[a], bounds)
+        price.pop(b)
+        gain = {p: v for p, v in gain.items() if a not in p and b not in p}
+        gain |= {(min(a, c), max(a, c)): price[a] + price[c] - _cost(groups[a] + groups[c], bounds) for c in groups if c != a}
+    names = {g: k for k, g in enumerate(sorted(groups))}
+    return np.array([names[int(b)] for b in bins]), sum(price.values())
+
+
 def with_cache(refs: list[tuple], px: list[int], bits: int) -> list[tuple]:
     """Literals that the cache holds become hits ("h", slot)."""
     if not bits:
@@ -463,25 +555,48 @@ def _counted(refs: list[tuple], width: int, cache_bits: int) -> tuple[list[list[
     return counts, cost
 
 
-def _write_pixels(w: BitWriter, px: np.ndarray, width: int, whole: bool, most_cache: int = 6) -> None:
+def _write_pixels(w: BitWriter, px: np.ndarray, width: int, whole: bool, most_cache: int = 6, effort: int = 4) -> None:
+    """The cheapest of a few parses and cache sizes; the main picture's codes by tile where that is cheaper still."""
     words = px.tolist()
     plain = [[("v", v) for v in words], matches(words, width)]
+    if effort >= 5 and len(plain[1]) < len(words):
+        plain.append(cheapest_parse(plain[1], words, width))
     trials = [(with_cache(refs, words, b), b) for refs in plain for b in range(0, most_cache + 1, 2)]
-    refs, bits = min(trials, key=lambda t: _counted(t[0], width, t[1])[1])
-    w.write(int(bits > 0), 1)
-    if bits:
-        w.write(bits, 4)
+    costs = [_counted(refs, width, b)[1] for refs, b in trials]
+    refs, cache_bits = trials[int(np.argmin(costs))]
+    w.write(int(cache_bits > 0), 1)
+    if cache_bits:
+        w.write(cache_bits, 4)
+    height, tile_bits, group = len(words) // width, 0, np.zeros(1, np.int64)
     if whole:
-        w.write(0, 1)
-    codes = [write_code(w, code_lengths(c)) for c in _counted(refs, width, bits)[0]]
+        tile_bits = 3
+        while tile_bits < 9 and tiles_along(width, tile_bits) * tiles_along(height, tile_bits) > 256:
+            tile_bits += 1
+        group, grouped = code_groups(refs, width, height, cache_bits, tile_bits)
+        several = group.max() > 0 and grouped + 3 * len(group) < min(costs) + 200
+        w.write(int(several), 1)
+        if several:
+            w.write(tile_bits - 2, 3)
+            _write_pixels(w, (np.uint32(BLACK) | group.astype(np.uint32) << np.uint32(8)).astype(np.uint32), tiles_along(width, tile_bits), False, 0)
+        else:
+            group = np.zeros(1, np.int64)
+    across, at, by_group = tiles_along(width, tile_bits), 0, []
     for ref in refs:
+        y, x = divmod(at, width)
+        by_group.append(int(group[(y >> tile_bits) * across + (x >> tile_bits)]) if len(group) > 1 else 0)
+        at += ref[2] if ref[0] == "c" else 1
+    codes = []
+    for g in range(int(group.max()) + 1):
+        own = [ref for ref, k in zip(refs, by_group) if k == g]
+        codes.append([write_code(w, code_lengths(c)) for c in _counted(own, width, cache_bits)[0]])
+    for ref, g in zip(refs, by_group):
         for tree, s, n, extra in _symbols(ref, width):
-            w.write(*codes[tree][s])
+            w.write(*codes[g][tree][s])
             w.write(extra, n)
 
 
 def write_stream(w: BitWriter, px: np.ndarray, width: int, height: int, effort: int = 4) -> None:
-    """A palette for at most 256 colours, else green taken off, cross colour at most effort, predictors by tile."""
+    """A palette for at most 256 colours, else green taken off and predictors by tile, with cross colour at most effort where it is shorter."""
     colours = np.unique(px)
     if len(colours) <= 256:
         bits = palette_bits(len(colours))
@@ -492,25 +607,32 @@ def write_stream(w: BitWriter, px: np.ndarray, width: int, height: int, effort:
         w.write(len(colours) - 1, 8)
         _write_pixels(w, deltas, len(colours), False, 0)
         px = pack_indices(np.searchsorted(colours, px), width, height, bits)
-        width = tiles_along(width, bits)
-    else:
-        w.write(1, 1)
-        w.write(SUBTRACT_GREEN, 2)
-        px = green_in(px, False)
-        bits = 4 if effort < 4 else 3
-        modes, px = choose_predictors(px, width, height, bits)
-        w.write(1, 1)
-        w.write(PREDICTOR, 2)
-        w.write(bits - 2, 3)
-        _write_pixels(w, modes, tiles_along(width, bits), False, 0)
-        if effort >= 6 and (px & np.uint32(0x00FF00FF)).any():
-            codes, px = choose_cross_colour(px, width, height, bits)
-            w.write(1, 1)
-            w.write(CROSS_COLOUR, 2)
-            w.write(bits - 2, 3)
-            _write_pixels(w, codes, tiles_along(width, bits), False, 0)
-    w.write(0, 1)
-    _write_pixels(w, px, width, True)
+        w.write(0, 1)
+        _write_pixels(w, px, tiles_along(width, bits), True, effort=effort)
+        return
+    w.write(1, 1)
+    w.write(SUBTRACT_GREEN, 2)
+    px = green_in(px, False)
+    bits = 4 if effort < 4 else 3
+    modes, px = choose_predictors(px, width, height, bits)
+    w.write(1, 1)
+    w.write(PREDICTOR, 2)
+    w.write(bits - 2, 3)
+    _write_pixels(w, modes, tiles_along(width, bits), False, 0)
+    plain = w.copy()
+    plain.write(0, 1)
+    _write_pixels(plain, px, width, True, effort=effort)
+    if effort >= 6 and (px & np.uint32(0x00FF00FF)).any():
+        codes, left = choose_cross_colour(px, width, height, bits)
+        crossed = w.copy()
+        crossed.write(1, 1)
+        crossed.write(CROSS_COLOUR, 2)
+        crossed.write(bits - 2, 3)
+        _write_pixels(crossed, codes, tiles_along(width, bits), False, 0)
+        crossed.write(0, 1)
+        _write_pixels(crossed, left, width, True, effort=effort)
+        plain = min(plain, crossed, key=len)
+    w.take(plain)
 
 
 def encode(px: np.ndarray, width: int, height: int, effort: int = 4) -> bytes:

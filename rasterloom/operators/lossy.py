@@ -262,6 +262,70 @@ def _put_large(put, band: int, context: int, v: int) -> None:
         fixed(p, rest >> len(listed) - 1 - i & 1)
 
 
+def block_price(probabilities: list, context: int, first: int, levels: list[int]) -> float:
+    """Bits of a block's tokens."""
+    total = 0.0
+
+    def put(band, c, slot, bit) -> None:
+        nonlocal total
+        p = slot if band is None else probabilities[band][c][slot]
+        total -= np.log2((256 - p if bit else p) / 256)
+
+    write_block(put, levels, context, first)
+    return total
+
+
+def trellis(c: np.ndarray, step: tuple[int, int], probabilities: list, context: int, first: int, weight: float) -> list[int]:
+    """Levels of 16 coefficients (in scan order) of least squared error plus weight times bits.
+
+    At each place the level may be the quotient rounded down or up; the path to each size class (0, 1, more), which decides
+    the next place's context, is kept, and the block may end after any place.
+    """
+
+    def bits_of(band: int, c_: int, v: int, after_zero: bool) -> float:
+        total = 0.0
+
+        def put(b, k, slot, bit) -> None:
+            nonlocal total
+            p = slot if b is None else probabilities[b][k][slot]
+            total -= np.log2((256 - p if bit else p) / 256)
+
+        if not after_zero:
+            put(band, c_, 0, 1)
+        put(band, c_, 1, int(v > 0))
+        if v:
+            put(band, c_, 2, int(v > 1))
+            if v > 1:
+                _put_large(put, band, c_, v)
+            put(None, None, 128, 0)
+        return total
+
+    size = np.abs(c).tolist()
+    sign = [-1 if v < 0 else 1 for v in c.tolist()]
+    q = [step[0] if n == 0 else step[1] for n in range(16)]
+    rest = np.cumsum([0] + [v * v for v in size[::-1]])[::-1]  # error of zeros from each place on
+    # class of the last level, whether it was zero -> (cost, levels)
+    paths: dict[tuple[int, bool], tuple[float, list[int]]] = {(context, False): (0.0, [0] * first)}
+    end = -np.log2(probabilities[BANDS[first]][context][0] / 256)
+    best = (rest[first] + weight * end, [0] * first)
+    for n in range(first, 16):
+        following: dict[tuple[int, bool], tuple[float, list[int]]] = {}
+        low = min(int(size[n] // q[n]), 2047)
+        for (k, zero), (cost, levels) in paths.items():
+            for v in {low, min(low + 1, 2047)} if size[n] else {0}:
+                now = cost + (size[n] - v * q[n]) ** 2 + weight * bits_of(BANDS[n], k, v, zero)
+                key = (min(v, 2), v == 0)
+                if key not in following or now < following[key][0]:
+                    following[key] = (now, levels + [v * sign[n]])
+        for (k, zero), (cost, levels) in following.items():
+            if not zero:
+                over = -np.log2(probabilities[BANDS[n + 1]][k][0] / 256) if n < 15 else 0.0
+                if cost + rest[n + 1] + weight * over < best[0]:
+                    best = (cost + rest[n + 1] + weight * over, levels)
+        paths = following
+    return best[1] + [0] * (16 - len(best[1]))
+
+
 # the loop filter
 
 
@@ -643,15 +707,19 @@ def encode(y: np.ndarray, u: np.ndarray, v: np.ndarray, quality: int = 75, table
 
 
 class Encoder:
-    def __init__(self, quality: int = 75, tables: Tables | None = None, small_blocks: bool = True):
-        self.tables, self.small_blocks, self.base = tables or Tables(), small_blocks, quality_index(quality)
+    def __init__(self, quality: int = 75, tables: Tables | None = None, small_blocks: bool = True, by_trellis: bool = False):
+        self.tables, self.small_blocks, self.base, self.by_trellis = tables or Tables(), small_blocks, quality_index(quality), by_trellis
         self.quant = steps(self.base)
         #: Weight of mode bits against squared error.
         self.weight = self.quant[FIRST_LUMA][1] ** 2 >> 7
 
     def _levels(self, d: np.ndarray, kind: int, rounding: int) -> np.ndarray:
         """Levels in scan order of n x 4 x 4 differences."""
-        return quantize(forward_dct(d).reshape(-1, 16), self.quant[kind], rounding)[:, list(tb.ZIGZAG)]
+        c = forward_dct(d).reshape(-1, 16)
+        if self.by_trellis:
+            odds, weight = self.tables.coefficients[kind].tolist(), self.quant[kind][1] ** 2 / 8
+            return np.array([trellis(row[list(tb.ZIGZAG)], self.quant[kind], odds, 0, 0, weight) for row in c])
+        return quantize(c, self.quant[kind], rounding)[:, list(tb.ZIGZAG)]
 
     def _whole(self, source: np.ndarray, guess: np.ndarray) -> dict[tuple[str, int], list[int]]:
         blocks = (source - guess).reshape(4, 4, 4, 4).transpose(0, 2, 1, 3).reshape(16, 4, 4)

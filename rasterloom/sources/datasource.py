@@ -1,13 +1,14 @@
-"""A Spark data source of container headers: ranged reads of each file's first bytes, never whole files.
+"""Spark data sources: container headers by ranged reads of each file's first bytes, and a sink that writes files.
 
 spark.dataSource.register(Headers); spark.read.format("media_headers").load(folder)
+df.select("name", "content").write.format("media_files").mode("append").save(folder)
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..operators.bits import Invalid, Unsupported
 from . import container as box
@@ -72,3 +73,35 @@ class Headers(DataSource):
 
     def reader(self, schema) -> _Reader:
         return _Reader(self.options["path"])
+
+
+class _Writer(DataSourceWriter):
+    """Each row's bytes under its name; a file is put in place by a rename, so a task that runs again writes the same files."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        where, root = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        where.create_dir(root)
+        for row in iterator:
+            part = f"{root}/_{TaskContext.get().taskAttemptId()}-{row.name}"
+            with where.open_output_stream(part) as f:
+                f.write(bytes(row.content))
+            where.move(part, f"{root}/{row.name}")
+        return WriterCommitMessage()
+
+
+class Files(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "media_files"
+
+    def schema(self) -> str:
+        return "name string, content binary"
+
+    def writer(self, schema, overwrite: bool) -> _Writer:
+        return _Writer(self.options["path"])

@@ -169,6 +169,39 @@ def test_files(spark, tmp_path):
     assert sorted(r.height for r in rows if r.height) == [4, 5, 6, 7, 8] and max(r.bytes_read for r in rows) <= 64
 
 
+def test_sink(spark, tmp_path):
+    from rasterloom.sources.datasource import Files
+
+    spark.dataSource.register(Files)
+    rows = [(f"{k}.webp", bytearray(media.encode(np.full((3, 3 + k, 4), 200, np.uint8)))) for k in range(6)]
+    spark.createDataFrame(rows, "name string, content binary").repartition(3).write.format("media_files").mode("append").save(str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == [n for n, _ in rows]
+    assert sorted(r.width for r in media.containers(media.read(spark, str(tmp_path))).collect()) == [3, 4, 5, 6, 7, 8]
+
+
+def test_parses_and_groups():
+    """Every parse expands to the picture; more effort doesn't cost more; tiles of two kinds get two groups of codes."""
+    rng = np.random.default_rng(11)
+    y, x = np.mgrid[0:64, 0:64]
+    px = np.where(x < 32, 0xFF000000 | rng.integers(0, 4, (64, 64)) << 8, rng.integers(0, 1 << 32, (64, 64))).astype(np.uint32).reshape(-1)
+    words = np.tile(rng.integers(0, 50, 40), 60)[:2000].tolist()
+    for refs in (lossless.matches(words, 50), lossless.cheapest_parse(lossless.matches(words, 50), words, 50)):
+        out = []
+        for ref in refs:
+            if ref[0] == "v":
+                out.append(ref[1])
+            else:
+                for _ in range(ref[2]):
+                    out.append(out[-ref[1]])
+        assert out == words
+    group, _ = lossless.code_groups([("v", int(v)) for v in px], 64, 64, 0, 3)
+    assert group.max() >= 1 and len(set(group.reshape(8, 8)[:, :4].reshape(-1)) & set(group.reshape(8, 8)[:, 4:].reshape(-1))) == 0
+    sizes = [len(lossless.encode(px, 64, 64, e)) for e in (4, 5, 6)]
+    assert sizes[2] <= sizes[1] + 8
+    for e in (4, 5, 6):
+        assert (lossless.decode(lossless.encode(px, 64, 64, e))[1] == px).all()
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_partitions_do_not_matter(spark, parts):
     rng = np.random.default_rng(8)
