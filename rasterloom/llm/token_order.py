@@ -32,6 +32,8 @@ from .shared import id_and_text, kept, scratch
 SEQ_LEN = 256
 SHARD_SLOTS = 32_768
 KEY = 0x5EED_0F_0DE5
+#: Beyond so many shards a partition takes several, in order.
+MAX_PARTITIONS = 20_000
 ROUNDS = 6
 
 
@@ -93,7 +95,7 @@ def shard_name(k: int) -> str:
     return f"shard-{k:08d}.bin"
 
 
-def materialise(docs: DataFrame, ranks_path: str, pattern: str, out: str, key: int = KEY, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, pad: int = 50_256, stable: bool = True) -> DataFrame:
+def materialise(docs: DataFrame, ranks_path: str, pattern: str, out: str, key: int = KEY, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, pad: int = 50_256, stable: bool = True, max_partitions: int = MAX_PARTITIONS) -> DataFrame:
     """Writes the shards under `out`, a folder that all executors share, when the result is computed.
 
     Returns doc_id, seq_no, n_tokens, slot, shard, byte_offset, crc (of the sequence's bytes, padding included).
@@ -148,32 +150,44 @@ def materialise(docs: DataFrame, ranks_path: str, pattern: str, out: str, key: i
         if ids:
             yield batch()
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(shard: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Writes one shard's file and tells of its sequences."""
         import zlib
 
         from pyarrow import fs
 
-        tables = pa.Table.from_batches([b for b in batches if b.num_rows] or [], pa.schema([("doc_id", pa.int64()), ("seq_no", pa.int32()), ("slot", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary())]))
-        if not tables.num_rows:
-            return
         where, path = fs.FileSystem.from_uri(out)
-        for shard in np.unique(tables["shard"].to_numpy()):
-            mine = tables.filter(pa.compute.equal(tables["shard"], int(shard))) if tables.num_rows else tables
-            slots = mine["slot"].to_numpy() - int(shard) * shard_slots
-            held = min(shard_slots, total - int(shard) * shard_slots)
-            block = np.full((held, seq_len), pad, "<u2")
-            sizes, crcs = [], []
-            for s, p in zip(slots.tolist(), mine["payload"]):
-                ids = np.frombuffer(p.as_py(), "<u2")
-                block[s, : len(ids)] = ids
-                sizes.append(len(ids))
-                crcs.append(zlib.crc32(block[s]))
-            part = f"{path}/_{TaskContext.get().taskAttemptId()}-{shard_name(int(shard))}"
-            with where.open_output_stream(part) as f:
-                f.write(block)
-            where.move(part, f"{path}/{shard_name(int(shard))}")
-            columns = [mine["doc_id"], mine["seq_no"], pa.array(sizes, pa.int32()), mine["slot"], mine["shard"], pa.array(slots.astype(np.int64) * seq_len * 2), pa.array(crcs, pa.int64())]
-            yield from pa.table(columns, names=["doc_id", "seq_no", "n_tokens", "slot", "shard", "byte_offset", "crc"]).combine_chunks().to_batches()
+        slots = rows["slot"].to_numpy() - shard * shard_slots
+        block = np.full((min(shard_slots, total - shard * shard_slots), seq_len), pad, "<u2")
+        sizes, crcs = [], []
+        for s, p in zip(slots.tolist(), rows["payload"]):
+            ids = np.frombuffer(p.as_py(), "<u2")
+            block[s, : len(ids)] = ids
+            sizes.append(len(ids))
+            crcs.append(zlib.crc32(block[s]))
+        part = f"{path}/_{TaskContext.get().taskAttemptId()}-{shard_name(shard)}"
+        with where.open_output_stream(part) as f:
+            f.write(block)
+        where.move(part, f"{path}/{shard_name(shard)}")
+        columns = [rows["doc_id"], rows["seq_no"], pa.array(sizes, pa.int32()), rows["slot"], rows["shard"], pa.array(slots.astype(np.int64) * seq_len * 2), pa.array(crcs, pa.int64())]
+        yield from pa.table(columns, names=["doc_id", "seq_no", "n_tokens", "slot", "shard", "byte_offset", "crc"]).combine_chunks().to_batches()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards in order, one held at a time."""
+        now, held = None, []
+        for b in batches:
+            shards = b.column(3).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                if shards[x] != now and held:
+                    yield from put(int(now), pa.Table.from_batches(held))
+                    held = []
+                now = shards[x]
+                held.append(b.slice(x, y - x))
+        if held:
+            yield from put(int(now), pa.Table.from_batches(held))
 
     from urllib.parse import urlparse
 
@@ -183,7 +197,11 @@ def materialise(docs: DataFrame, ranks_path: str, pattern: str, out: str, key: i
     where, path = fs.FileSystem.from_uri(out)
     where.create_dir(path)
     sequences = rows.mapInArrow(encode, "doc_id long, seq_no int, slot long, shard int, payload binary")
-    return sequences.repartitionById(n_shards, F.col("shard")).mapInArrow(write, "doc_id long, seq_no int, n_tokens int, slot long, shard int, byte_offset long, crc long")
+    each = -(-n_shards // min(n_shards, max_partitions))
+    dealt = sequences.repartitionById(-(-n_shards // each), F.expr(f"cast(shard div {each} AS int)"))
+    if each > 1:
+        dealt = dealt.sortWithinPartitions("shard")
+    return dealt.mapInArrow(write, "doc_id long, seq_no int, n_tokens int, slot long, shard int, byte_offset long, crc long")
 
 
 def read(out: str, from_slot: int = 0, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS) -> Iterator[tuple[int, np.ndarray]]:

@@ -445,12 +445,13 @@ def test_feistel(n):
     assert n < 100 or (token_order.Feistel(n, 1).slot(np.arange(n)) != slots).any()
 
 
-def test_token_order(spark, sf, docs, texts, tmp_path):
+@pytest.mark.parametrize("partitions", [3, 20000])
+def test_token_order(spark, sf, docs, texts, tmp_path, partitions):
     import public_tokenizers
 
     out, enc = str(tmp_path / "shards"), token_order._encoder(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
     options = {"seq_len": 64, "shard_slots": 500}
-    rows = token_order.materialise(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, out, **options).collect()
+    rows = token_order.materialise(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, out, max_partitions=partitions, **options).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     stored = dict(token_order.read(out, 0, **options))
     assert len(stored) == len(rows)
