@@ -317,3 +317,13 @@ def k04(spark: SparkSession, sf: str) -> DataFrame:
     p = _pictures(spark, sf).select(F.expr("picture_id div 5").alias("clip_id"), (F.col("picture_id") % 5).alias("frame_no"), "tiles")
     clips = p.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "tiles"))).alias("frames"))  # five frames at most
     return clips.mapInArrow(run, "clip_id long, frame_no long, key_frame boolean, exact boolean")
+
+
+@register("k10_planes", with_(TILES, PLACED, PIXELS) + """SELECT vec_id, CAST(sum(((16839 * r + 33059 * g + 6420 * b + 32768 + 1048576) >> 16) * (p + 1)) AS BIGINT) AS luma, CAST(sum(a * (p + 1)) AS BIGINT) AS alpha FROM px GROUP BY vec_id""")
+def k10_planes(spark: SparkSession, sf: str) -> DataFrame:
+    """Luma and alpha of lossless files converted to planes, as sums weighted by place."""
+    p = media.planes(_files(spark, sf)).filter("plane IN ('y', 'a')")
+    at = p.select("file_id", "plane", F.explode(F.sequence(F.lit(1), F.length("data"))).alias("i"), "data")
+    byte = F.conv(F.hex(F.call_function("substring", F.col("data"), F.col("i"), F.lit(1))), 16, 10).cast("long")
+    sums = at.groupBy(F.col("file_id").alias("vec_id")).agg(*[F.sum(F.when(F.col("plane") == c, byte * F.col("i"))).alias(n) for c, n in (("y", "luma"), ("a", "alpha"))])
+    return sums

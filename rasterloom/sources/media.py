@@ -28,12 +28,14 @@ CLASSES = ((Unsupported, "UNSUPPORTED"), (Invalid, "INVALID"), (ValueError, "INV
 @dataclass(frozen=True)
 class DecodeOptions:
     """auto_rotate turns pictures by their EXIF orientation; alpha_dither smooths reduced alpha by 0 to 100; size_limit is the most
-    pixels of a canvas (0: the default, negative: none); first_only stops after an animation's first frame."""
+    pixels of a canvas (0: the default, negative: none); first_only stops after an animation's first frame; premultiplied gives stills
+    as animations are, with colour multiplied by alpha."""
 
     auto_rotate: bool = False
     alpha_dither: int = 0
     size_limit: int = 0
     first_only: bool = False
+    premultiplied: bool = False
 
 
 @dataclass(frozen=True)
@@ -206,7 +208,34 @@ def decode(data: bytes, options: DecodeOptions = DecodeOptions(), tables=None) -
     if c.animated and not c.frames:
         raise Invalid("an animation without frames")
     for delay, rgba in shown:
-        yield delay, colour.oriented(colour.premultiplied(rgba), turn) if turn > 1 else rgba
+        flat = not c.animated and (options.premultiplied or turn > 1)
+        yield delay, colour.oriented(colour.premultiplied(rgba) if flat else rgba, turn) if turn > 1 or flat else rgba
+
+
+def still_planes(data: bytes, options: DecodeOptions = DecodeOptions(), tables=None) -> dict[str, np.ndarray]:
+    """Planes y, u, v and a of a still: a lossy one's own, a lossless one's by conversion."""
+    src = box.Bytes.of(data)
+    c = box.parse(src)
+    if c.animated or c.image is None:
+        raise Unsupported("planes of an animation")
+    if c.image.fourcc == box.LOSSLESS:
+        rgba = picture(src, c.image, None, options)
+        return dict(zip("yuva", (*colour.to_yuv(rgba[..., :3]), rgba[..., 3])))
+    from ..operators import lossy
+
+    y, u, v = lossy.Decoder(tables, options.size_limit or STILL_AREA).decode(src.exactly(c.image.off, c.image.size))
+    a = alpha.decode(src.exactly(c.alpha.off, c.alpha.size) if c.alpha else None, y.shape[1], y.shape[0], options.alpha_dither)
+    return {"y": y, "u": u, "v": v, "a": a}
+
+
+def planes(files: DataFrame, options: DecodeOptions = DecodeOptions(), tables=None) -> DataFrame:
+    """Planes of stills, one row each: plane, width, height, data (bytes in raster order)."""
+
+    def of(data: bytes) -> Iterator[dict]:
+        for name, p in still_planes(data, options, tables).items():
+            yield {"plane": name, "width": p.shape[1], "height": p.shape[0], "data": np.ascontiguousarray(p).tobytes()}
+
+    return _rows(files, "plane string, width int, height int, data binary", of)
 
 
 def pixels(files: DataFrame, options: DecodeOptions = DecodeOptions(), tables=None) -> DataFrame:
