@@ -16,7 +16,9 @@ distinct entities: the first keeps it, the others go on to the next attempt. Aft
 rounds what is left gets a 64-bit hash of its entity appended behind a mark.
 
 Defined cases: null text stays null and has no entities; repeated rows get the same surrogates;
-an entity is compared in lower case with single spaces; empty input gives empty output.
+an entity is compared in lower case with single spaces, one of numbers by its digits and plus sign, so
+that a number written in another way is the same entity and keeps that way of writing; empty input
+gives empty output.
 """
 
 from __future__ import annotations
@@ -78,8 +80,18 @@ def mentions(text: Column) -> Column:
     return matches_if(text.rlike(GATE) & text.rlike(PATTERN), text, PATTERN)
 
 
-def canonical(s: Column) -> Column:
-    return F.lower(F.regexp_replace(s, r"\s+", " "))
+#: Types whose entities are compared by their digits.
+NUMBERS = ("phone", "card", "identity")
+
+
+def canonical(kind: Column, s: Column) -> Column:
+    return F.when(kind.isin(*NUMBERS), F.regexp_replace(s, "[^0-9+]", "")).otherwise(F.lower(F.regexp_replace(s, r"\s+", " ")))
+
+
+def filled(form: Column, digits: Column) -> Column:
+    """The form with its digits replaced, in order, by others."""
+    each = F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.when(F.substring(form, i, F.lit(1)).between("0", "9"), F.substring(digits, F.length(F.regexp_replace(F.substring(form, F.lit(1), i), "[^0-9]", "")), F.lit(1))).otherwise(F.substring(form, i, F.lit(1))))
+    return F.array_join(each, "")
 
 
 def _number(digest: Column, at: int, width: int) -> Column:
@@ -114,9 +126,7 @@ def _card(s: Column, digest: Column) -> Column:
     body = F.concat(F.substring(digits, 1, 1), F.substring(_shape(digits, digest), F.lit(2), F.length(digits) - 2))
     # the last digit that leaves the sum what it was
     last = F.pmod(luhn(digits) - luhn(F.concat(body, F.lit("0"))), F.lit(10))
-    made = F.concat(body, last.cast("string"))
-    spread = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.when(F.substring(s, i, F.lit(1)).rlike("[0-9]"), F.substring(made, F.length(F.regexp_replace(F.substring(s, F.lit(1), i), "[^0-9]", "")), F.lit(1))).otherwise(F.substring(s, i, F.lit(1))))
-    return F.array_join(spread, "")
+    return filled(s, F.concat(body, last.cast("string")))
 
 
 def _ip(digest: Column) -> Column:
@@ -163,7 +173,7 @@ def _name(s: Column, digest: Column, attempt: int) -> Column:
 
 
 def surrogate(kind: Column, s: Column, attempt: int, key: str) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical(s), F.lit(str(attempt))), 256)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical(kind, s), F.lit(str(attempt))), 256)
     return (
         F.when(kind == "email", _email(s, digest, f"{key}|{attempt}" if attempt else key)).when(kind == "ip", _ip(digest)).when(kind == "card", _card(s, digest))
         .when(kind == "phone", _phone(s, digest)).when(kind == "identity", _shape(s, digest)).otherwise(_name(s, digest, attempt))
@@ -178,13 +188,13 @@ def assign(entities: DataFrame, key: str = KEY, attempts: int = ATTEMPTS) -> Dat
     spread = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for k in range(attempts):
         # entities are few bytes but long to work on, so they are spread by number
-        tried = kept(left.repartition(spread, "kind", "entity").withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), k, key))).withColumn("to", canonical(F.col("surrogate")))
+        tried = kept(left.repartition(spread, "kind", "entity").withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), k, key))).withColumn("to", canonical(F.col("kind"), F.col("surrogate")))
         # the least entity keeps a surrogate that several would have, unless it is taken or real
         first = tried.groupBy("kind", "to").agg(F.min("entity").alias("entity"))
         real = known.select("kind", F.col("entity").alias("to"))
         free = first.join(real, ["kind", "to"], "left_anti")
         if done is not None:
-            free = free.join(done.select("kind", F.lower("surrogate").alias("to")), ["kind", "to"], "left_anti")
+            free = free.join(done.select("kind", canonical(F.col("kind"), F.col("surrogate")).alias("to")), ["kind", "to"], "left_anti")
         own = tried.join(free, ["kind", "to", "entity"], "left_semi").select("kind", "entity", "surrogate", F.lit(k).alias("attempt"))
         own = kept(own)
         done = own if done is None else done.unionByName(own)
@@ -213,11 +223,12 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clean = found.filter(F.size("found") == 0).select("doc_id", "text", F.array().cast(none).alias("parts"))
     with_ids = kept(found.filter(F.size("found") > 0).withColumn("text_hash", F.xxhash64("text")))
     each = with_ids.select("doc_id", "text_hash", F.explode("found").alias("m")).distinct()
-    each = each.select("doc_id", "text_hash", F.col("m.start").alias("start"), F.col("m.end").alias("end"), _kind(F.col("m.s")).alias("kind"), F.col("m.s").alias("form"), canonical(F.col("m.s")).alias("entity"))
+    each = each.select("doc_id", "text_hash", F.col("m.start").alias("start"), F.col("m.end").alias("end"), _kind(F.col("m.s")).alias("kind"), F.col("m.s").alias("form")).withColumn("entity", canonical(F.col("kind"), F.col("form")))
     each = kept(each)
     mapped = assign(each.select("kind", "entity", "form"), key, attempts)
     shouted = (F.col("form") == F.upper("form")) & F.col("form").rlike("[A-Z]")
-    shown = F.when(shouted, F.upper("surrogate")).otherwise(F.col("surrogate")).alias("surrogate")
+    in_form = F.when(F.col("kind").isin(*NUMBERS), filled(F.col("form"), F.regexp_replace("surrogate", "[^0-9]", ""))).otherwise(F.col("surrogate"))
+    shown = F.when(shouted, F.upper("surrogate")).otherwise(in_form).alias("surrogate")
     parts = each.join(mapped, ["kind", "entity"]).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", shown))).alias("parts"))
     a, b = with_ids.alias("a"), parts.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")))

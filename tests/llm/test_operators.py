@@ -370,6 +370,16 @@ def test_pii(spark):
         assert all(a.lower() != s.lower() and a not in got[i].text for _, a, s in p)
 
 
+def test_pii_written_otherwise(spark):
+    """A number in another form is the same entity, and keeps its form."""
+    forms = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "+1 (415) 555-2671", "+1-415-555-2671", "123-45-6789", "123456789"]
+    df = spark.createDataFrame([(i, f"see {f} now") for i, f in enumerate(forms)], "doc_id long, text string")
+    got = {r.doc_id: [p.surrogate for p in r.parts] for r in pii.pseudonymise(df).collect()}
+    digits = [re.sub("[^0-9]", "", got[i][0]) for i in range(len(forms))]
+    assert len({*digits[:3]}) == len({*digits[3:5]}) == len({*digits[5:]}) == 1 and len({*digits}) == 3
+    assert all(re.sub("[0-9]", "9", got[i][0]) == re.sub("[0-9]", "9", f) for i, f in enumerate(forms))
+
+
 def test_pii_distinct(spark):
     """More names than a list has pairs: each still gets its own surrogate."""
     rng = np.random.default_rng(1)
