@@ -16,7 +16,7 @@ from ..functions import tables as tb
 from . import lossy
 from .bits import Invalid, Unsupported
 from .boolcoder import BoolReader, BoolWriter
-from .lossy import DC, HE, TM, VE, Frame, Header, Tables, contexts, steps, strength, touched
+from .lossy import DC, HE, TM, VE, Frame, Header, Tables, steps, strength, touched
 
 INTRA, LAST, GOLDEN, ALTERNATE = range(4)
 NEAREST, NEAR, ZERO, NEW, SPLIT = range(5)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks as bl
-from ..functions import channels as ch
 from ..functions import tables as tb
 from . import grids
 from .grids import TILES, with_
