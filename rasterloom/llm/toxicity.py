@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Texts, chunks, fold, id_and_text
+from .shared import Texts, chunks, fold, id_and_text, kept
 
 TRAIN_ROWS = 40_000
 #: Buckets of the learned lexicon, and the bytes of a beginning.
@@ -307,7 +307,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> B
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).dropna().filter(fold(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id")
+    # one scan of the corpus; the two passes below read train_rows texts at most
+    rows = kept(id_and_text(docs).join(F.broadcast(chosen), "doc_id"))
     lexicon = _lexicon(rows.select("text", "toxic", "fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
