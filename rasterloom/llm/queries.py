@@ -62,4 +62,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_licenses, op2_pii, op3_simhash, op4_token_order, op5_quality, op6_bpe, op7_secrets, op8_decontaminate, op9_language, op10_toxicity)
 }
-ORACLES: dict[str, str] = {}
+#: op8 without hashing: every diagonal with enough equal words, whether a mask fits on it, and its best stretch by prefix sums.
+_FITS = " OR ".join("(" + " AND ".join(f"lead(same, {k}) OVER dg" for k, bit in enumerate(mask) if bit == "1") + f" AND lead(i, {len(mask) - 1}) OVER dg IS NOT NULL)" for mask in decontaminate.MASKS)
+_WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+def _places(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """SQL of one kind's matches with their places: gaps and matches alternate."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, gap_sum + coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, s FROM (
+  SELECT doc_id, k, s, g, sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY k) AS gap_sum FROM (
+    SELECT doc_id, unnest(range(1, len(ms) + 1)) AS k, unnest(ms) AS s, unnest(gs) AS g, unnest(gaps[1:len(ms)]) AS gap FROM (
+      SELECT doc_id, regexp_extract_all(t, '{quoted}') AS ms, regexp_extract_all(t, '{quoted}', {group}) AS gs, string_split_regex(t, '{quoted}') AS gaps FROM d) WHERE len(ms) > 0)) QUALIFY length(g) >= {least}"""
+
+
+def _op7_sql() -> str:
+    """op7 with the tests written out over lists."""
+    s7 = secret_scan
+    kinds = [(0, "assign", s7.ASSIGN, 1, 6), (1, "access", s7.ACCESS, 0, 20), (2, "hex", "[0-9a-f]+", 0, 24), (3, "random", "[A-Za-z0-9+/_-]{20,}", 0, 20)]
+    found = " UNION ALL ".join(f"SELECT * FROM ({_places(*k)})" for k in kinds)
+    encoding = "CASE " + " ".join(f"WHEN regexp_matches(s, '{pattern}') THEN '{letters}'" for _, pattern, letters in s7.ENCODINGS[:-1]) + f" ELSE '{s7.ENCODINGS[-1][2]}' END"
+    below = lambda z: f"greatest(1e-12, 1 / (1 + exp(least(600.0, -(1.5976 * ({z}) + 0.07056 * ({z}) * ({z}) * ({z}))))))"
+    same = " + ".join(f"pow(length(regexp_replace(letters, '{c}', '', 'g')) / k, 2)" for c in ("[^0-9]", "[^A-Z]", "[^a-z]", "[0-9A-Za-z]"))
+    z_chi, z_runs = "(chi - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n)", "(changes - (n - 1) * (1 - same)) / sqrt((n - 1) * same * (1 - same))"
+    p_chi = below("(chi - (k - 1) - away) / sqrt(2 * ((k - 1) + 2 * away))")
+    p_runs = below(f"-(changes - (n - 1) * {s7.CHANGE} - 0.5) / sqrt((n - 1) * {s7.CHANGE} * (1 - {s7.CHANGE}))")
+    p_serial = below(f"(abs(r) - {s7.SERIAL}) * sqrt(n - 1)")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}), base AS (SELECT *, start + length(s) AS stop FROM f WHERE rank < 3),
+c AS (SELECT f.*, start + length(s) AS stop, CAST(length(s) AS DOUBLE) AS n, {encoding} AS letters FROM f WHERE rank = 3 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.start < f.start + length(f.s) AND f.start < b.stop)),
+x AS (SELECT *, CAST(length(letters) AS DOUBLE) AS k, string_split(s, '') AS cs, translate(s, '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_', '{"0" * 10}{"A" * 26}{"a" * 26}{"+" * 4}') AS kinds FROM c),
+y AS (SELECT *, {same} AS same, list_sum([pow(length(s) - length(replace(s, e, '')), 2) FOR e IN list_distinct(cs)]) AS squares, list_sum([CASE WHEN kinds[i] <> kinds[i + 1] THEN 1.0 ELSE 0.0 END FOR i IN range(1, length(s))]) AS changes, [CAST(instr(letters, e) AS DOUBLE) FOR e IN cs] AS ranks FROM x),
+z AS (SELECT *, [e - list_sum(ranks) / n FOR e IN ranks] AS off, k * squares / n - n AS chi, (n - 1) * greatest(k * {s7.COINCIDENCE} - 1, 0.05) AS away FROM y),
+w AS (SELECT *, CASE WHEN list_sum([e * e FOR e IN off]) = 0 THEN 1.0 ELSE list_sum([off[i] * off[i + 1] FOR i IN range(1, len(off))]) / list_sum([e * e FOR e IN off]) END AS r FROM z),
+v AS (SELECT *, -(ln({p_chi}) + ln({p_runs}) + ln({p_serial})) AS half, {z_chi} AS z_chi, {z_runs} AS z_runs, r * sqrt(n) AS z_serial FROM w),
+u AS (SELECT *, exp(-half) * (1 + half + half * half / 2) * sum(n) OVER (PARTITION BY doc_id) / (n * count(*) OVER (PARTITION BY doc_id)) AS p, count(*) OVER (PARTITION BY doc_id) AS m FROM v),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM u), lim AS (SELECT doc_id, max(CASE WHEN p <= {s7.ALPHA} * i / m THEN p END) AS most FROM l GROUP BY 1),
+good AS (SELECT l.doc_id, rank, kind, start, stop FROM l JOIN lim USING (doc_id) WHERE p <= most AND z_chi <= {s7.FAR} AND abs(z_runs) <= {s7.FAR} AND abs(z_serial) <= {s7.FAR}),
+every AS (SELECT doc_id, rank, kind, start, stop FROM base UNION ALL SELECT * FROM good),
+g AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS named,
+  string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) AS spans FROM every GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(named, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {
+    "op7_secrets": _op7_sql(),
+    "op8_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents), b AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+dw AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d), bw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM b WHERE len(ws) >= 5),
+m AS (SELECT doc_id, item_id, n, dw.i - bw.i AS diagonal FROM dw JOIN bw USING (w) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5),
+e AS (SELECT m.doc_id, m.item_id, m.n, m.diagonal, bw.i, dw.w = bw.w AS same, CASE WHEN dw.w = bw.w THEN 1 ELSE -2 END AS v FROM m JOIN bw ON bw.item_id = m.item_id JOIN dw ON dw.doc_id = m.doc_id AND dw.i = m.diagonal + bw.i),
+p AS (SELECT *, sum(v) OVER dg AS s, coalesce({_FITS}, false) AS fits FROM e WINDOW dg AS (PARTITION BY doc_id, item_id, diagonal ORDER BY i)),
+q AS (SELECT *, s - least(0, coalesce(min(s) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS run FROM p),
+o AS (SELECT doc_id, item_id, diagonal, max(run) AS score FROM q GROUP BY 1, 2, 3, n HAVING max(run) >= least(10, n) AND CASE WHEN n >= {decontaminate.SPAN} THEN bool_or(fits) ELSE bool_and(same) AND count(*) = n END),
+a AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, count(*) AS n_overlaps, CAST(max(score) AS BIGINT) AS best_score FROM o GROUP BY 1), l AS (SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM o) GROUP BY 1)
+SELECT d.doc_id, a.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(n_overlaps, 0) AS n_overlaps, coalesce(best_score, 0) AS best_score, coalesce(items, '') AS items
+FROM d LEFT JOIN a USING (doc_id) LEFT JOIN l USING (doc_id)""",
+}
