@@ -30,7 +30,7 @@ def test_query(spark, engine, name):
     if name not in ORACLES:
         assert got.num_columns
         return
-    want = engine.execute(ORACLES[name]).fetch_arrow_table()
+    want = engine.sql(ORACLES[name]).to_arrow_table()
     columns = sorted(got.column_names)
     assert columns == sorted(want.column_names)
     rows = [sorted(zip(*[t[c].to_pylist() for c in columns]), key=repr) for t in (got, want)]
