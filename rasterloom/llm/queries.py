@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, license_scan, pii, quality, secret_scan, simhash, token_order, toxicity
+from . import bpe, decontaminate, language, license_rules, license_scan, pii, quality, secret_scan, simhash, token_order, toxicity
 from .shared import table
 
 
@@ -104,7 +104,49 @@ g AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILT
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(named, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
 
 
+def _apart(pattern: str) -> str:
+    """A rule's pattern for words that each have a space on both sides, as this engine has no lookahead."""
+    out, inside = "", False
+    for c in pattern.removeprefix(" ").removesuffix("(?= )"):
+        inside = c == "[" or inside and c != "]"
+        out += "(?:  )" if c == " " and not inside else c
+    return f" {out} "
+
+
+def _op1_sql() -> str:
+    """op1: all rules on all texts that hold their keyword; overlaps are resolved by a recursion over each text's hits."""
+    q = lambda x: x.replace("'", "''")
+    listed = ", ".join(f"({k}, '{q(label)}', '{q(keyword)}', {priority}, '{q(_apart(pattern))}')" for k, (label, keyword, priority, pattern) in enumerate(license_rules.rules()))
+    phrases = license_scan.PHRASES
+    base = " (?:" + "|".join(p.replace(" ", "(?:  )") for p, _ in phrases) + ") "
+    count = lambda x: f"(length({x}) - length(replace({x}, ' ', ''))) // 2"
+    flat = "unnest(range(1, len(ms) + 1)) AS j, unnest(ms) AS s, unnest(gaps[1:len(ms)]) AS gap"
+    placed = f"CAST(sum({count('gap')}) OVER w + coalesce(sum({count('s')}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)"
+    names = "list_concat(" + "list_concat(".join(f"CASE WHEN contains(one, ' {p} ') THEN ['{label}'] ELSE CAST([] AS VARCHAR[]) END, " for p, label in phrases[:-1])
+    names += f"CASE WHEN contains(one, ' {phrases[-1][0]} ') THEN ['{phrases[-1][1]}'] ELSE CAST([] AS VARCHAR[]) END" + ")" * (len(phrases) - 1)
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+d AS (SELECT doc_id, len(ws) AS n_words, ' ' || array_to_string(ws, ' ') || ' ' AS one, ' ' || array_to_string(ws, '  ') || ' ' AS two FROM t),
+rl(ord, label, keyword, priority, re) AS (VALUES {listed}),
+h0 AS (SELECT doc_id, ord, label, priority, regexp_extract_all(two, re) AS ms, string_split_regex(two, re) AS gaps FROM d JOIN rl ON contains(one, keyword)),
+h1 AS (SELECT doc_id, ord, label, priority, {flat} FROM h0 WHERE len(ms) > 0),
+h2 AS (SELECT doc_id, ord, label, priority, s, {placed} AS start FROM h1 WINDOW w AS (PARTITION BY doc_id, ord ORDER BY j)),
+h3 AS (SELECT *, start + {count('s')} AS stop FROM h2),
+h4 AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC, priority DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h3),
+h5 AS (SELECT doc_id, ord, label, priority, start, stop, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop DESC, priority DESC, ord) AS k FROM h4 WHERE stop > coalesce(reach, 0)),
+r AS (SELECT doc_id, k, [{{'start': start, 'stop': stop, 'priority': priority, 'ord': ord, 'label': label}}] AS kept FROM h5 WHERE k = 1
+  UNION ALL SELECT h.doc_id, h.k, CASE WHEN kept[-1].stop <= h.start THEN list_append(kept, {{'start': h.start, 'stop': h.stop, 'priority': h.priority, 'ord': h.ord, 'label': h.label}})
+    WHEN h.priority > kept[-1].priority OR h.priority = kept[-1].priority AND h.ord < kept[-1].ord THEN list_append(kept[1:len(kept) - 1], {{'start': h.start, 'stop': h.stop, 'priority': h.priority, 'ord': h.ord, 'label': h.label}}) ELSE kept END
+  FROM r JOIN h5 h ON h.doc_id = r.doc_id AND h.k = r.k + 1),
+kept AS (SELECT doc_id, kept FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
+b0 AS (SELECT doc_id, regexp_extract_all(two, '{base}') AS ms, string_split_regex(two, '{base}') AS gaps FROM d), b1 AS (SELECT doc_id, {flat} FROM b0 WHERE len(ms) > 0), b2 AS (SELECT doc_id, {placed} AS start FROM b1 WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM b2 GROUP BY 1),
+x AS (SELECT d.doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, list_sort(CASE WHEN n_base > 0 THEN {names} ELSE CAST([] AS VARCHAR[]) END) AS bl, [e.label FOR e IN kept] AS ml, [e.priority FOR e IN kept] AS ps FROM d LEFT JOIN b USING (doc_id) LEFT JOIN kept USING (doc_id))
+SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(bl, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(bl, coalesce(ml, CAST([] AS VARCHAR[]))))), ',') AS labels,
+  CAST(coalesce(list_max(ps) / 100.0, CASE WHEN n_base > 0 THEN 0.6 END, 0.0) AS DOUBLE) AS score, CAST(coalesce(len(ml), 0) AS BIGINT) AS n_detections FROM x"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_licenses": _op1_sql(),
     "op7_secrets": _op7_sql(),
     "op8_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents), b AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 dw AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d), bw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM b WHERE len(ws) >= 5),
