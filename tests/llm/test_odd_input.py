@@ -2,7 +2,7 @@
 
 import public_tokenizers
 import pytest
-from rasterloom.llm import bpe, decontaminate, language, license_scan, pii, quality, secret_scan, simhash, token_order, toxicity
+from rasterloom.llm import bpe, decontaminate, language, license_scan, near_copies, pii, quality, secret_scan, simhash, token_order, toxicity
 from rasterloom.llm.shared import table
 
 LABELS = [(1, 1, 0), (4, 1, 0), (4, 0, 1), (None, 1, 1), (6, None, None), (10, 1, 1), (2, 1, 0), (8, 1, 0)]
@@ -84,7 +84,8 @@ def test_pipeline(spark, sf):
     docs, labels, bench = (table(spark, sf, t) for t in ("documents", "labels", "benchmark"))
     toxic = {r.doc_id for r in toxicity.assess(docs, labels).collect() if r.predicted}
     left = docs.filter(~docs.doc_id.isin(list(toxic))) if toxic else docs
-    near = {r.doc_id for r in simhash.near_duplicates(left).collect() if r.component_id != r.doc_id}
+    near = {r.doc_id for r in left.collect()} - {r.doc_id for r in near_copies.keep_first(left).collect()}
+    assert near >= {r.doc_id for r in simhash.near_duplicates(left).collect() if r.component_id != r.doc_id}
     left = left.filter(~left.doc_id.isin(list(near))) if near else left
     bad = {r.doc_id for r in decontaminate.assess(left, bench).collect() if r.contaminated}
     ids = {r.doc_id for r in docs.collect()} - toxic - near - bad
