@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .blocks import let
-from .channels import BLACK, PREDICTORS, add_words, cache_slot, clamp, subtract_words, wrap8
+from .channels import add_words, cache_slot, clamp, subtract_words, wrap8
 
 LONGS = "array<bigint>"
 
@@ -43,21 +43,6 @@ def vertical_unfilter(px: Column, width: int) -> Column:
     return let(first, lambda f: F.transform(px, lambda v, p: wrap8(F.get(f, p % width) + down(p))))
 
 
-def residuals(argb: Column, width: int, mode: int) -> Column:
-    """Each word less its prediction: the first row from the left, the first column from above, others by the mode.
-
-    The neighbour above right of a row's last pixel is the row's own first.
-    """
-
-    def one(v: Column, i: Column) -> Column:
-        at = lambda d: F.get(argb, i - d)
-        inner = PREDICTORS[mode](at(1), at(width + 1), at(width), at(width - 1))
-        predicted = F.when(i == 0, F.lit(BLACK)).when(i < width, at(1)).when(i % width == 0, at(width)).otherwise(inner)
-        return subtract_words(v, predicted)
-
-    return F.transform(argb, one)
-
-
 def palette_deltas(palette: Column) -> Column:
     """Differences of a sorted palette's words."""
     return F.transform(palette, lambda v, i: F.when(i == 0, v).otherwise(subtract_words(v, F.get(palette, i - 1))))

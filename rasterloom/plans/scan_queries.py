@@ -53,12 +53,27 @@ fr AS (SELECT *, sum(abs(l - c) - abs(t - c)) OVER (PARTITION BY vec_id, p) AS f
 rs AS (SELECT vec_id, label, p, s, m AS mode, (v - (CASE WHEN p = 0 THEN bk WHEN p < 8 THEN l WHEN p % 8 = 0 THEN t ELSE CASE m {inner} END END) + 256) % 256 AS d FROM fr, (SELECT unnest(range(14)) AS m))"""
 
 
+def residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """vec_id, p, mode, residual: each pixel less each of the 14 predictions; plain rows, so all of it is generated code.
+
+    The first row is foretold from the left, the first column from above, others by the mode. The neighbour
+    above right of a row's last pixel is the row's own first.
+    """
+    px = grids.argb_tiles(spark, sf).select("vec_id", F.transform("argb", ch.wide).alias("px"))
+    # neighbours come out of the generator as columns, so that they aren't worked out again wherever they are used
+    around = F.transform("px", lambda w, i: F.struct(w.alias("v"), *[F.get("px", i - d).alias(n) for n, d in (("l", 1), ("c", 9), ("t", 8), ("r", 7))]))
+    near = px.select("vec_id", F.posexplode(around).alias("p", "n")).select("vec_id", "p", "n.*")
+    v, left, top = F.col("v"), F.col("l"), F.col("t")
+    edge = F.when(F.col("p") == 0, F.lit(255 << 48)).when(F.col("p") < 8, left).when(F.col("p") % 8 == 0, top)
+    told = near.select("vec_id", "p", "v", F.when(edge.isNotNull(), F.array_repeat(edge, 14)).otherwise(F.array(*ch.wide_predictions(left, F.col("c"), top, F.col("r")))).alias("told"))
+    each = told.select("vec_id", "p", "v", F.posexplode("told").alias("mode", "w"))
+    return each.select("vec_id", F.col("p").cast("long").alias("p"), F.col("mode").cast("long").alias("mode"), ch.narrow(ch.wide_difference(F.col("v"), F.col("w"))).alias("residual"))
+
+
 @register("g05_residuals", AR + _residual_cte() + " SELECT vec_id, mode, p, CAST(sum(d * (CAST(1 AS BIGINT) << s)) AS BIGINT) AS residual FROM rs GROUP BY 1, 2, 3")
 def g05(spark: SparkSession, sf: str) -> DataFrame:
     """What each of the 14 predictors leaves, against original neighbours."""
-    every = F.array(*[F.struct(F.lit(m).cast("long").alias("mode"), rw.residuals(F.col("argb"), 8, m).alias("r")) for m in range(14)])
-    df = grids.argb_tiles(spark, sf).select("vec_id", F.explode(every).alias("e")).select("vec_id", "e.mode", F.posexplode("e.r").alias("p", "residual"))
-    return df.select("vec_id", "mode", F.col("p").cast("long").alias("p"), F.col("residual").cast("long").alias("residual"))
+    return residuals(spark, sf).select("vec_id", "mode", "p", "residual")
 
 
 _XL = "CASE WHEN {0} > 0 THEN {0} * log2(CAST({0} AS DOUBLE)) ELSE 0.0 END"
@@ -68,8 +83,7 @@ _XL = "CASE WHEN {0} > 0 THEN {0} * log2(CAST({0} AS DOUBLE)) ELSE 0.0 END"
 m AS (SELECT vec_id, mode, round(sum(cost), 6) AS cost FROM c GROUP BY 1, 2) SELECT vec_id, arg_min(mode, cost * 1000 + mode * 1e-4) AS mode, min(cost) AS cost FROM m GROUP BY vec_id""")
 def i04(spark: SparkSession, sf: str) -> DataFrame:
     """The predictor whose residuals cost least by their entropy, less a tenth of a bit for each zero; the first of equal ones."""
-    every = F.array(*[F.struct(F.lit(m).cast("long").alias("mode"), rw.residuals(F.col("argb"), 8, m).alias("r")) for m in range(14)])
-    df = grids.argb_tiles(spark, sf).select("vec_id", F.explode(every).alias("e")).select("vec_id", "e.mode", F.explode("e.r").alias("r"))
+    df = residuals(spark, sf).select("vec_id", "mode", F.col("residual").alias("r"))
     parts = F.expr("stack(4, 0, shiftright(r, 24) & 255L, 1, shiftright(r, 16) & 255L, 2, shiftright(r, 8) & 255L, 3, r & 255L) AS (s, d)")
     h = df.select("vec_id", "mode", parts).groupBy("vec_id", "mode", "s", "d").agg(F.count("*").alias("n"))
     c = h.groupBy("vec_id", "mode", "s").agg((entropy(F.col("n")) - F.sum(F.when(F.col("d") == 0, F.col("n")).otherwise(0)) / 10.0).alias("cost"))
