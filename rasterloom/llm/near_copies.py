@@ -7,9 +7,10 @@ some of the tables. The second, 256 bits over five-word shingles, is compared: p
 largest difference of their pivot distances, survivors by their own distance. What is left is verified by
 the Jaccard similarity of the two sets of five-word shingles.
 
-A route with many members is cut into blocks; a task compares two blocks and returns the links of least
-distance that span them, so rows out stay in proportion to rows in. The search is not exact: at a
-similarity of 0.8 it finds about nine pairs in ten, above 0.85 nearly all; each link it gives is exact.
+A route with many members is cut into blocks; a task compares two blocks with their sets, verifies, and
+returns verified links that join what all verified pairs join, so rows out stay in proportion to rows in and
+no result depends on a route's size. The search is not exact: at a similarity of 0.8 it finds about nine
+pairs in ten, above 0.85 nearly all; each link it gives is exact.
 
 Defined cases: as in `simhash`; a text of fewer than five words is one shingle, alike only to itself.
 """
@@ -34,6 +35,8 @@ ROUTE_LANES, CHOSEN, CHOICES = 2, 24, 28
 LANES, RADIUS = 4, 50
 PIVOTS = 8
 JOINED, BLOCK = 16, 1024
+#: The most shingles of a block, so that long texts make smaller blocks.
+BLOCK_SHINGLES = 1 << 22
 
 _RANDOM = np.random.Generator(np.random.PCG64(128))
 _LANE_KEYS = _RANDOM.integers(1, 1 << 63, ROUTE_LANES + LANES, dtype=np.uint64)
@@ -99,38 +102,46 @@ def _distance(a: list, b: list):
     return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:])), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def nearest_links(lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of links of least distance that span the rows of n x LANES within the radius, by rounds of merging components."""
+def alike_links(lanes: np.ndarray, radius: int, sets: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that span the rows of n x LANES as all pairs do that are within the radius and, given their sets of shingles, alike in SIMILARITY.
+
+    A pair is left out only if it is tested and not alike, or if links that are joins both already.
+    """
     n = len(lanes)
     table = np.stack([np.bitwise_count(lanes ^ p).sum(1) for p in _PIVOTS], 1).astype(np.int16)
-    distance = np.full((n, n), 1 << 14, np.int16)
-    for i in range(n):
-        near = np.flatnonzero(np.abs(table - table[i]).max(1) <= radius)
-        distance[i, near] = np.bitwise_count(lanes[near] ^ lanes[i]).sum(1)
-    distance[distance > radius] = 1 << 14
-    np.fill_diagonal(distance, 1 << 14)
+    if sets is not None:
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+        size, held = np.diff(bounds), np.zeros(len(ids) + 1, bool)
     part, a, b = np.arange(n), [], []
-    while True:
-        open_ = np.where(part[:, None] == part[None, :], 1 << 14, distance)
-        to = open_.argmin(1)
-        cost = open_[np.arange(n), to]
-        if (cost >= 1 << 14).all():
-            return np.array(a, np.int64), np.array(b, np.int64)
-        for p in np.unique(part[cost < 1 << 14]):
-            own = np.flatnonzero(part == p)
-            if not len(own):
-                continue  # merged with another in this round
-            i = own[np.lexsort((to[own], cost[own]))[0]]
-            if cost[i] < 1 << 14:
-                x, y = part[i], part[to[i]]
-                if x != y:
-                    a.append(i)
-                    b.append(to[i])
-                    part[part == max(x, y)] = min(x, y)
-
-
-def candidates(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: pairs of nodes (node, r0.., v0..) whose comparing lanes are within the radius; a spanning choice of them in crowded routes."""
+    for i in range(n):
+        near = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & (np.abs(table[i + 1 :] - table[i]).max(1, initial=0) <= radius))
+        near = near[np.bitwise_count(lanes[near] ^ lanes[i]).sum(1) <= radius]
+        if sets is not None and len(near):
+            near = near[np.minimum(size[near], size[i]) >= SIMILARITY * np.maximum(size[near], size[i])]
+            held[ids[bounds[i] : bounds[i + 1]]] = True
+        for j in near.tolist():
+            if part[i] == part[j]:
+                continue  # joined since
+            if sets is not None:
+                same = int(held[ids[bounds[j] : bounds[j + 1]]].sum())
+                if same < SIMILARITY * (int(size[i]) + int(size[j]) - same):
+                    continue
+            a.append(i)
+            b.append(j)
+            part[part == max(part[i], part[j])] = min(part[i], part[j])
+        if sets is not None:
+            held[ids[bounds[i] : bounds[i + 1]]] = False
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def nearest_links(lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that span the rows of n x LANES within the radius."""
+    return alike_links(lanes, radius)
+
+
+def candidates(nodes: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Of nodes (node, r0.., v0..): a, b, pairs whose comparing lanes are within the radius, of routes with few members; route, n, node, v0.., the members of crowded routes."""
     lanes = [F.col(c) for c in _LANE]
     keys = F.array(*[F.xxhash64(F.lit(k), *[F.col(r).bitwiseAND(F.lit(_signed(m))) for r, m in zip(_ROUTE, masks)]) for k, masks in enumerate(_CHOICES)])
     routed = nodes.select("node", *_LANE, F.explode(keys).alias("route"))
@@ -141,26 +152,14 @@ def candidates(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     other = few.select("route", F.col("node").alias("node2"), *[F.col(c).alias(f"{c}_2") for c in _LANE], F.col("at").alias("at2"))
     apart = F.aggregate(F.zip_with("at", "at2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: F.greatest(s, x))
     pairs = few.join(other, "route").filter(F.col("node") < F.col("node2")).filter(apart <= radius).filter(_distance(lanes, [F.col(f"{c}_2") for c in _LANE]) <= radius).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node").sort_values("node")
-        ids = pdf["node"].to_numpy(np.int64)
-        x, y = nearest_links(pdf[_LANE].to_numpy(np.int64).view(np.uint64), radius)
-        return pd.DataFrame({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
-
-    many = members.filter(F.col("n") > JOINED)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = many.withColumn("x", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("node", *_LANE, "route", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    return pairs.unionByName(met.groupBy("route", "x", "y").applyInPandas(compare, "a long, b long")).distinct()
+    return pairs.distinct(), members.filter(F.col("n") > JOINED)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose documents' sets of five-word shingles are alike in SIMILARITY at least; nodes has node and rep (an id and a text hash)."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("rep.doc_id").alias("of_id"), F.col("rep.text_hash").alias("of_hash"))
+def shingle_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, s: the set of five-word shingles of each node wanted; nodes has node and rep (an id and a text hash)."""
+    of = nodes.join(wanted, "node").select("node", F.col("rep.doc_id").alias("of_id"), F.col("rep.text_hash").alias("of_hash"))
     rows = id_and_text(docs, id_col, text_col)
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash"))).select("node", "text")
+    texts = rows.join(of, rows["doc_id"].eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash"))).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,12 +168,42 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, t
                 each = [np.unique(hashes[x:y]).view(np.int64) for x, y in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), pa.array(each, pa.list_(pa.int64()))], names=["node", "s"])
 
-    held = kept(texts.mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]))
+    return texts.mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs whose sets of five-word shingles (node, s) are alike in SIMILARITY at least."""
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
     return both.filter(same >= SIMILARITY * (F.size("sa") + F.size("sb") - same)).select("a", "b")
 
 
+def spanned(crowded: DataFrame, held: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """a, b: links that join the members of crowded routes as all their verified pairs do; a task compares two blocks of a route."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").sort_values("node")
+        ids = pdf["node"].to_numpy(np.int64)
+        x, y = alike_links(pdf[_LANE].to_numpy(np.int64).view(np.uint64), radius, [np.asarray(s, np.int64) for s in pdf["s"]])
+        return pd.DataFrame({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
+
+    sized = crowded.join(held.select("node", F.size("s").alias("size")), "node")
+    blocks = F.ceil(F.greatest(F.first("n") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    many = crowded.join(sized.groupBy("route").agg(blocks.alias("blocks")), "route")
+    met = many.withColumn("x", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("node", *_LANE, "route", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return met.join(held, "node").groupBy("route", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+
+
+def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """a, b: verified links whose components are those of all verified pairs that a route brings together."""
+    pairs, crowded = candidates(nodes)
+    pairs = kept(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct()
+    held = kept(shingle_sets(wanted, docs, nodes, id_col, text_col))
+    return verified(pairs, held).unionByName(spanned(crowded, held))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each group, with all its columns: that of the smallest id, or if all ids are null of the smallest hash.
 
@@ -187,7 +216,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hubs = nodes.groupBy("fp").agg(F.min("node").alias("hub"))
     same = nodes.join(hubs, "fp").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     narrow = simhash.links(hubs.select("fp")).join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("ha")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("hb")), "b")
-    near = verified(kept(candidates(nodes)), docs, nodes, id_col, text_col)
+    near = links(docs, nodes, id_col, text_col)
     roots = simhash.components(same.unionByName(narrow.select(F.col("ha").alias("a"), F.col("hb").alias("b"))).unionByName(near))
     first = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rep").alias("f"))
     at, text_hash = unused(docs, "first_id"), unused(docs, "first_hash")

@@ -89,3 +89,33 @@ def test_nearest_links_span():
     a, b = near_copies.nearest_links(rows, 40)
     got = groups(60, list(zip(a.tolist(), b.tolist())))
     assert len(a) == 55 and all((got[i] == got[j]) == (i % 5 == j % 5) for i in range(60) for j in range(60))
+
+
+def test_crowded_routes_verify_before_they_thin():
+    """Two alike rows whose nearest row is alike to neither are linked all the same."""
+    lanes = np.zeros((3, near_copies.LANES), np.uint64)
+    lanes[1, 0], lanes[2, 0] = (1 << 10) - 1, (1 << 20) - 1
+    sets = [np.arange(100), np.arange(200, 300), np.arange(5, 105)]
+    a, b = near_copies.alike_links(lanes, near_copies.RADIUS, sets)
+    assert list(zip(a.tolist(), b.tolist())) == [(0, 2)]
+
+
+def test_result_does_not_depend_on_route_size(spark, monkeypatch):
+    """Copies on both sides of the threshold: comparing all pairs and comparing blocks keep the same documents."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(4000)]
+    texts = []
+    for base in (rng.choice(words, 150).tolist() for _ in range(4)):
+        for _ in range(30):
+            w = base[:]
+            for i in rng.choice(len(w), int(rng.integers(1, 5)), replace=False):
+                w[int(i)] = str(rng.choice(words))
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies.simhash, "links", lambda distinct: spark.createDataFrame([], "a long, b long"))  # only the wider search
+    kept = []
+    for joined, block in ((10**6, 1024), (1, 1024), (1, 16)):
+        monkeypatch.setattr(near_copies, "JOINED", joined)
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        kept.append({r.doc_id for r in near_copies.keep_first(df).collect()})
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) < len(texts)
