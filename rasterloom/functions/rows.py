@@ -107,15 +107,15 @@ def smoothed_levels(px: Column, width: int, height: int, strength: int) -> Colum
     return px if radius <= 0 else let(F.array_sort(F.array_distinct(px)), work)
 
 
-def canonical_codes(lengths: Column) -> Column:
-    """Codes by (length, symbol), first bit last: array<struct<symbol, length, code>> from array<struct<length, symbol>>."""
+def canonical_codes(lengths: Column, most: int = 15) -> Column:
+    """Codes of up to `most` bits by (length, symbol), first bit last: array<struct<symbol, length, code>> from array<struct<length, symbol>>."""
     ranked = F.array_sort(lengths)
     zero = F.struct(F.array().cast("array<struct<symbol:int,length:int,code:bigint>>").alias("out"), F.lit(0).cast("long").alias("next"))
-    flipped = lambda code, n: F.conv(F.reverse(F.substring(F.lpad(F.bin(code), 15, "0"), F.lit(16) - n, n)), 2, 10).cast("long")
+    flipped = lambda code, n: F.conv(F.reverse(F.substring(F.lpad(F.bin(code), most, "0"), F.lit(most + 1) - n, n)), 2, 10).cast("long")
 
     def add(acc: Column, s: Column) -> Column:
-        code = F.call_function("shiftright", acc["next"], 15 - s["length"])
+        code = F.call_function("shiftright", acc["next"], most - s["length"])
         row = F.struct(s["symbol"].alias("symbol"), s["length"].alias("length"), flipped(code, s["length"]).alias("code"))
-        return F.struct(F.concat(acc["out"], F.array(row)).alias("out"), (acc["next"] + F.call_function("shiftleft", F.lit(1).cast("long"), 15 - s["length"])).alias("next"))
+        return F.struct(F.concat(acc["out"], F.array(row)).alias("out"), (acc["next"] + F.call_function("shiftleft", F.lit(1).cast("long"), most - s["length"])).alias("next"))
 
     return F.aggregate(ranked, zero, add, lambda acc: acc["out"])

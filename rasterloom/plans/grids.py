@@ -6,6 +6,10 @@ alpha, red, green and blue from the plane's bytes 0, 1, 2 and 3 places on.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +49,45 @@ def argb_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles(spark, sf_dir).select("vec_id", "label", F.transform("px", word).alias("argb"))
 
 
-def text_bytes(spark: SparkSession, sf_dir: str, most: int = 64) -> DataFrame:
-    """doc_id, i (from 1), b: low byte of each of the first code points."""
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
-    at = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.length("text")))).alias("i"))
-    return at.select("doc_id", "i", F.ascii(F.substring("text", F.col("i"), F.lit(1))).bitwiseAND(255).alias("b"))
+def per_text(spark: SparkSession, sf_dir: str, of: Callable[[np.ndarray], list], schema: str) -> DataFrame:
+    """doc_id and the columns that `of` makes, as arrays of one length, of the low bytes of each whole text's code points; schema is that of these columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(ids: list, made: list) -> pa.RecordBatch:
+            columns = [np.concatenate([m[k] for m in made]) for k in range(len(made[0]))]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), [len(m[0]) for m in made])), *map(pa.array, columns)], names=names)
+
+        for b in batches:
+            ids, made, n = [], [], 0
+            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
+                made.append(of((np.frombuffer(text.as_py().encode("utf-32-le"), "<u4") & 255).astype(np.int64)))
+                ids.append(i)
+                n += len(made[-1][0])
+                if n >= 1 << 16:
+                    yield batch(ids, made)
+                    ids, made, n = [], [], 0
+            if made:
+                yield batch(ids, made)
+
+    names = ["doc_id", *[c.split()[0] for c in schema.split(", ")]]
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(run, f"doc_id long, {schema}")
+
+
+def run_lengths(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of maximal runs of equal values, of which there is one at least."""
+    starts = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1])
+    return starts, np.diff(np.concatenate([starts, [len(v)]]))
+
+
+def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, b, n: how often a text has each byte."""
+
+    def of(v: np.ndarray) -> list:
+        counts = np.bincount(v)
+        return [held := np.flatnonzero(counts), counts[held]]
+
+    return per_text(spark, sf_dir, of, "b long, n long")
 
 
 #: The same relations for the SQL engine: t (px as a list, from 1), px, argb, tx.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,11 +106,12 @@ def g06(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, count(*) AS runs, max(len) AS longest, CAST(sum(CASE WHEN len >= 5 THEN 2 ELSE len END) AS BIGINT) AS refs FROM n GROUP BY 1""")
 def g07(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of equal bytes; one of five or more is a literal and a copy at distance 1."""
-    t = grids.table(spark, sf, "documents").filter(F.length("text") > 0)
-    chars = F.transform(F.split(F.substring("text", 1, 64), ""), lambda c: F.ascii(c).bitwiseAND(255))
-    df = t.select("doc_id", rw.runs(chars).alias("r"))
-    refs = F.aggregate("r", F.lit(0).cast("long"), lambda s, x: s + F.when(x["len"] >= 5, 2).otherwise(x["len"]))
-    return df.select("doc_id", F.size("r").cast("long").alias("runs"), F.array_max(F.transform("r", lambda x: x["len"])).cast("long").alias("longest"), refs.alias("refs"))
+
+    def of(b: np.ndarray) -> list:
+        n = grids.run_lengths(b)[1]
+        return [np.array([x], np.int64) for x in (len(n), n.max(), np.where(n >= 5, 2, n).sum())]
+
+    return grids.per_text(spark, sf, of, "runs long, longest long, refs long")
 
 
 @register("g10_colour_cache", AR + """, q AS (SELECT vec_id, p, (v // 67108864) * 67108864 AS v FROM argb), c AS (SELECT vec_id, p, v, ((v * 506832829) & 4294967295) >> 28 AS slot FROM q)
@@ -163,12 +165,13 @@ c AS (SELECT doc_id, 'literal' AS kind, sum(len) * 8 AS cost, 0 AS o FROM n GROU
 SELECT doc_id, arg_min(kind, cost * 2 + o) AS kind, CAST(min(cost) AS BIGINT) AS cost FROM c GROUP BY 1""")
 def i06(spark: SparkSession, sf: str) -> DataFrame:
     """Literals alone, or runs as copies: the cheaper stream, the first of equal ones."""
-    chars = F.split(F.substring("text", 1, 64), "")
-    df = grids.table(spark, sf, "documents").filter(F.length("text") > 0).select("doc_id", rw.runs(F.transform(chars, lambda c: F.ascii(c).bitwiseAND(255))).alias("r"))
-    total = lambda f: F.aggregate("r", F.lit(0).cast("long"), lambda s, x: s + f(x["len"]))
-    one = lambda c, o, k: F.struct(c.alias("cost"), F.lit(o).alias("o"), F.lit(k).alias("kind"))
-    best = F.array_min(F.array(one(total(lambda n: n * 8), 0, "literal"), one(total(lambda n: F.when(n >= 5, 22).otherwise(n * 8)) + 5, 1, "runs")))
-    return df.select("doc_id", best.alias("b")).select("doc_id", "b.kind", "b.cost")
+
+    def of(b: np.ndarray) -> list:
+        n = grids.run_lengths(b)[1]
+        cost, _, kind = min((len(b) * 8, 0, "literal"), (int(np.where(n >= 5, 22, n * 8).sum()) + 5, 1, "runs"))
+        return [np.array([kind]), np.array([cost], np.int64)]
+
+    return grids.per_text(spark, sf, of, "kind string, cost long")
 
 
 @register("i09_canonical_codes", TX + """, h AS (SELECT doc_id, b, count(*) AS n FROM tx GROUP BY 1, 2), l AS (SELECT doc_id, b, CAST(greatest(1, ceil(log2(CAST(sum(n) OVER (PARTITION BY doc_id) AS DOUBLE) / n))) AS INTEGER) AS len FROM h),
@@ -176,11 +179,11 @@ c AS (SELECT doc_id, b, len, CAST(sum(1 << (15 - len)) OVER (PARTITION BY doc_id
 SELECT doc_id, CAST(b AS BIGINT) AS symbol, CAST(len AS BIGINT) AS length, CAST(list_sum([((code >> i) & 1) << (len - 1 - i) FOR i IN range(len)]) AS BIGINT) AS code FROM c""")
 def i09(spark: SparkSession, sf: str) -> DataFrame:
     """Codes of each text's bytes; lengths are rounded-up bits, which always fit."""
-    h = grids.text_bytes(spark, sf).groupBy("doc_id", "b").agg(F.count("*").alias("n"))
+    h = grids.text_counts(spark, sf)
     total = F.sum("n").over(Window.partitionBy("doc_id"))
-    length = F.greatest(F.lit(1), F.ceil(F.log2(total.cast("double") / F.col("n")))).cast("int")
+    length = F.greatest(F.lit(1), F.ceil(F.log2(total.cast("double") / F.col("n")) - 1e-12)).cast("int")
     s = h.select("doc_id", F.struct(length.alias("length"), F.col("b").cast("int").alias("symbol")).alias("s")).groupBy("doc_id").agg(F.collect_list("s").alias("s"))  # 256 symbols at most
-    out = s.select("doc_id", F.explode(rw.canonical_codes(F.col("s"))).alias("c"))
+    out = s.select("doc_id", F.explode(rw.canonical_codes(F.col("s"), 32)).alias("c"))
     return out.select("doc_id", F.col("c.symbol").cast("long").alias("symbol"), F.col("c.length").cast("long").alias("length"), "c.code")
 
 

@@ -186,7 +186,7 @@ def f13(spark: SparkSession, sf: str) -> DataFrame:
 SELECT CAST(sum(n * len) AS BIGINT) AS bits, CAST(sum(CASE WHEN b >= 64 THEN n * (CAST(floor(log2(CAST(b AS DOUBLE))) AS BIGINT) - 5) ELSE 0 END) AS BIGINT) AS extra FROM l""")
 def f14(spark: SparkSession, sf: str) -> DataFrame:
     """Length of each symbol's code times its count, and extra bits of symbols from 64 on."""
-    h = grids.text_bytes(spark, sf).groupBy("b").agg(F.count("*").alias("n"))
+    h = grids.text_counts(spark, sf).groupBy("b").agg(F.sum("n").alias("n"))
     total = h.agg(F.sum("n").alias("total"))  # one row; a histogram of bytes has 256 at most
     length = F.least(F.lit(15), F.greatest(F.lit(1), F.ceil(F.log2(F.col("total").cast("double") / F.col("n")))))
     extra = F.when(F.col("b") >= 64, F.col("n") * (F.floor(F.log2(F.col("b").cast("double"))) - 5)).otherwise(F.lit(0).cast("long"))

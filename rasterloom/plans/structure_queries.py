@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,13 +107,17 @@ s AS (SELECT doc_id, off // 8 + k AS byte, CASE k WHEN 0 THEN (v << CAST(off % 8
 SELECT doc_id, CAST(byte AS BIGINT) AS byte, CAST(bit_or(part) AS BIGINT) AS v FROM s GROUP BY 1, 2 HAVING bit_or(part) > 0""")
 def b07(spark: SparkSession, sf: str) -> DataFrame:
     """Fields of 1 to 8 bits written least significant first: each field's place is the running sum of widths, and a byte is the OR of the parts that reach it."""
-    w = grids.text_bytes(spark, sf).withColumn("n", 1 + F.col("b") % 8)
-    off = F.sum("n").over(Window.partitionBy("doc_id").orderBy("i")) - F.col("n")
-    o = w.select("doc_id", off.alias("off"), F.col("b").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("n")) - 1).alias("v"))
-    moved = F.call_function("shiftleft", F.col("v"), (F.col("off") % 8).cast("int"))
-    parts = F.array(F.struct(F.expr("off div 8").alias("byte"), moved.bitwiseAND(255).alias("v")), F.struct(F.expr("off div 8 + 1").alias("byte"), F.shiftright(moved, 8).alias("v")))
-    s = o.select("doc_id", F.explode(parts).alias("s")).filter("s.v > 0")
-    return s.groupBy("doc_id", F.col("s.byte").alias("byte")).agg(F.bit_or("s.v").cast("long").alias("v"))
+
+    def of(b: np.ndarray) -> list:
+        n = 1 + b % 8
+        off = np.cumsum(n) - n
+        moved = (b & ((1 << n) - 1)) << off % 8
+        # the parts of a byte have no bit in common, so their sum is their OR
+        size = int(off[-1]) // 8 + 2
+        v = (np.bincount(off // 8, moved & 255, size) + np.bincount(off // 8 + 1, moved >> 8, size)).astype(np.int64)
+        return [held := np.flatnonzero(v), v[held]]
+
+    return grids.per_text(spark, sf, of, "byte long, v long")
 
 
 @register("b08_run_tokens", TX + """, q AS (SELECT doc_id, i, CASE WHEN b < 97 THEN 0 WHEN b > 122 THEN 2 ELSE 1 END AS v FROM tx), g AS (SELECT *, v IS DISTINCT FROM lag(v) OVER (PARTITION BY doc_id ORDER BY i) AS new FROM q),
@@ -120,14 +125,15 @@ r AS (SELECT doc_id, v, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDE
 SELECT doc_id, CAST(run AS BIGINT) AS run, CAST(v AS BIGINT) AS v, len, CASE WHEN v = 0 THEN len // 138 + CASE WHEN len % 138 >= 3 THEN 1 ELSE len % 138 END ELSE 1 + (len - 1) // 6 + CASE WHEN (len - 1) % 6 >= 3 THEN 1 ELSE (len - 1) % 6 END END AS tokens FROM n""")
 def b08(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of equal values, and how many tokens each takes: zeros in up to 138 at once, others once and then up to 6 repeats at once, with remainders under 3 written out."""
-    v = F.when(F.col("b") < 97, 0).when(F.col("b") > 122, 2).otherwise(1)
-    w = Window.partitionBy("doc_id").orderBy("i")
-    q = grids.text_bytes(spark, sf).select("doc_id", "i", v.alias("v"))
-    q = q.withColumn("new", ~F.col("v").eqNullSafe(F.lag("v").over(w))).withColumn("run", F.sum(F.col("new").cast("long")).over(w))
-    n = q.groupBy("doc_id", "run", "v").agg(F.count("*").alias("len"))
-    spare = lambda left: F.when(left >= 3, 1).otherwise(left)
-    tokens = F.when(F.col("v") == 0, F.expr("len div 138") + spare(F.col("len") % 138)).otherwise(1 + F.expr("(len - 1) div 6") + spare((F.col("len") - 1) % 6))
-    return n.select("doc_id", "run", F.col("v").cast("long").alias("v"), "len", tokens.cast("long").alias("tokens"))
+
+    def of(b: np.ndarray) -> list:
+        v = np.where(b < 97, 0, np.where(b > 122, 2, 1))
+        starts, n = grids.run_lengths(v)
+        spare = lambda left: np.where(left >= 3, 1, left)
+        tokens = np.where(v[starts] == 0, n // 138 + spare(n % 138), 1 + (n - 1) // 6 + spare((n - 1) % 6))
+        return [np.arange(1, len(n) + 1), v[starts], n, tokens]
+
+    return grids.per_text(spark, sf, of, "run long, v long, len long, tokens long")
 
 
 def prefix_code(value: Column) -> tuple[Column, Column, Column]:
