@@ -201,20 +201,12 @@ def k02(spark: SparkSession, sf: str) -> DataFrame:
     return _pictures(spark, sf).mapInArrow(run, "picture_id long, quality long, base long")
 
 
-def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, bytes: the low byte of each of a text's first 64 code points."""
-    t = grids.table(spark, sf, "documents").filter(F.length("text") > 0)
-    return t.select("doc_id", F.transform(F.split(F.substring("text", 1, 64), ""), lambda c: F.ascii(c).bitwiseAND(255)).alias("bytes"))
-
-
 def _per_text(spark: SparkSession, sf: str, of) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = of(listed)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), i)), pa.array(np.arange(1, len(got) + 1)), pa.array(np.array(got, np.int64))], names=["doc_id", "i", "b"])
+    def numbered(v: np.ndarray) -> list:
+        got = np.array(of(v.tolist()), np.int64)
+        return [np.arange(1, len(got) + 1), got]
 
-    return _texts(spark, sf).mapInArrow(run, "doc_id long, i long, b long")
+    return grids.per_text(spark, sf, numbered, "i long, b long")
 
 
 _TX = with_(grids.TEXT_BYTES) + "SELECT doc_id, i, CAST(b AS BIGINT) AS b FROM tx"

@@ -1,5 +1,7 @@
 """Queries over texts against the registered SQL without its cut, on texts longer than the cut."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -36,3 +38,26 @@ def test_long_codes(spark, tmp_path):
     """A byte that is rarer than one in 2 ** 15 gets a longer code."""
     got = {r.symbol: (r.length, r.code) for r in QUERIES["i09_canonical_codes"](spark, write(spark, tmp_path / "t", ["a" * 70_000 + "b"])).collect()}
     assert got == {97: (1, 0), 98: (17, 1)}
+
+
+LONG = ["The quick brown fox. " * 30, "".join(chr(32 + k * k * 7 % 91) for k in range(900)) * 2, "x", "", None]
+
+
+@pytest.mark.parametrize("name", ["k01_bool_round_trip", "g08_lazy_parse", "k07_prefix_round_trip"])
+def test_round_trips_are_of_whole_texts(spark, tmp_path, name):
+    got = [tuple(r) for r in QUERIES[name](spark, write(spark, tmp_path / "t", LONG)).select("doc_id", "i", "b").collect()]
+    assert sorted(got) == [(d, i, ord(c)) for d, t in enumerate(LONG) for i, c in enumerate(t or "", 1)]
+
+
+def test_code_cost_is_of_whole_texts(spark, tmp_path):
+    """Against merging the two least weights."""
+
+    def cost(text):
+        weights, bits = sorted(Counter(text).values()), 0
+        while len(weights) > 1:
+            bits += weights[0] + weights[1]
+            weights = sorted([weights[0] + weights[1], *weights[2:]])
+        return bits
+
+    got = {r.doc_id: r.bits for r in QUERIES["i08_code_cost"](spark, write(spark, tmp_path / "t", LONG[:2])).collect()}
+    assert got == {d: cost(t) for d, t in enumerate(LONG[:2])}
