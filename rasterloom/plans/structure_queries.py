@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -296,21 +299,38 @@ def e06(spark: SparkSession, sf: str) -> DataFrame:
     return _longs(out, ["vec_id", "y", "x"], {"rank": F.col("rank") + 1, "vector": F.col("k.v"), "weight": -F.col("k.neg")})
 
 
+def longest_matches(s: str) -> list[tuple[int, int]]:
+    """(length, distance) of the longest earlier match of each place from the second on; without any, (0, 1)."""
+    out, n, source = [], 0, 0
+    for i in range(1, len(s)):
+        # what matched at the place before matches here too, less its first character
+        n, source = max(n - 1, 0), source + 1
+        while i + n < len(s):
+            if s[source + n] != s[i + n] or source >= i:
+                other = s.find(s[i : i + n + 1], 0, i + n)
+                if other < 0:
+                    break
+                source = other
+            n += 1
+        source = s.rfind(s[i : i + n], 0, i + n - 1)
+        out.append((n, i - source))
+    return out
+
+
 @register("e07_longest_match", """WITH t AS (SELECT doc_id, substring(text, 1, 24) AS s FROM documents WHERE length(text) > 0), p AS (SELECT doc_id, s, i, j FROM (SELECT doc_id, s, unnest(range(2, length(s) + 1)) AS i FROM t), (SELECT unnest(range(1, 24)) AS j) WHERE j < i),
 m AS (SELECT doc_id, i, j, list_max([k FOR k IN range(0, length(s) - i + 2) IF substring(s, i, k) = substring(s, j, k)]) AS len FROM p)
 SELECT doc_id, i AS place, CAST(max(len) AS BIGINT) AS len, i - max(j) FILTER (WHERE len = top) AS distance FROM (SELECT *, max(len) OVER (PARTITION BY doc_id, i) AS top FROM m) GROUP BY doc_id, i""")
 def e07(spark: SparkSession, sf: str) -> DataFrame:
-    """For each place of a text's first 24 characters the longest earlier match, the nearest of equal ones; matches may overlap their source."""
-    t = grids.table(spark, sf, "documents").filter(F.length("text") > 0).select("doc_id", F.split(F.substring("text", 1, 24), "").alias("c"))
-    t = t.withColumn("i", F.explode(F.when(F.size("c") > 1, F.sequence(F.lit(1), F.size("c") - 1))))
+    """For each place of a text the longest earlier match, the nearest of equal ones; matches may overlap their source."""
 
-    def length(j: Column) -> Column:
-        differ = F.transform(F.sequence(F.lit(0), F.size("c") - F.col("i") - 1), lambda k: F.when(F.get("c", F.col("i") + k) != F.get("c", j + k), k))
-        return F.coalesce(F.array_min(differ), F.size("c") - F.col("i"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = np.array(longest_matches(text), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(np.arange(2, len(found) + 2)), *map(pa.array, found.T.copy())], names=["doc_id", "place", "len", "distance"])
 
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("i") - 1), lambda j: F.struct(length(j).alias("len"), j.alias("j"))))
-    out = t.select("doc_id", "i", best.alias("best"))
-    return _longs(out, ["doc_id"], {"place": F.col("i") + 1, "len": F.col("best.len"), "distance": F.col("i") - F.col("best.j")})
+    docs = grids.table(spark, sf, "documents").filter(F.length("text") > 1).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(run, "doc_id long, place long, len long, distance long")
 
 
 @register("e08_motion_search", TL + """, n AS (SELECT vec_id, bs, lag(bs) OVER (PARTITION BY label ORDER BY vec_id) AS pb FROM t), c AS (SELECT vec_id, dy, dx, list_sum([(bs[(2 + i // 4) * 8 + 2 + i % 4 + 1] - pb[(2 + i // 4 + dy) * 8 + 2 + i % 4 + dx + 1]) ** 2 FOR i IN range(16)]) AS sse FROM n, (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE pb IS NOT NULL),

@@ -61,3 +61,22 @@ def test_code_cost_is_of_whole_texts(spark, tmp_path):
 
     got = {r.doc_id: r.bits for r in QUERIES["i08_code_cost"](spark, write(spark, tmp_path / "t", LONG[:2])).collect()}
     assert got == {d: cost(t) for d, t in enumerate(LONG[:2])}
+
+
+def test_longest_match(spark, tmp_path):
+    """Against trying every earlier place."""
+    texts = ["abcabcabcabcabcabcabcabcabcabcabcabcabc xyz abcabcabc", "The quick brown fox jumps over the lazy dog; the quick brown fox jumps again.", "a" * 60, "abababbabaabbbabababaabbabaababbbabaababab", "ab", "x", "", None]
+
+    def length(s, j, i):
+        k = 0
+        while i + k < len(s) and s[j + k] == s[i + k]:
+            k += 1
+        return k
+
+    want = []
+    for d, s in enumerate(texts):
+        for i in range(1, len(s or "")):
+            n, j = max((length(s, j, i), j) for j in range(i))
+            want.append((d, i + 1, n, i - j))
+    got = QUERIES["e07_longest_match"](spark, write(spark, tmp_path / "t", texts)).select("doc_id", "place", "len", "distance").collect()
+    assert sorted(map(tuple, got)) == want
