@@ -85,8 +85,8 @@ def a10(spark: SparkSession, sf: str) -> DataFrame:
 def a12(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata without the six-byte prefix that some writers put before it; here rows of an even id have it."""
     raw = F.concat(F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("457869660000"))).otherwise(F.unhex(F.lit(""))), F.coalesce("text", F.lit("")).cast("binary"))
-    df = grids.table(spark, sf, "documents").select("doc_id", F.hex(F.substring(raw, 1, 46)).alias("h"))
-    return df.select("doc_id", F.substring(F.when(F.startswith("h", F.lit("457869660000")), F.substring("h", 13, 200)).otherwise(F.col("h")), 1, 80).alias("payload"))
+    df = grids.table(spark, sf, "documents").select("doc_id", F.hex(raw).alias("h"))
+    return df.select("doc_id", F.when(F.startswith("h", F.lit("457869660000")), F.expr("substring(h, 13)")).otherwise(F.col("h")).alias("payload"))
 
 
 @register("a13_orientation", "SELECT p_partkey, CASE WHEN p_size % 12 BETWEEN 1 AND 8 THEN CAST(p_size % 12 AS BIGINT) ELSE 1 END AS orientation FROM part")

@@ -80,3 +80,8 @@ def test_longest_match(spark, tmp_path):
             want.append((d, i + 1, n, i - j))
     got = QUERIES["e07_longest_match"](spark, write(spark, tmp_path / "t", texts)).select("doc_id", "place", "len", "distance").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_metadata_payload_is_whole(spark, tmp_path):
+    got = {r.doc_id: r.payload for r in QUERIES["a12_metadata_payload"](spark, write(spark, tmp_path / "t", LONG)).collect()}
+    assert got == {d: (t or "").encode().hex().upper() for d, t in enumerate(LONG)}
