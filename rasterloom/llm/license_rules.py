@@ -229,12 +229,31 @@ def rules() -> list[tuple[str, str, int, str]]:
     return out
 
 
+def _fixed(pattern: str) -> list[str]:
+    """Parts of a pattern that don't vary: without groups, classes and optional characters."""
+    left, sure = "", pattern
+    while left != sure:
+        left, sure = sure, re.sub(r"\((?:\?[:=])?[^()]*\)\??(?:\{[\d,]+\})?|\[[^]]*\][*+?]?|[^()\n][?*+]", "\n", sure)
+    return sure.split("\n")
+
+
+def needed(keyword: str, pattern: str) -> str:
+    """Words that any match of the pattern holds: the keyword, or where spellings vary its words without them, or else the longest words that don't vary."""
+    short = re.sub(r" ?\blicenses?\b.*", "", keyword)
+    fixed, groups, inner, left = _fixed(pattern), [], pattern, ""
+    while left != inner:  # from the innermost groups out
+        groups += re.findall(r"\(\?:([^()]*)\)(?!\?)", inner)
+        left, inner = inner, re.sub(r"\(\?[:=][^()]*\)\??", "\n", inner)
+    for k in (keyword, short):
+        if k and (any(k in x for x in fixed) or any(all(k in x for x in g.split("|")) for g in groups)):
+            return k
+    return max(fixed, key=len).strip()
+
+
 def gates() -> list[str]:
     """Words of which any text that a rule matches holds at least one."""
     need = set()
     for _, keyword, _, pattern in rules():
-        sure, left = pattern, ""
-        while left != sure:  # without its optional parts
-            left, sure = sure, re.sub(r"\(\?:[^()]*\)\?", "", sure)
-        need.add("licen" if "licen" in sure or "licen" in keyword else keyword)
+        k = needed(keyword, pattern)
+        need.add("licen" if "licen" in k or any("licen" in x for x in _fixed(pattern)) else k)
     return sorted(k for k in need if not any(o != k and o in k for o in need))

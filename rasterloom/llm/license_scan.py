@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import gates, rules
+from .license_rules import gates, needed, rules
 from .shared import id_and_text
 from .spans import count_words, word_text
 
@@ -45,7 +45,7 @@ def places(text: Column, pattern: Column) -> Column:
 
 def _hits(text: Column) -> Column:
     """Matches of all rules whose keyword the padded word text holds."""
-    listed = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(p).alias("priority"), F.lit(k).alias("order"), F.lit(pattern).alias("pattern")) for k, (label, keyword, p, pattern) in enumerate(rules())])
+    listed = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(needed(keyword, pattern)).alias("keyword"), F.lit(p).alias("priority"), F.lit(k).alias("order"), F.lit(pattern).alias("pattern")) for k, (label, keyword, p, pattern) in enumerate(rules())])
     tried = F.filter(listed, lambda r: F.contains(text, r["keyword"]) & (F.regexp_instr(text, r["pattern"]) > 0))
     return F.flatten(
         F.transform(
