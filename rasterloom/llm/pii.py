@@ -46,8 +46,8 @@ TYPES = [
     ("name", rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.?\x20{_NAME}"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in TYPES)
-#: Cheap to test before PATTERN.
-GATE = rf"@[A-Za-z0-9]|\d{{9}}|\d[.-]\d|\(\d|\d\x20\d|\d\x20\(|(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.?\x20\p{{Lu}}"
+#: Cheap to test before PATTERN, of which any match holds one of these.
+GATE = rf"@[A-Za-z0-9-]|\+\d{{3}}|\d{{9}}|\d[.-]\d|\(\d|\d\x20\d|\d\x20\(|(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.?\x20\p{{Lu}}"
 
 #: Given names and family names, by script and gender.
 GIVEN = {
