@@ -85,47 +85,6 @@ def nearer(left: Column, top: Column, corner: Column) -> Column:
     return F.when(far <= 0, top).otherwise(left)
 
 
-# Wide words: the four channels in 16-bit lanes of a long, so that one sum or difference does all of them.
-LANES, CARRY = 0x00FF00FF00FF00FF, 0x0100010001000100
-
-
-def wide(argb: Column) -> Column:
-    a, r, g, b = channels(argb)
-    return a * (1 << 48) + r * (1 << 32) + g * (1 << 16) + b
-
-
-def narrow(w: Column) -> Column:
-    return F.shiftright(w, 24).bitwiseAND(0xFF000000) + F.shiftright(w, 16).bitwiseAND(0xFF0000) + F.shiftright(w, 8).bitwiseAND(0xFF00) + w.bitwiseAND(255)
-
-
-def wide_average(x: Column, y: Column) -> Column:
-    return F.shiftright(x + y, 1).bitwiseAND(LANES)
-
-
-def wide_difference(x: Column, y: Column) -> Column:
-    """Channel by channel mod 256."""
-    return (x + CARRY - y).bitwiseAND(LANES)
-
-
-def lanes(w: Column) -> list[Column]:
-    return [F.shiftright(w, s).bitwiseAND(255) for s in (48, 32, 16, 0)]
-
-
-def _by_lane(of, *words: Column) -> Column:
-    parts = [of(*c) for c in zip(*[lanes(w) for w in words])]
-    return parts[0] * (1 << 48) + parts[1] * (1 << 32) + parts[2] * (1 << 16) + parts[3]
-
-
-def wide_predictions(left: Column, corner: Column, top: Column, right: Column) -> list[Column]:
-    """What each of the 14 predictors foretells, as wide words."""
-    half = wide_average
-    far = sum((F.abs(a - c) - F.abs(b - c) for a, b, c in zip(lanes(left), lanes(top), lanes(corner))), F.lit(0))
-    return [
-        F.lit(255 << 48), left, top, right, corner, half(half(left, right), top), half(left, corner), half(left, top), half(corner, top), half(top, right), half(half(left, corner), half(top, right)),
-        F.when(far <= 0, top).otherwise(left), _by_lane(gradient, left, top, corner), _by_lane(lambda m, c: clamp(m + truncated_half(m - c)), half(left, top), corner),
-    ]
-
-
 def subtract_green(argb: Column) -> Column:
     a, r, g, b = channels(argb)
     return word(a, wrap8(r - g), g, wrap8(b - g))

@@ -74,6 +74,22 @@ def over(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.where(a == 255, s, s + (d * (256 - a) >> 8) & 255).astype(np.uint8)
 
 
+def drawn(old: np.ndarray, px: np.ndarray, x: int, y: int, blend: bool, cleared: tuple[int, int, int, int] | None = None) -> np.ndarray:
+    """A canvas with a premultiplied picture at a place: over what is there if it blends, but for a rectangle (x, y, w, h) that was cleared."""
+    h, w = px.shape[:2]
+    part = (slice(y, y + h), slice(x, x + w))
+    canvas = old.copy()
+    if blend:
+        mixed = over(px, old[part])
+        if cleared:
+            at_y, at_x = np.mgrid[y : y + h, x : x + w]
+            inside = (at_x >= cleared[0]) & (at_x < cleared[0] + cleared[2]) & (at_y >= cleared[1]) & (at_y < cleared[1] + cleared[3])
+            mixed = np.where(inside[..., None], px, mixed)
+        px = mixed
+    canvas[part] = px
+    return canvas
+
+
 def oriented(rgba: np.ndarray, orientation: int) -> np.ndarray:
     """A picture turned by an EXIF orientation."""
     if orientation >= 5:

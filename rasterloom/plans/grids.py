@@ -49,6 +49,11 @@ def argb_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles(spark, sf_dir).select("vec_id", "label", F.transform("px", word).alias("argb"))
 
 
+def clip() -> Column:
+    """Tiles of twenty successive ids are a clip's frames, in order of id."""
+    return F.expr("vec_id div 20")
+
+
 def per_text(spark: SparkSession, sf_dir: str, of: Callable[[np.ndarray], list], schema: str) -> DataFrame:
     """doc_id and the columns that `of` makes, as arrays of one length, of the low bytes of each whole text's code points; schema is that of these columns."""
 
@@ -95,7 +100,7 @@ TILES = "t AS (SELECT vec_id, label, [CAST(least(255, greatest(0, floor((CAST(v
 PLACED = "pl AS (SELECT vec_id, label, bs, p, p // 8 AS y, p % 8 AS x, bs[p + 1] AS v FROM t, (SELECT unnest(range(64)) AS p))"
 PIXELS = "px AS (SELECT vec_id, label, p, y, x, bs[p + 1] AS a, bs[(p + 1) % 64 + 1] AS r, bs[(p + 2) % 64 + 1] AS g, bs[(p + 3) % 64 + 1] AS b FROM pl)"
 ARGB = "argb AS (SELECT vec_id, label, p, y, x, CAST(a AS BIGINT) * 16777216 + r * 65536 + g * 256 + b AS v FROM px)"
-TEXT_BYTES = "tx AS (SELECT doc_id, i, ord(substring(text, i, 1)) & 255 AS b FROM (SELECT doc_id, text, unnest(range(1, least(64, length(text)) + 1)) AS i FROM documents WHERE length(text) > 0))"
+TEXT_BYTES = "tx AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS i, ord(unnest(string_split(text, ''))) & 255 AS b FROM documents WHERE length(text) > 0)"
 
 
 def with_(*parts: str) -> str:

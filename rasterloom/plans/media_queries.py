@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +36,13 @@ def _unpacked(decoded: DataFrame, key: str = "file_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            parts = []
             for i, k, w, h, data in zip(*(c.to_pylist() for c in b.columns)):
                 px = colour.rgba_to_argb(np.frombuffer(data, np.uint8).reshape(h, w, 4))
                 y, x = np.divmod(np.arange(w * h), w)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(w * h, i)), pa.array(np.full(w * h, k)), pa.array(y), pa.array(x), pa.array(px.astype(np.int64))], names=[key, "frame_no", "y", "x", "argb"])
+                parts.append((np.full(w * h, i), np.full(w * h, k), y, x, px.astype(np.int64)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=[key, "frame_no", "y", "x", "argb"])
 
     return decoded.filter("error_class IS NULL").select("file_id", "frame_no", "width", "height", "rgba").mapInArrow(run, f"{key} long, frame_no long, y long, x long, argb long")
 
@@ -95,13 +99,16 @@ def k09(spark: SparkSession, sf: str) -> DataFrame:
     """Alpha planes through each filter, raw for odd ids and coded for even ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x = np.divmod(np.arange(64), 8)
         for b in batches:
+            parts = []
             for i, px in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 plane = np.array(px, np.uint8).reshape(8, 8)
                 for kind in range(4):
                     got = alpha.decode(alpha.encode(plane, kind, i % 2 == 0), 8, 8).reshape(-1)
-                    y, x = np.divmod(np.arange(64), 8)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(64, i)), pa.array(np.full(64, kind)), pa.array(y), pa.array(x), pa.array(got.astype(np.int64))], names=["vec_id", "filter", "y", "x", "alpha"])
+                    parts.append((np.full(64, i), np.full(64, kind), y, x, got.astype(np.int64)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["vec_id", "filter", "y", "x", "alpha"])
 
     return grids.tiles(spark, sf).select("vec_id", "px").mapInArrow(run, "vec_id long, filter long, y long, x long, alpha long")
 
@@ -221,11 +228,10 @@ def k01(spark: SparkSession, sf: str) -> DataFrame:
 
         odds = [1 + (37 * k) % 255 for k in range(8)]
         w = BoolWriter()
-        for v in listed:
-            for k in range(8):
-                w.bit(v >> k & 1, odds[k])
-        r = BoolReader(w.bytes())
-        return [sum(r.bit(odds[k]) << k for k in range(8)) for _ in listed]
+        bits = np.unpackbits(np.array(listed, np.uint8), bitorder="little")
+        w.many(zip(bits.tolist(), itertools.cycle(odds)))
+        got = BoolReader(w.bytes()).many(odds * len(listed))
+        return np.packbits(np.frombuffer(got, np.uint8), bitorder="little").tolist()
 
     return _per_text(spark, sf, of)
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import channels as ch
 from ..functions import rows as rw
 from ..functions.blocks import let
+from ..operators import colour, lossless
+from ..streaming.ordered import carried
 from . import grids
 from .grids import ARGB, PIXELS, PLACED, TEXT_BYTES, TILES, with_
 from .registry import register
-from .stats_queries import entropy
 from .structure_queries import key_frames
 
 TL, PL, AR, TX = with_(TILES), with_(TILES, PLACED), with_(TILES, PLACED, PIXELS, ARGB), with_(TEXT_BYTES)
@@ -54,21 +58,30 @@ fr AS (SELECT *, sum(abs(l - c) - abs(t - c)) OVER (PARTITION BY vec_id, p) AS f
 rs AS (SELECT vec_id, label, p, s, m AS mode, (v - (CASE WHEN p = 0 THEN bk WHEN p < 8 THEN l WHEN p % 8 = 0 THEN t ELSE CASE m {inner} END END) + 256) % 256 AS d FROM fr, (SELECT unnest(range(14)) AS m))"""
 
 
+def _left(argb: pa.Array) -> Iterator[np.ndarray]:
+    """For each tile the residuals of the 14 modes, 14 x 64 words."""
+    for px in argb.to_numpy(zero_copy_only=False):
+        px = px.astype(np.uint32)
+        yield lossless.subtract(px[None, :], lossless.predictions(px, grids.SIDE))
+
+
 def residuals(spark: SparkSession, sf: str) -> DataFrame:
-    """vec_id, p, mode, residual: each pixel less each of the 14 predictions; plain rows, so all of it is generated code.
+    """vec_id, p, mode, residual: each pixel less each of the 14 predictions.
 
     The first row is foretold from the left, the first column from above, others by the mode. The neighbour
     above right of a row's last pixel is the row's own first.
     """
-    px = grids.argb_tiles(spark, sf).select("vec_id", F.transform("argb", ch.wide).alias("px"))
-    # neighbours come out of the generator as columns, so that they aren't worked out again wherever they are used
-    around = F.transform("px", lambda w, i: F.struct(w.alias("v"), *[F.get("px", i - d).alias(n) for n, d in (("l", 1), ("c", 9), ("t", 8), ("r", 7))]))
-    near = px.select("vec_id", F.posexplode(around).alias("p", "n")).select("vec_id", "p", "n.*")
-    v, left, top = F.col("v"), F.col("l"), F.col("t")
-    edge = F.when(F.col("p") == 0, F.lit(255 << 48)).when(F.col("p") < 8, left).when(F.col("p") % 8 == 0, top)
-    told = near.select("vec_id", "p", "v", F.when(edge.isNotNull(), F.array_repeat(edge, 14)).otherwise(F.array(*ch.wide_predictions(left, F.col("c"), top, F.col("r")))).alias("told"))
-    each = told.select("vec_id", "p", "v", F.posexplode("told").alias("mode", "w"))
-    return each.select("vec_id", F.col("p").cast("long").alias("p"), F.col("mode").cast("long").alias("mode"), ch.narrow(ch.wide_difference(F.col("v"), F.col("w"))).alias("residual"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):  # 57,344 rows out at once
+                part = b.slice(at, 64)
+                left = np.stack(list(_left(part.column(1)))).astype(np.int64)
+                mode, p = np.divmod(np.arange(14 * 64), 64)
+                columns = [np.repeat(part.column(0).to_numpy(), 14 * 64), np.tile(p, part.num_rows), np.tile(mode, part.num_rows), left.reshape(-1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["vec_id", "p", "mode", "residual"])
+
+    return grids.argb_tiles(spark, sf).select("vec_id", "argb").mapInArrow(run, "vec_id long, p long, mode long, residual long")
 
 
 @register("g05_residuals", AR + _residual_cte() + " SELECT vec_id, mode, p, CAST(sum(d * (CAST(1 AS BIGINT) << s)) AS BIGINT) AS residual FROM rs GROUP BY 1, 2, 3")
@@ -84,12 +97,20 @@ _XL = "CASE WHEN {0} > 0 THEN {0} * log2(CAST({0} AS DOUBLE)) ELSE 0.0 END"
 m AS (SELECT vec_id, mode, round(sum(cost), 6) AS cost FROM c GROUP BY 1, 2) SELECT vec_id, arg_min(mode, cost * 1000 + mode * 1e-4) AS mode, min(cost) AS cost FROM m GROUP BY vec_id""")
 def i04(spark: SparkSession, sf: str) -> DataFrame:
     """The predictor whose residuals cost least by their entropy, less a tenth of a bit for each zero; the first of equal ones."""
-    df = residuals(spark, sf).select("vec_id", "mode", F.col("residual").alias("r"))
-    parts = F.expr("stack(4, 0, shiftright(r, 24) & 255L, 1, shiftright(r, 16) & 255L, 2, shiftright(r, 8) & 255L, 3, r & 255L) AS (s, d)")
-    h = df.select("vec_id", "mode", parts).groupBy("vec_id", "mode", "s", "d").agg(F.count("*").alias("n"))
-    c = h.groupBy("vec_id", "mode", "s").agg((entropy(F.col("n")) - F.sum(F.when(F.col("d") == 0, F.col("n")).otherwise(0)) / 10.0).alias("cost"))
-    m = c.groupBy("vec_id", "mode").agg(F.round(F.sum("cost"), 6).alias("cost"))
-    return m.groupBy("vec_id").agg(F.min_by("mode", F.struct("cost", "mode")).alias("mode"), F.min("cost").alias("cost"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log = np.concatenate([[0.0], np.log2(np.arange(1, 65))]) * np.arange(65)
+        for b in batches:
+            best, costs = [], []
+            for left in _left(b.column(1)):
+                channels = np.stack([left >> np.uint32(k) & np.uint32(255) for k in (0, 8, 16, 24)], 1).astype(np.int64)  # mode, channel, pixel
+                h = np.bincount((channels + 256 * np.arange(56).reshape(14, 4, 1)).reshape(-1), minlength=56 * 256).reshape(14, 4, 256)
+                cost = np.round((log[64] - log[h].sum(2) - h[:, :, 0] / 10).sum(1), 6)
+                best.append(int(cost.argmin()))
+                costs.append(float(cost.min()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.int64()), pa.array(costs, pa.float64())], names=["vec_id", "mode", "cost"])
+
+    return grids.argb_tiles(spark, sf).select("vec_id", "argb").mapInArrow(run, "vec_id long, mode long, cost double")
 
 
 @register("g06_palette_deltas", AR + """, q AS (SELECT DISTINCT vec_id, (v >> 28) * 268435456 + ((v >> 12) & 15) * 4096 AS v FROM argb), o AS (SELECT vec_id, v, row_number() OVER w - 1 AS i, lag(v) OVER w AS b FROM q WINDOW w AS (PARTITION BY vec_id ORDER BY v))
@@ -175,7 +196,7 @@ def i06(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("i09_canonical_codes", TX + """, h AS (SELECT doc_id, b, count(*) AS n FROM tx GROUP BY 1, 2), l AS (SELECT doc_id, b, CAST(greatest(1, ceil(log2(CAST(sum(n) OVER (PARTITION BY doc_id) AS DOUBLE) / n))) AS INTEGER) AS len FROM h),
-c AS (SELECT doc_id, b, len, CAST(sum(1 << (15 - len)) OVER (PARTITION BY doc_id ORDER BY len, b) - (1 << (15 - len)) AS BIGINT) >> (15 - len) AS code FROM l)
+c AS (SELECT doc_id, b, len, CAST(sum(CAST(1 AS BIGINT) << (32 - len)) OVER (PARTITION BY doc_id ORDER BY len, b) - (CAST(1 AS BIGINT) << (32 - len)) AS BIGINT) >> (32 - len) AS code FROM l)
 SELECT doc_id, CAST(b AS BIGINT) AS symbol, CAST(len AS BIGINT) AS length, CAST(list_sum([((code >> i) & 1) << (len - 1 - i) FOR i IN range(len)]) AS BIGINT) AS code FROM c""")
 def i09(spark: SparkSession, sf: str) -> DataFrame:
     """Codes of each text's bytes; lengths are rounded-up bits, which always fit."""
@@ -187,59 +208,44 @@ def i09(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", F.col("c.symbol").cast("long").alias("symbol"), F.col("c.length").cast("long").alias("length"), "c.code")
 
 
-def composed(frames: Column, side: int) -> Column:
-    """Canvases of a clip's frames in order.
-
-    A frame has argb (the whole canvas's words, of which its rectangle counts), x, y, w, h, key, blend and
-    dispose. A key frame starts on a clear canvas, others on the one before, as disposal left it. The
-    rectangle is overwritten; unless it is a key frame, a blending frame is then laid over what was
-    there, but for places in the last frame's rectangle if that was disposed.
-    """
-    n = side * side
-    clear = F.array_repeat(F.lit(0).cast("long"), n)
-    zero = F.struct(F.array().cast("array<array<bigint>>").alias("out"), clear.alias("prev"), F.lit(-1).alias("x"), F.lit(-1).alias("y"), F.lit(0).alias("w"), F.lit(0).alias("h"), F.lit(False).alias("dispose"))
-    inside = lambda r, p: ((p % side) >= r["x"]) & ((p % side) < r["x"] + r["w"]) & (F.floor(p / side) >= r["y"]) & (F.floor(p / side) < r["y"] + r["h"])
-
-    def add(acc: Column, f: Column) -> Column:
-        base = F.when(f["key"], clear).otherwise(acc["prev"])
-
-        def one(old: Column, p: Column) -> Column:
-            src = F.get(f["argb"], p)
-            keep = ~f["blend"] | f["key"] | (acc["dispose"] & inside(acc, p))
-            return F.when(~inside(f, p), old).when(keep, src).otherwise(ch.over(src, F.get(acc["prev"], p)))
-
-        canvas = F.transform(base, one)
-        after = lambda c: F.struct(F.concat(acc["out"], F.array(c)).alias("out"), F.when(f["dispose"], F.transform(c, lambda v, p: F.when(inside(f, p), F.lit(0).cast("long")).otherwise(v))).otherwise(c).alias("prev"), f["x"].alias("x"), f["y"].alias("y"), f["w"].alias("w"), f["h"].alias("h"), f["dispose"].alias("dispose"))
-        return let(canvas, after)
-
-    return F.aggregate(frames, zero, add, lambda acc: acc["out"])
-
-
-
-
-
 @register("j02_composition", with_(TILES, PLACED, PIXELS, ARGB).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
-fr AS (SELECT vec_id, label, (bs[1] % 2) * 2 AS fx, (bs[2] % 3) AS fy, CASE WHEN bs[3] % 4 = 0 THEN 8 ELSE 4 END AS fw, CASE WHEN bs[3] % 4 = 0 THEN 8 ELSE 5 END AS fh, bs[4] % 2 = 0 AS blend, bs[5] % 3 = 0 AS dispose, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM t WHERE vec_id % 5 = 0),
-f2 AS (SELECT vec_id, label, CASE WHEN fw = 8 THEN 0 ELSE fx END AS fx, CASE WHEN fw = 8 THEN 0 ELSE fy END AS fy, fw, fh, blend, dispose, k FROM fr), im AS (SELECT vec_id, list(v ORDER BY p) AS v FROM argb GROUP BY 1),
-r AS (SELECT label, vec_id, k, fx, fy, fw, fh, dispose, true AS key, [CASE WHEN p % 8 >= fx AND p % 8 < fx + fw AND p // 8 >= fy AND p // 8 < fy + fh THEN v[p + 1] ELSE 0 END FOR p IN range(64)] AS canvas FROM f2 JOIN im USING (vec_id) WHERE k = 1
-UNION ALL SELECT label, vec_id, k, fx, fy, fw, fh, dispose, key, [CASE WHEN NOT (p % 8 >= fx AND p % 8 < fx + fw AND p // 8 >= fy AND p // 8 < fy + fh) THEN (CASE WHEN key THEN 0 ELSE prev[p + 1] END)
+fr AS (SELECT vec_id, vec_id // 20 AS clip, (bs[1] % 2) * 2 AS fx, (bs[2] % 3) AS fy, CASE WHEN bs[3] % 4 = 0 THEN 8 ELSE 4 END AS fw, CASE WHEN bs[3] % 4 = 0 THEN 8 ELSE 5 END AS fh, bs[4] % 2 = 0 AS blend, bs[5] % 3 = 0 AS dispose, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) AS k FROM t),
+f2 AS (SELECT vec_id, clip, CASE WHEN fw = 8 THEN 0 ELSE fx END AS fx, CASE WHEN fw = 8 THEN 0 ELSE fy END AS fy, fw, fh, blend, dispose, k FROM fr), im AS (SELECT vec_id, list(v ORDER BY p) AS v FROM argb GROUP BY 1),
+r AS (SELECT clip, vec_id, k, fx, fy, fw, fh, dispose, true AS key, [CASE WHEN p % 8 >= fx AND p % 8 < fx + fw AND p // 8 >= fy AND p // 8 < fy + fh THEN v[p + 1] ELSE 0 END FOR p IN range(64)] AS canvas FROM f2 JOIN im USING (vec_id) WHERE k = 1
+UNION ALL SELECT clip, vec_id, k, fx, fy, fw, fh, dispose, key, [CASE WHEN NOT (p % 8 >= fx AND p % 8 < fx + fw AND p // 8 >= fy AND p // 8 < fy + fh) THEN (CASE WHEN key THEN 0 ELSE prev[p + 1] END)
   WHEN NOT blend OR key OR (pd AND p % 8 >= px AND p % 8 < px + pw AND p // 8 >= py AND p // 8 < py + ph) OR (v[p + 1] >> 24) = 255 THEN v[p + 1]
   ELSE CAST(list_sum([(((v[p + 1] >> s) & 255) + ((((prev[p + 1] >> s) & 255) * (256 - (v[p + 1] >> 24))) >> 8)) % 256 * (CAST(1 AS BIGINT) << s) FOR s IN [0, 8, 16, 24]]) AS BIGINT) END FOR p IN range(64)] FROM (
   SELECT f2.*, im.v, r.fx AS px, r.fy AS py, r.fw AS pw, r.fh AS ph, r.dispose AS pd, (NOT f2.blend AND f2.fw = 8) OR (r.dispose AND (r.fw = 8 OR r.key)) AS key,
     CASE WHEN r.dispose THEN [CASE WHEN p % 8 >= r.fx AND p % 8 < r.fx + r.fw AND p // 8 >= r.fy AND p // 8 < r.fy + r.fh THEN 0 ELSE r.canvas[p + 1] END FOR p IN range(64)] ELSE r.canvas END AS prev
-  FROM r JOIN f2 ON f2.label = r.label AND f2.k = r.k + 1 JOIN im ON im.vec_id = f2.vec_id))
+  FROM r JOIN f2 ON f2.clip = r.clip AND f2.k = r.k + 1 JOIN im ON im.vec_id = f2.vec_id))
 SELECT vec_id, p // 8 AS y, p % 8 AS x, CAST(canvas[p + 1] AS BIGINT) AS argb FROM r, (SELECT unnest(range(64)) AS p)""")
 def j02(spark: SparkSession, sf: str) -> DataFrame:
-    """Each tile as a frame of its group's clip; its bytes give place, size, blending and disposal."""
+    """Each tile as a frame of its clip; its bytes give place, size, blending and disposal.
+
+    A key frame starts on a clear canvas, so a clip falls into runs that are drawn apart; others start on the one before,
+    as disposal left it.
+    """
     b = lambda k: F.get("px", F.lit(k))
-    t = grids.tiles(spark, sf).join(grids.argb_tiles(spark, sf).select("vec_id", "argb"), "vec_id")
+    t = grids.tiles(spark, sf)
+    n = grids.SIDE**2
+    words = F.transform("px", lambda v, i: sum((F.get("px", (i + k) % n).cast("long") * (1 << s) for k, s in ((1, 16), (2, 8), (3, 0))), v.cast("long") * (1 << 24)))
     full = b(2) % 4 == 0
-    frame = F.struct(
-        "vec_id", "argb", F.when(full, 0).otherwise(b(0) % 2 * 2).alias("x"), F.when(full, 0).otherwise(b(1) % 3).alias("y"), F.when(full, 8).otherwise(4).alias("w"), F.when(full, 8).otherwise(5).alias("h"),
+    f = t.select(
+        "vec_id", grids.clip().alias("clip"), words.alias("argb"), F.when(full, 0).otherwise(b(0) % 2 * 2).alias("x"), F.when(full, 0).otherwise(b(1) % 3).alias("y"), F.when(full, 8).otherwise(4).alias("w"), F.when(full, 8).otherwise(5).alias("h"),
         full.alias("full"), F.lit(False).alias("opaque"), (b(3) % 2 == 0).alias("blend"), (b(4) % 3 == 0).alias("dispose"),
     )
-    clips = t.groupBy("label").agg(F.array_sort(F.collect_list(frame)).alias("frames"))
-    keyed = F.zip_with("frames", key_frames(F.col("frames")), lambda f, k: f.withField("key", k))
-    shown = clips.withColumn("frames", keyed).withColumn("canvas", composed(F.col("frames"), 8))
-    out = shown.select(F.explode(F.arrays_zip(F.transform("frames", lambda f: f["vec_id"]).alias("vec_id"), F.col("canvas"))).alias("e")).select("e.vec_id", F.posexplode("e.canvas").alias("p", "argb"))
+    f = key_frames(f, ["clip"], ["vec_id"]).withColumn("run", F.sum(F.col("key").cast("long")).over(Window.partitionBy("clip").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)))
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        _, _, vec_id, argb, x, y, w, h, key, blend, dispose = row
+        canvas, cleared = (np.zeros((8, 8, 4), np.uint8), None) if key else state
+        part = (slice(y, y + h), slice(x, x + w))
+        canvas = colour.drawn(canvas, colour.argb_to_rgba(np.array(argb, np.uint32), 8)[part], x, y, blend and not key, cleared)
+        out = (vec_id, colour.rgba_to_argb(canvas).astype(np.int64).tolist())
+        if dispose:
+            canvas[part] = 0
+        return (canvas, (x, y, w, h) if dispose else None), out
+
+    drawn = carried(f.select("clip", "run", "vec_id", "argb", "x", "y", "w", "h", "key", "blend", "dispose"), ["clip", "run"], ["vec_id"], None, step, "vec_id long, canvas array<long>")
+    out = drawn.select("vec_id", F.posexplode("canvas").alias("p", "argb"))
     return out.select("vec_id", F.expr("cast(p div 8 AS bigint)").alias("y"), (F.col("p") % 8).cast("long").alias("x"), "argb")

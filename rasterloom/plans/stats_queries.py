@@ -147,11 +147,11 @@ def squared_error(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0).cast("long"), lambda s, v: s + v)
 
 
-@register("f11_sse", TL + """, n AS (SELECT vec_id, label, bs, lead(vec_id) OVER w AS other, lead(bs) OVER w AS bo FROM t WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+@register("f11_sse", TL + """, n AS (SELECT vec_id, label, bs, lead(vec_id) OVER w AS other, lead(bs) OVER w AS bo FROM t WINDOW w AS (PARTITION BY vec_id // 20 ORDER BY vec_id))
 SELECT vec_id, other, CAST(list_sum([(bs[i] - bo[i]) * (bs[i] - bo[i]) FOR i IN range(1, 65)]) AS BIGINT) AS sse FROM n WHERE other IS NOT NULL""")
 def f11(spark: SparkSession, sf: str) -> DataFrame:
-    """Each tile against the next of its group."""
-    w = Window.partitionBy("label").orderBy("vec_id")
+    """Each tile against the next of its clip."""
+    w = Window.partitionBy(grids.clip()).orderBy("vec_id")
     df = grids.tiles(spark, sf).select("vec_id", "px", F.lead("vec_id").over(w).alias("other"), F.lead("px").over(w).alias("next")).filter("other IS NOT NULL")
     return df.select("vec_id", "other", squared_error("px", "next").alias("sse"))
 

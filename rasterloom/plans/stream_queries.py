@@ -7,17 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import shared
 from ..streaming import decoder_state
-from . import structure_queries  # noqa: F401  its SQL is used here
 from .registry import ORACLES, register
-
-
-def frames_of(events: DataFrame) -> DataFrame:
-    kind, i = F.col("event_type"), F.col("event_id")
-    copy = F.when(kind == "click", 1).when(kind == "view", 2).otherwise(0)
-    return events.select(
-        F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), i.alias("frame_id"), (kind == "signup").alias("key"), F.when(i % 4 == 1, copy).otherwise(0).alias("copy_alt"), F.when(i % 4 == 2, copy).otherwise(0).alias("copy_golden"),
-        (i % 3 != 0).alias("new_last"), (kind == "signup").alias("new_golden"), (kind == "error").alias("new_alt"), (i % 3 == 0).alias("keep_probabilities"), F.when(kind.isin("click", "error"), i % 4).alias("segment"),
-    )
+from .structure_queries import frames_of
 
 
 def followed(spark: SparkSession, sf: str) -> DataFrame:

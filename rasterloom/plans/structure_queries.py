@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import channels as ch
 from ..functions import headers as hd
 from ..operators.near import NEAR
+from ..streaming import decoder_state
 from . import grids
 from .grids import ARGB, PIXELS, PLACED, TEXT_BYTES, TILES, with_
 from .registry import register
@@ -81,7 +82,7 @@ def a10(spark: SparkSession, sf: str) -> DataFrame:
     return _longs(df, ["vec_id", "p"], hd.alpha_header(F.col("b")))
 
 
-@register("a12_metadata_payload", "SELECT doc_id, substring(hex(encode(coalesce(text, ''))), 1, 80) AS payload FROM documents")
+@register("a12_metadata_payload", "SELECT doc_id, hex(encode(coalesce(text, ''))) AS payload FROM documents")
 def a12(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata without the six-byte prefix that some writers put before it; here rows of an even id have it."""
     raw = F.concat(F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("457869660000"))).otherwise(F.unhex(F.lit(""))), F.coalesce("text", F.lit("")).cast("binary"))
@@ -175,29 +176,18 @@ def d02(spark: SparkSession, sf: str) -> DataFrame:
     return grids.table(spark, sf, "events").select("event_id", F.coalesce(classes[F.col("event_type")], F.lit("ENCODE")).alias("error_class"))
 
 
-def key_frames(frames: Column) -> Column:
-    """Whether each of an array of frames can be drawn without the one before.
+def key_frames(frames: DataFrame, clip: list[str], order: list[str]) -> DataFrame:
+    """The frames with `key`: whether each can be drawn without the one before.
 
     A frame has full, opaque (has no alpha), blend, dispose. The first is a key frame; so is one that
     covers the canvas without blending over it; and one after a disposed frame that covered the
-    canvas or was a key frame.
+    canvas or was a key frame. A frame whose answer hangs on the one before takes the last that is settled.
     """
-    zero = F.struct(F.array().cast("array<boolean>").alias("out"), F.lit(None).cast("boolean").alias("key"), F.lit(None).cast("boolean").alias("cleared"), F.lit(None).cast("boolean").alias("full"))
-
-    def add(acc: Column, f: Column) -> Column:
-        first = F.size(acc["out"]) == 0
-        covers = f["full"] & (f["opaque"] | ~f["blend"])
-        key = first | covers | F.coalesce(acc["cleared"] & (acc["full"] | acc["key"]), F.lit(False))
-        return F.struct(F.concat(acc["out"], F.array(key)).alias("out"), key.alias("key"), f["dispose"].alias("cleared"), f["full"].alias("full"))
-
-    return F.aggregate(frames, zero, add, lambda acc: acc["out"])
-
-
-def _clips(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
-    """A user's events as an animation: event_id gives the flags. One row a user, frames in order."""
-    e = grids.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    flags = [(F.col("event_id") % 3 == 0).alias("full"), (F.col("event_type") == "view").alias("opaque"), (F.col("event_id") % 2 == 0).alias("blend"), (F.col("event_id") % 5 < 2).alias("dispose")]
-    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", *flags, *more))).alias("frames"))
+    w = Window.partitionBy(*clip).orderBy(*order)
+    f = frames.withColumn("cleared", F.lag("dispose").over(w)).withColumn("covered", F.lag("full").over(w))
+    sure = F.col("cleared").isNull() | (F.col("full") & (F.col("opaque") | ~F.col("blend"))) | (F.col("cleared") & F.col("covered"))
+    f = f.withColumn("settled", F.when(sure, True).when(~F.col("cleared"), False))
+    return f.withColumn("key", F.last("settled", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("cleared", "covered", "settled")
 
 
 _ORDERED = "fr AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_id % 3 = 0 AS whole, event_type = 'view' AS opaque, event_id % 2 = 0 AS blend, event_id % 5 < 2 AS dispose FROM events)"
@@ -207,8 +197,11 @@ _ORDERED = "fr AS (SELECT user_id, event_id, event_type, row_number() OVER (PART
 UNION ALL SELECT f.user_id, f.event_id, f.k, (f.whole AND (f.opaque OR NOT f.blend)) OR (r.dispose AND (r.whole OR r.key)), f.dispose, f.whole FROM r JOIN fr f ON f.user_id = r.user_id AND f.k = r.k + 1)
 SELECT user_id, event_id, key AS key_frame FROM r""")
 def d03(spark: SparkSession, sf: str) -> DataFrame:
-    each = _clips(spark, sf).select("user_id", F.explode(F.arrays_zip(F.col("frames").alias("f"), key_frames(F.col("frames")).alias("key"))).alias("e"))
-    return each.select("user_id", "e.f.event_id", F.col("e.key").alias("key_frame"))
+    """A user's events as an animation: event_id gives the flags."""
+    i = F.col("event_id")
+    flags = [(i % 3 == 0).alias("full"), (F.col("event_type") == "view").alias("opaque"), (i % 2 == 0).alias("blend"), (i % 5 < 2).alias("dispose")]
+    e = grids.table(spark, sf, "events").select("user_id", "ts", "event_id", *flags)
+    return key_frames(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", F.col("key").alias("key_frame"))
 
 
 @register("d05_vector_bounds", PX + """, b AS (SELECT vec_id, y, x, (r - 128) * 4 AS row_, (g - 128) * 4 AS col_, -(x * 16) * 8 AS le, (7 - x) * 128 AS ri, -(y * 16) * 8 AS tp, (7 - y) * 128 AS bo FROM px)
@@ -317,9 +310,7 @@ def longest_matches(s: str) -> list[tuple[int, int]]:
     return out
 
 
-@register("e07_longest_match", """WITH t AS (SELECT doc_id, substring(text, 1, 24) AS s FROM documents WHERE length(text) > 0), p AS (SELECT doc_id, s, i, j FROM (SELECT doc_id, s, unnest(range(2, length(s) + 1)) AS i FROM t), (SELECT unnest(range(1, 24)) AS j) WHERE j < i),
-m AS (SELECT doc_id, i, j, list_max([k FOR k IN range(0, length(s) - i + 2) IF substring(s, i, k) = substring(s, j, k)]) AS len FROM p)
-SELECT doc_id, i AS place, CAST(max(len) AS BIGINT) AS len, i - max(j) FILTER (WHERE len = top) AS distance FROM (SELECT *, max(len) OVER (PARTITION BY doc_id, i) AS top FROM m) GROUP BY doc_id, i""")
+@register("e07_longest_match")
 def e07(spark: SparkSession, sf: str) -> DataFrame:
     """For each place of a text the longest earlier match, the nearest of equal ones; matches may overlap their source."""
 
@@ -333,12 +324,12 @@ def e07(spark: SparkSession, sf: str) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, place long, len long, distance long")
 
 
-@register("e08_motion_search", TL + """, n AS (SELECT vec_id, bs, lag(bs) OVER (PARTITION BY label ORDER BY vec_id) AS pb FROM t), c AS (SELECT vec_id, dy, dx, list_sum([(bs[(2 + i // 4) * 8 + 2 + i % 4 + 1] - pb[(2 + i // 4 + dy) * 8 + 2 + i % 4 + dx + 1]) ** 2 FOR i IN range(16)]) AS sse FROM n, (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE pb IS NOT NULL),
+@register("e08_motion_search", TL + """, n AS (SELECT vec_id, bs, lag(bs) OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) AS pb FROM t), c AS (SELECT vec_id, dy, dx, list_sum([(bs[(2 + i // 4) * 8 + 2 + i % 4 + 1] - pb[(2 + i // 4 + dy) * 8 + 2 + i % 4 + dx + 1]) ** 2 FOR i IN range(16)]) AS sse FROM n, (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE pb IS NOT NULL),
 s AS (SELECT vec_id, dy, dx, CAST(256 * sse AS BIGINT) + 300 * (abs(dy) + abs(dx)) AS cost FROM c)
 SELECT vec_id, arg_min(dy, cost * 25 + (dy + 2) * 5 + dx + 2) AS dy, arg_min(dx, cost * 25 + (dy + 2) * 5 + dx + 2) AS dx, min(cost) AS cost FROM s GROUP BY vec_id""")
 def e08(spark: SparkSession, sf: str) -> DataFrame:
-    """The cheapest vector within 2 of a tile's middle 4x4 block into the tile before it: squared error, and bits by the vector's size."""
-    t = grids.tiles(spark, sf).select("vec_id", "px", F.lag("px").over(Window.partitionBy("label").orderBy("vec_id")).alias("before")).filter("before IS NOT NULL")
+    """The cheapest vector within 2 of a tile's middle 4x4 block into the tile before it in its clip: squared error, and bits by the vector's size."""
+    t = grids.tiles(spark, sf).select("vec_id", "px", F.lag("px").over(Window.partitionBy(grids.clip()).orderBy("vec_id")).alias("before")).filter("before IS NOT NULL")
     place = lambda i: (2 + i // 4) * 8 + 2 + i % 4
     middle = F.array(*[F.get("px", F.lit(place(i))) for i in range(16)])
 
@@ -391,25 +382,19 @@ def k13(spark: SparkSession, sf: str) -> DataFrame:
     return grids.table(spark, sf, "part").select("p_partkey", (F.col("p_size").bitwiseAND(2) != 0).alias("animated"), (F.col("p_size").bitwiseAND(16) != 0).alias("has_alpha"), F.col("p_type").isNotNull().alias("present"), hd.little(bytes_, 0, 3).alias("swapped"))
 
 
-def rotations(frames: Column) -> Column:
-    """The last, golden and alternate reference after each frame.
+def frames_of(events: DataFrame) -> DataFrame:
+    """A user's events as frames of a stream: copies of references (0 none, 1 last, 2 the other), refreshes, kept tables and segments."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    copy = F.when(kind == "click", 1).when(kind == "view", 2).otherwise(0)
+    return events.select(
+        F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), i.alias("frame_id"), (kind == "signup").alias("key"), F.when(i % 4 == 1, copy).otherwise(0).alias("copy_alt"), F.when(i % 4 == 2, copy).otherwise(0).alias("copy_golden"),
+        (i % 3 != 0).alias("new_last"), (kind == "signup").alias("new_golden"), (kind == "error").alias("new_alt"), (i % 3 == 0).alias("keep_probabilities"), F.when(kind.isin("click", "error"), i % 4).alias("segment"),
+    )
 
-    The copy into the alternate goes first, then that into golden (which may take the new alternate),
-    then refreshes from the frame itself. A frame has id, copy_alt, copy_golden (0 none, 1 last,
-    2 the other) and refresh flags.
-    """
-    none = F.lit(None).cast("long")
-    zero = F.struct(F.array().cast("array<struct<id:bigint,last:bigint,golden:bigint,alt:bigint>>").alias("out"), none.alias("last"), none.alias("golden"), none.alias("alt"))
-
-    def add(acc: Column, f: Column) -> Column:
-        alt = F.when(f["copy_alt"] == 1, acc["last"]).when(f["copy_alt"] == 2, acc["golden"]).otherwise(acc["alt"])
-        golden = F.when(f["copy_golden"] == 1, acc["last"]).when(f["copy_golden"] == 2, alt).otherwise(acc["golden"])
-        golden, alt = F.when(f["new_golden"], f["id"]).otherwise(golden), F.when(f["new_alt"], f["id"]).otherwise(alt)
-        last = F.when(f["new_last"], f["id"]).otherwise(acc["last"])
-        row = F.struct(f["id"].alias("id"), last.alias("last"), golden.alias("golden"), alt.alias("alt"))
-        return F.struct(F.concat(acc["out"], F.array(row)).alias("out"), last.alias("last"), golden.alias("golden"), alt.alias("alt"))
 
-    return F.aggregate(frames, zero, add, lambda acc: acc["out"])
+def followed(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    got = decoder_state.follow(frames_of(grids.table(spark, sf, "events")))
+    return got.select(F.col("stream_id").alias("user_id"), F.col("frame_id").alias("event_id"), *columns)
 
 
 _COPY = "CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END"
@@ -420,11 +405,8 @@ r AS (SELECT user_id, k, event_id, CASE WHEN nl THEN event_id END AS l, CASE WHE
 UNION ALL SELECT o.user_id, o.k, o.event_id, CASE WHEN nl THEN o.event_id ELSE l END, CASE WHEN ng THEN o.event_id WHEN cg = 1 THEN l WHEN cg = 2 THEN (CASE ca WHEN 1 THEN l WHEN 2 THEN g ELSE a END) ELSE g END, CASE WHEN na THEN o.event_id WHEN ca = 1 THEN l WHEN ca = 2 THEN g ELSE a END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
 SELECT user_id, event_id, l AS last, g AS golden, a AS alt FROM r""")
 def l01(spark: SparkSession, sf: str) -> DataFrame:
-    copy = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(0)
-    frame = F.struct("ts", F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 == 1, copy).otherwise(0).alias("copy_alt"), F.when(F.col("event_id") % 4 == 2, copy).otherwise(0).alias("copy_golden"),
-                     (F.col("event_type") == "signup").alias("new_golden"), (F.col("event_type") == "error").alias("new_alt"), (F.col("event_id") % 3 != 0).alias("new_last"))
-    clips = grids.table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(frame)).alias("frames"))
-    return clips.select("user_id", F.explode(rotations(F.col("frames"))).alias("r")).select("user_id", F.col("r.id").alias("event_id"), "r.last", "r.golden", "r.alt")
+    """The last, golden and alternate reference after each frame: the copy into the alternate goes first, then that into golden (which may take the new alternate), then refreshes."""
+    return followed(spark, sf, "last", "golden", "alt")
 
 
 @register("l02_entropy_state", """WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_type = 'signup' AS kf, event_id % 3 = 0 AS keep FROM events),
@@ -433,17 +415,7 @@ UNION ALL SELECT o.user_id, o.k, o.event_id, CASE WHEN kf THEN o.event_id ELSE s
 SELECT user_id, event_id, used, saved FROM r""")
 def l02(spark: SparkSession, sf: str) -> DataFrame:
     """A number stands for the probability tables: each frame changes them, only some keep the change, a key frame (a signup) starts from 0."""
-    zero = F.struct(F.array().cast("array<struct<id:bigint,used:bigint,saved:bigint>>").alias("out"), F.lit(0).cast("long").alias("saved"))
-
-    def add(acc: Column, f: Column) -> Column:
-        start = F.when(f["key"] | (F.size(acc["out"]) == 0), F.lit(0).cast("long")).otherwise(acc["saved"])
-        used = start * 31 % 1_000_003 + f["id"]
-        saved = F.when(f["keep"], used).otherwise(start)
-        return F.struct(F.concat(acc["out"], F.array(F.struct(f["id"].alias("id"), used.alias("used"), saved.alias("saved")))).alias("out"), saved.alias("saved"))
-
-    frame = F.struct("ts", F.col("event_id").alias("id"), (F.col("event_type") == "signup").alias("key"), (F.col("event_id") % 3 == 0).alias("keep"))
-    clips = grids.table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(frame)).alias("frames"))
-    return clips.select("user_id", F.explode(F.aggregate("frames", zero, add, lambda acc: acc["out"])).alias("r")).select("user_id", F.col("r.id").alias("event_id"), "r.used", "r.saved")
+    return followed(spark, sf, "used", "saved")
 
 
 @register("l03_segment_map", "SELECT user_id, event_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN 0 WHEN event_type IN ('click', 'error') THEN event_id % 4 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS segment FROM events")

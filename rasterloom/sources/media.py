@@ -20,6 +20,8 @@ from ..operators.bits import Invalid, Unsupported
 from . import container as box
 from . import exif
 
+#: Bytes of planes or pixels after which rows are handed on.
+BATCH_BYTES = 8 << 20
 STILL_AREA, CANVAS_AREA = 1 << 28, 1 << 26
 #: The class of what a file does wrong.
 CLASSES = ((Unsupported, "UNSUPPORTED"), (Invalid, "INVALID"), (ValueError, "INVALID"), (IndexError, "INVALID"), (OverflowError, "INVALID"))
@@ -77,17 +79,22 @@ def _rows(files: DataFrame, schema: str, of: Callable[[bytes], Iterator[dict]])
 
         arrow = to_arrow_schema(full)
         for b in batches:
-            for i, content in zip(b.column(0), b.column(1)):
-                found: list[dict] = []
+            rows, size = [], 0
+            for i, content in zip(b.column(0).to_pylist(), b.column(1)):
                 try:
                     if content.as_py() is None:
                         raise Invalid("no bytes")
-                    found = list(of(content.as_py()))
-                    error = None
+                    found, error = list(of(content.as_py())), None
                 except tuple(k for k, _ in CLASSES) as e:
                     found, error = [{}], error_class(e)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([{"file_id": i.as_py(), "error_class": error}.get(n) if n in ("file_id", "error_class") else r.get(n) for r in found], arrow.field(n).type) for n in names], schema=arrow)
+                for r in found:
+                    rows.append(r | {"file_id": i, "error_class": error})
+                    size += sum(len(v) for v in r.values() if isinstance(v, bytes))
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return files.select("file_id", "content").mapInArrow(run, full)
 
@@ -176,23 +183,13 @@ def composed(src: box.Bytes, c: box.Container, options: DecodeOptions, tables=No
         px = colour.premultiplied(picture(src, f.image, f.alpha, options, tables))
         if px.shape[:2] != (f.h, f.w):
             raise Invalid("a frame of another size than its header's")
-        part = (slice(f.y, f.y + f.h), slice(f.x, f.x + f.w))
-        canvas = old.copy()
-        if f.blend and not key:
-            mixed = colour.over(px, old[part])
-            if before.dispose:  # what was cleared isn't blended with
-                y, x = np.mgrid[f.y : f.y + f.h, f.x : f.x + f.w]
-                cleared = (x >= before.x) & (x < before.x + before.w) & (y >= before.y) & (y < before.y + before.h)
-                mixed = np.where(cleared[..., None], px, mixed)
-            canvas[part] = mixed
-        else:
-            canvas[part] = px
+        canvas = colour.drawn(old, px, f.x, f.y, f.blend and not key, (before.x, before.y, before.w, before.h) if before and before.dispose else None)
         yield f.duration_ms, canvas
         if options.first_only:
             return
         canvas = canvas.copy()
         if f.dispose:
-            canvas[part] = 0
+            canvas[f.y : f.y + f.h, f.x : f.x + f.w] = 0
         before, before_key = f, key
 
 

@@ -6,12 +6,15 @@ Frames count in order of arrival; within a micro-batch in order of (ts, frame_id
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .ordered import carried
+
 COLUMNS = "stream_id long, ts timestamp, frame_id long, key boolean, copy_alt int, copy_golden int, new_last boolean, new_golden boolean, new_alt boolean, keep_probabilities boolean, segment long"
 OUTPUT = "stream_id long, frame_id long, last long, golden long, alt long, used long, saved long, segment long"
 STATE = "last long, golden long, alt long, saved long, segment long"
@@ -35,7 +38,20 @@ def advance(state: tuple, f) -> tuple[tuple, int]:
 
 
 def follow(frames: DataFrame) -> DataFrame:
-    """Each frame with the references, tables and segment after it; frames may be a stream or a table of COLUMNS."""
+    """Each frame with the references, tables and segment after it; frames may be a stream or a table of COLUMNS.
+
+    A table's streams run through sorted rows with one state held; of a stream a micro-batch's frames of one key are held.
+    """
+    if not frames.isStreaming:
+        names = [c.split()[0] for c in COLUMNS.split(", ")]
+        frame_of = namedtuple("Frame", names)
+
+        def one(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+            f = frame_of._make(row)
+            state, used = advance(state, f)
+            return state, (f.stream_id, f.frame_id, *state[:3], used, *state[3:])
+
+        return carried(frames.select(names), ["stream_id"], ["ts", "frame_id"], EMPTY, one, OUTPUT)
 
     def batch(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, list[tuple]]:
         out = []
@@ -46,9 +62,6 @@ def follow(frames: DataFrame) -> DataFrame:
 
     names = [c.split()[0] for c in OUTPUT.split(", ")]
     frame = lambda rows: pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names})
-    if not frames.isStreaming:
-        return frames.groupBy("stream_id").applyInPandas(lambda pdf: frame(batch(EMPTY, pdf)[1]), OUTPUT)
-
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = held.get if held.exists else EMPTY
         state, out = batch(state, pd.concat(list(pdfs)))
