@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a folder of our own where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rasterloom-")
+    """A new path under spark.checkpoint.dir, or in local mode under a folder of our own where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="rasterloom-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
