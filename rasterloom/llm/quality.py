@@ -64,27 +64,62 @@ def surface(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> dict[str, np.
     full = has_word[to] > has_word[from_]
     from_, to = from_[full], to[full]
     line_doc = texts.document(from_)
-    line = texts.hashes(from_, to) ^ mix(line_doc.astype(np.uint64) * _B + _A)
-    _, first = np.unique(line, return_index=True)
-    out["n_dup_lines"] = np.bincount(line_doc, minlength=n) - np.bincount(line_doc[first], minlength=n)
+    out["n_dup_lines"] = np.bincount(line_doc[later_copies(texts, line_doc, from_, to, mix(texts.hashes(from_, to)))], minlength=n)
     repeat = np.zeros(len(starts), bool)
     if len(starts) >= 3:
+        at = np.flatnonzero(doc[2:] == doc[:-2])
         h = texts.hashes(starts, ends)
-        ok = doc[2:] == doc[:-2]
-        at = np.flatnonzero(ok)
-        window = mix(h[at] * _A + mix(h[at + 1] * _B + mix(h[at + 2] + _A))) ^ mix(doc[at].astype(np.uint64) * _A + _B)
-        order = np.argsort(window, kind="stable")
-        ranked = window[order]
-        equal = ranked[1:] == ranked[:-1]
-        twice = np.zeros(len(at), bool)
-        twice[order[1:][equal]] = True
-        twice[order[:-1][equal]] = True
-        for k in range(3):
-            repeat[at[twice] + k] = True
+        window = mix(h[at] * _A + mix(h[at + 1] * _B + mix(h[at + 2] + _A)))
+        for k in equal_windows(texts, doc[at], at, window, starts, ends).tolist():
+            repeat[k : k + 3] = True
     out["n_repeat_words"] = np.bincount(doc[repeat], minlength=n)
     return out
 
 
+def _several(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Places, in order, whose value stands in their document more than once."""
+    order = np.lexsort((value, doc))
+    equal = (value[order][1:] == value[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    twice = np.zeros(len(value), bool)
+    twice[order[1:][equal]] = True
+    twice[order[:-1][equal]] = True
+    return np.flatnonzero(twice)
+
+
+def later_copies(texts: Texts, doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Places of spans equal to an earlier one of their document. Hashes choose what is compared, bytes decide."""
+    found, seen, of = [], set(), -1
+    for k in _several(doc, value).tolist():
+        if doc[k] != of:
+            of, seen = doc[k], set()
+        span = texts.data[starts[k] : ends[k]].tobytes()
+        if span in seen:
+            found.append(k)
+        seen.add(span)
+    return np.array(found, np.int64)
+
+
+def equal_windows(texts: Texts, doc: np.ndarray, at: np.ndarray, value: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First words of windows of three words that their document holds twice or more. Hashes choose what is compared, bytes decide."""
+    found: list[int] = []
+    held: dict[tuple, list[int]] = {}
+    of = -1
+
+    def hand_over() -> None:
+        for same in held.values():
+            if len(same) > 1:
+                found.extend(same)
+
+    for k in _several(doc, value).tolist():
+        if doc[k] != of:
+            hand_over()
+            of, held = doc[k], {}
+        i = int(at[k])
+        held.setdefault(tuple(texts.data[starts[j] : ends[j]].tobytes() for j in range(i, i + 3)), []).append(i)
+    hand_over()
+    return np.array(found, np.int64)
+
+
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
     """doc_id of at most `rows` rows labelled good and never bad."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).dropna()

@@ -8,18 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels hold at a time; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
-
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-#: A fixed 64-bit value for each byte.
-_BYTE_VALUE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Bytes of a span beyond which it is hashed on its own.
+LONG = 128
 
 #: The six ASCII white space characters, and everything else.
 NOT_SPACE = np.ones(256, bool)
@@ -35,22 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in ((0, _BASE), (1, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
-    return _POWERS[0], _POWERS[1]
-
-
 class Texts:
     """Consecutive documents as one byte array; document i is data[bounds[i]:bounds[i+1]]."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         self.data, self.bounds, self.n = data, bounds, len(bounds) - 1
-        self._sums: np.ndarray | None = None
+        self._eights: np.ndarray | None = None
 
     def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the maximal runs of bytes that are inside; no run crosses documents."""
@@ -70,15 +56,27 @@ class Texts:
         return self.runs(NOT_SPACE[self.data])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of spans; equal spans have equal hashes wherever they stand."""
-        up, down = powers(len(self.data) + 1)
-        if self._sums is None:
-            sums = np.empty(len(self.data) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_BYTE_VALUE[self.data] * up[: len(self.data)], out=sums[1:])
-            self._sums = sums
-        raw = (self._sums[ends] - self._sums[starts]) * down[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """64-bit hashes of spans; equal spans have equal hashes wherever they stand.
+
+        Short spans are mixed eight bytes at a time, all spans at once; long ones are hashed one by one.
+        """
+        if self._eights is None:
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._eights = np.ndarray((len(self.data) + 1,), "<u8", padded.data, strides=(1,))
+        length = ends - starts
+        out = mix(length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+        at = np.flatnonzero((length > 0) & (length <= LONG))
+        step = 0
+        while len(at):
+            left = length[at] - step
+            word = self._eights[starts[at] + step]
+            short = left < 8
+            word[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+            out[at] = mix(out[at] * np.uint64(0x9E3779B97F4A7C15) ^ word)
+            at, step = at[left > 8], step + 8
+        for k in np.flatnonzero(length > LONG).tolist():
+            out[k] = xxhash.xxh64_intdigest(self.data[starts[k] : ends[k]].data)
+        return out
 
     def document(self, starts: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, starts, side="right") - 1
@@ -108,13 +106,14 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     own = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     set_to = own or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_to = tempfile.mkdtemp(prefix="rasterloom-")
-        spark.sparkContext.setCheckpointDir(set_to)
-    elif not own:
+    if not own:
         spark.sparkContext.setCheckpointDir(set_to)
     return set_to
 

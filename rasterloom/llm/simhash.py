@@ -8,10 +8,11 @@ largest coordinate difference, and only survivors are compared bit by bit.
 Near-uniform fingerprints agree within 3 on one pivot's distance with chance 0.46, so pivot
 tables alone would still look at all pairs. Rows are therefore routed first: the bits are
 cut into segments, and a pair within the radius agrees on all but `radius` of them, so it
-meets under at least one choice of agreeing segments. No pair is lost. A route that many
-fingerprints share isn't joined with itself: its members are cut into blocks of bounded
-size, and a task compares two blocks by their pivot tables and returns a spanning forest of
-the links only, so rows out stay in proportion to rows in.
+meets under at least one choice of agreeing segments. No pair is lost. The bits that a crowded route
+leaves open are cut and chosen from again. A route that many fingerprints share even then
+isn't joined with itself: its members are cut into blocks of bounded size, and a task compares
+two blocks by their pivot tables and returns a spanning forest of the links only, so rows out
+stay in proportion to rows in.
 
 Defined cases: null text reads as empty; a text without words has fingerprint zero, linked
 like any other; repeated rows share a fingerprint; rows with a null id keep a null id, and
@@ -117,9 +118,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def _segment_masks(segments: int) -> list[int]:
-    cuts = [round(64 * k / segments) for k in range(segments + 1)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(cuts)]
+def _choices(bits: list[int], segments: int, radius: int) -> list[list[int]]:
+    """The bits cut into segments, and every choice of all segments but `radius`: of bits that differ in `radius` at most, one choice agrees."""
+    cuts = [round(len(bits) * k / segments) for k in range(segments + 1)]
+    each = [bits[a:b] for a, b in itertools.pairwise(cuts)]
+    return [sum(c, []) for c in itertools.combinations(each, segments - radius)]
+
+
+def _mask(bits: list[int]) -> int:
+    return sum(1 << b for b in bits)
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """The rows whose route others share, with n, its size."""
+    return rows.join(rows.groupBy("route").agg(F.count("*").alias("n")).filter("n > 1"), "route")
 
 
 def _signed(x: int) -> int:
@@ -162,12 +174,15 @@ def _spanning(a: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """a, b: links whose components are those of all pairs of distinct fp within the radius."""
-    masks = _segment_masks(segments)
-    routes = list(itertools.combinations(range(segments), segments - radius))
-    key = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(sum(masks[s] for s in c))))) for k, c in enumerate(routes)])
-    routed = distinct.select("fp", F.explode(key).alias("route"))
-    sizes = routed.groupBy("route").agg(F.count("*").alias("n")).filter("n > 1")
-    members = kept(routed.join(sizes, "route"))
+    choices = _choices(list(range(64)), segments, radius)
+    key = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(_mask(bits))))) for k, bits in enumerate(choices)])
+    members = kept(_sized(distinct.select("fp", F.posexplode(key).alias("choice", "route"))))
+    # members of a crowded route agree on its choice of bits, so the other bits are cut again in the same way
+    inner = F.array(*[F.array(*[F.lit(_signed(_mask(bits))) for bits in _choices([b for b in range(64) if b not in picked], segments, radius)]) for picked in choices])
+    crowded = members.filter(F.col("n") > JOINED)
+    finer = crowded.select("fp", "route", F.posexplode(F.get(inner, F.col("choice"))).alias("choice", "mask"))
+    finer = kept(_sized(finer.select("fp", "choice", F.xxhash64("route", "choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("route"))))
+    members = members.filter(F.col("n") <= JOINED).unionByName(finer)
     few = members.filter(F.col("n") <= JOINED).select("route", "fp", pivot_table(F.col("fp")).alias("at"))
     other = few.select("route", F.col("fp").alias("fp2"), F.col("at").alias("at2"))
     apart = F.aggregate(F.zip_with("at", "at2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: F.greatest(s, x))
