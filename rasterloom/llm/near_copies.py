@@ -53,8 +53,11 @@ _RANDOM = np.random.Generator(np.random.PCG64(128))
 _WORD_KEYS = _RANDOM.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _HASH_KEYS = _RANDOM.integers(1, 1 << 63, (TABLES, ROWS), dtype=np.uint64) | np.uint64(1)
 
-_IN_WORD = np.zeros(256, bool)
-_IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = _IN_WORD[128:] = True
+#: Punctuation separates words as spaces do; other signs belong to them, so a text strewn with signs isn't a copy of the clean one.
+PUNCTUATION = "!\"'(),-.:;?"
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[:33] = _IN_WORD[127] = False
+_IN_WORD[[ord(c) for c in PUNCTUATION]] = False
 
 
 def shingles(texts: Texts, size: int = SHINGLE) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:

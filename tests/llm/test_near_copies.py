@@ -9,7 +9,7 @@ from rasterloom.llm.shared import chunks
 
 
 def words(text):
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return re.findall(r"[^\x00-\x20\x7F!\"'(),\-.:;?]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
 def held(a, b):
