@@ -12,18 +12,18 @@ import re
 #: Priorities: identifiers, full names with a version, notices, addresses, names without a version, hints.
 TAG, EXACT, NOTICE, LINK, NAME, HINT = 100, 90, 80, 70, 60, 30
 
-V1, V11, V12, V13, V2, V21, V3, V4 = (rf"(?:version |v ?|ver )?{x}" for x in (r"1(?: 0)?", "1 1", "1 2", "1 3", r"2(?: 0)?", "2 1", r"3(?: 0)?", r"4(?: 0)?"))
+V1, V11, V12, V13, V2, V21, V3, V31, V4 = (rf"(?:version |v ?|ver )?{x}" for x in (r"1(?: 0)?", "1 1", "1 2", "1 3", r"2(?: 0)?", "2 1", r"3(?: 0)?", "3 1", r"4(?: 0)?"))
 LATER = r"(?: (?:only )?(?:or |and )?(?:\(?at your option\)? )?(?:any )?(?:later|newer|above)(?: version)?)"
 
 #: SPDX identifiers that a tag may name, as words.
-TAGGED = """0bsd aal afl 1 1|afl 1 2|afl 2 0|afl 2 1|afl 3 0|agpl 1 0 only|agpl 1 0 or later|agpl 3 0 only|agpl 3 0 or later|agpl 3 0|apache 1 0|apache 1 1|apache 2 0|apsl 1 0|apsl 2 0|
+TAGGED = """0bsd|aal|afl 1 1|afl 1 2|afl 2 0|afl 2 1|afl 3 0|agpl 1 0 only|agpl 1 0 or later|agpl 3 0 only|agpl 3 0 or later|agpl 3 0|apache 1 0|apache 1 1|apache 2 0|apsl 1 0|apsl 2 0|
 artistic 1 0|artistic 1 0 perl|artistic 2 0|beerware|blessing|blueoak 1 0 0|bsd 1 clause|bsd 2 clause|bsd 2 clause patent|bsd 3 clause|bsd 3 clause clear|bsd 4 clause|bsd source code|bsl 1 0|busl 1 1|bzip2 1 0 6|
 cal 1 0|cc by 1 0|cc by 2 0|cc by 2 5|cc by 3 0|cc by 4 0|cc by nc 3 0|cc by nc 4 0|cc by nc nd 4 0|cc by nc sa 3 0|cc by nc sa 4 0|cc by nd 4 0|cc by sa 2 0|cc by sa 3 0|cc by sa 4 0|cc0 1 0|cddl 1 0|cddl 1 1|
 cecill 2 0|cecill 2 1|cecill b|cecill c|cern ohl p 2 0|cern ohl s 2 0|cern ohl w 2 0|cpal 1 0|cpl 1 0|curl|ecl 1 0|ecl 2 0|efl 2 0|elastic 2 0|epl 1 0|epl 2 0|eupl 1 0|eupl 1 1|eupl 1 2|fair|ftl|
 gfdl 1 1 only|gfdl 1 1 or later|gfdl 1 2 only|gfdl 1 2 or later|gfdl 1 3 only|gfdl 1 3 or later|gpl 1 0 only|gpl 1 0 or later|gpl 2 0|gpl 2 0 only|gpl 2 0 or later|gpl 3 0|gpl 3 0 only|gpl 3 0 or later|hpnd|icu|ijg|intel|ipl 1 0|isc|json|
 lgpl 2 0 only|lgpl 2 0 or later|lgpl 2 1|lgpl 2 1 only|lgpl 2 1 or later|lgpl 3 0|lgpl 3 0 only|lgpl 3 0 or later|libpng|libpng 2 0|lppl 1 3c|miros|mit|mit 0|mit cmu|mpl 1 0|mpl 1 1|mpl 2 0|ms pl|ms rl|mulanpsl 2 0|
 ncsa|nist pd|ntp|odbl 1 0|odc by 1 0|ofl 1 0|ofl 1 1|oldap 2 8|openssl|osl 1 0|osl 2 0|osl 2 1|osl 3 0|pddl 1 0|php 3 0|php 3 01|postgresql|psf 2 0|python 2 0|qpl 1 0|ruby|sgi b 2 0|sissl|sleepycat|sspl 1 0|tcl|unicode dfs 2016|
-unlicense|upl 1 0|vim|w3c|wtfpl|x11|xnet|zend 2 0|zlib|zpl 2 0|zpl 2 1""".replace("\n", "").replace("0bsd aal", "0bsd|aal").split("|")
+unlicense|upl 1 0|vim|w3c|wtfpl|x11|xnet|zend 2 0|zlib|zpl 2 0|zpl 2 1""".replace("\n", "").split("|")
 
 #: label ; keyword ; priority ; pattern
 WRITTEN = rf"""
@@ -207,6 +207,135 @@ cal-1.0 ; cryptographic autonomy ; {EXACT} ; (?:the )?cryptographic autonomy lic
 cern-ohl ; cern ; {EXACT} ; cern open hardware licen[sc]e
 fair ; fair license ; {EXACT} ; (?:the )?fair licen[sc]e
 nasa ; nasa ; {EXACT} ; nasa open source agreement(?: (?:version |v )?1 3)?
+fsfap ; in any medium ; {NOTICE} ; copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice and this notice are preserved
+gpl-verbatim ; verbatim copies ; {HINT} ; everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed
+gpl ; gnu org ; {HINT} ; you should have received a copy of the gnu general public licen[sc]e along with this (?:program|file|library|package)
+lgpl ; gnu lesser ; {HINT} ; you should have received a copy of the gnu lesser general public licen[sc]e along with this (?:program|file|library|package)
+agpl ; gnu affero ; {HINT} ; you should have received a copy of the gnu affero general public licen[sc]e along with this (?:program|file|library|package)
+lgpl ; gnu lesser ; {NOTICE} ; redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e
+agpl ; gnu affero ; {NOTICE} ; redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e
+gcc-exception ; runtime library exception ; {EXACT} ; (?:the )?gcc runtime library exception(?: {V31})?
+llvm-exception ; llvm ; {EXACT} ; (?:with )?(?:the )?llvm exceptions?
+autoconf-exception ; autoconf ; {EXACT} ; (?:with )?(?:the )?autoconf (?:configure script )?exception
+bison-exception ; bison ; {NOTICE} ; as a special exception you may create a larger work that contains part or all of the bison parser skeleton
+font-exception ; this font ; {NOTICE} ; if you create a document which uses this font and embed this font or unaltered portions of this font into the document
+linking-exception ; linking ; {EXACT} ; (?:with )?(?:an? |the )?(?:gpl |openssl |static )?linking exception
+libtool-exception ; libtool ; {NOTICE} ; if you distribute this file as part of a program or library that is built using gnu libtool
+swift-exception ; runtime library exception ; {EXACT} ; (?:the )?swift runtime library exception
+universal-foss-exception ; foss exception ; {EXACT} ; (?:the )?universal foss exception
+wxwindows ; wxwindows ; {EXACT} ; (?:the )?wxwindows(?: library)? licen[sc]e(?: {V31})?
+mit-modern ; modern variant ; {EXACT} ; (?:the )?mit (?:licen[sc]e )?modern variant
+mit-feh ; mit feh ; {EXACT} ; mit feh(?: licen[sc]e)?
+mit-enna ; mit enna ; {EXACT} ; (?:mit )?enna licen[sc]e
+bsd ; bsd ; {NOTICE} ; (?:released|distributed|licen[sc]ed|available|covered|provided|published) under (?:the )?(?:terms of )?(?:the |a )?(?:new |modified |simplified )?bsd(?: style)?(?: licen[sc]e)?
+bsd-3-clause ; berkeley ; {NOTICE} ; neither the name of the university nor the names of its contributors may be used to endorse or promote products
+bsd-2-clause-patent ; bsd ; {EXACT} ; bsd (?:2 clause )?plus patents?(?: licen[sc]e)?
+bsd-3-clause-clear ; bsd ; {EXACT} ; (?:the )?clear bsd(?: licen[sc]e)?
+bsd-3-clause-lbnl ; lawrence berkeley ; {EXACT} ; lawrence berkeley national labs bsd(?: variant)?(?: licen[sc]e)?
+bsd-source-code ; bsd ; {EXACT} ; bsd source code attribution
+apache-2.0 ; apache ; {NOTICE} ; licen[sc]ed to the apache software foundation asf under one or more contributor licen[sc]e agreements
+apache-2.0 ; limitations under ; {HINT} ; see the licen[sc]e for the specific language governing permissions and limitations under the licen[sc]e
+mpl-2.0 ; mozilla ; {NOTICE} ; this source code form is subject to the terms of the mozilla public licen[sc]e v ?2 0
+mpl-1.1 ; mozilla ; {NOTICE} ; the contents of this file are subject to the mozilla public licen[sc]e version 1 1
+mpl-2.0-no-copyleft ; secondary licenses ; {NOTICE} ; this source code form is incompatible with secondary licen[sc]es
+npl-1.0 ; netscape ; {EXACT} ; (?:the )?netscape public licen[sc]e(?: {V1})?
+epl-1.0 ; eclipse ; {NOTICE} ; (?:made )?available under the terms of the eclipse public licen[sc]e v ?1 0
+epl-2.0 ; eclipse ; {NOTICE} ; (?:made )?available under the terms of the eclipse public licen[sc]e (?:v ?)?2 0
+epl ; eclipse org ; {LINK} ; (?:www )?eclipse org legal epl v[12]0(?: html)?
+cddl ; common development ; {NOTICE} ; subject to the terms of the common development and distribution licen[sc]e
+sun-public-1.0 ; sun public ; {EXACT} ; (?:the )?sun public licen[sc]e(?: {V1})?
+sissl-1.1 ; sun industry ; {EXACT} ; (?:the )?sun industry standards source licen[sc]e(?: {V11})?
+apl-1.0 ; adaptive public ; {EXACT} ; (?:the )?adaptive public licen[sc]e(?: {V1})?
+aal ; attribution assurance ; {EXACT} ; (?:the )?attribution assurance licen[sc]e
+cnri-python ; cnri ; {EXACT} ; (?:the )?cnri(?: open source)?(?: python)? licen[sc]e(?: agreement)?
+catosl-1.1 ; computer associates ; {EXACT} ; (?:the )?computer associates trusted open source licen[sc]e(?: {V11})?
+cua-opl-1.0 ; cua office ; {EXACT} ; (?:the )?cua office public licen[sc]e(?: {V1})?
+entessa ; entessa ; {EXACT} ; (?:the )?entessa public licen[sc]e(?: {V1})?
+eudatagrid ; datagrid ; {EXACT} ; (?:the )?eu datagrid software licen[sc]e
+frameworx-1.0 ; frameworx ; {EXACT} ; (?:the )?frameworx(?: open)? licen[sc]e(?: {V1})?
+hpnd ; historical permission ; {EXACT} ; (?:the )?historical permission notice and disclaimer
+intel ; intel ; {EXACT} ; (?:the )?intel open source licen[sc]e
+jabber ; jabber ; {EXACT} ; (?:the )?jabber open source licen[sc]e
+lpl-1.02 ; lucent ; {EXACT} ; (?:the )?lucent public licen[sc]e(?: (?:version |v )?1 0[02]?)?
+motosoto ; motosoto ; {EXACT} ; (?:the )?motosoto(?: open source)? licen[sc]e
+multics ; multics ; {EXACT} ; (?:the )?multics licen[sc]e
+naumen ; naumen ; {EXACT} ; (?:the )?naumen public licen[sc]e
+ngpl ; nethack ; {EXACT} ; (?:the )?nethack general public licen[sc]e
+nokia ; nokia ; {EXACT} ; (?:the )?nokia open source licen[sc]e
+nposl-3.0 ; non profit ; {EXACT} ; (?:the )?non profit open software licen[sc]e(?: {V3})?
+oclc-2.0 ; oclc ; {EXACT} ; (?:the )?oclc research public licen[sc]e(?: {V2})?
+ogtsl ; open group ; {EXACT} ; (?:the )?open group test suite licen[sc]e
+rscpl ; ricoh ; {EXACT} ; (?:the )?ricoh source code public licen[sc]e
+simpl-2.0 ; simple public ; {EXACT} ; (?:the )?simple public licen[sc]e(?: {V2})?
+watcom-1.0 ; watcom ; {EXACT} ; (?:the )?sybase open watcom public licen[sc]e(?: {V1})?
+vsl-1.0 ; vovida ; {EXACT} ; (?:the )?vovida software licen[sc]e(?: {V1})?
+xnet ; x net ; {EXACT} ; (?:the )?x net licen[sc]e
+liliq ; libre du quebec ; {EXACT} ; licence libre du quebec(?: permissive| reciprocite(?: forte)?)?
+free-art ; free art ; {EXACT} ; (?:the )?free art licen[sc]e(?: {V13})?
+free-art ; art libre ; {EXACT} ; licence art libre(?: {V13})?
+ogl-uk ; open government ; {EXACT} ; (?:the )?open government licen[sc]e(?: {V3}| {V2}| {V1})?
+etalab-2.0 ; etalab ; {EXACT} ; (?:etalab )?(?:open licen[sc]e|licence ouverte) (?:etalab )?{V2}(?: etalab)?
+dl-de-by-2.0 ; data licence germany ; {EXACT} ; data licence germany attribution(?: {V2})?
+cdla-permissive ; community data ; {EXACT} ; (?:the )?community data licen[sc]e agreement permissive(?: {V1}| {V2})?
+cdla-sharing ; community data ; {EXACT} ; (?:the )?community data licen[sc]e agreement sharing(?: {V1})?
+o-uda ; open use of data ; {EXACT} ; (?:the )?open use of data agreement(?: {V1})?
+openrail-m ; rail m ; {EXACT} ; (?:creativeml |bigscience |bigcode )?open ?rail m(?: licen[sc]e)?
+rail ; responsible ai ; {EXACT} ; (?:the )?responsible ai licen[sc]e
+llama-community ; llama ; {EXACT} ; (?:meta )?llama (?:[2-4] |3 [1-3] )?community licen[sc]e(?: agreement)?
+gemma ; gemma ; {EXACT} ; (?:the )?gemma terms of use
+polyform-noncommercial ; polyform ; {EXACT} ; (?:the )?polyform non ?commercial licen[sc]e(?: 1 0 0)?
+polyform-small-business ; polyform ; {EXACT} ; (?:the )?polyform small business licen[sc]e(?: 1 0 0)?
+polyform-shield ; polyform ; {EXACT} ; (?:the )?polyform shield licen[sc]e(?: 1 0 0)?
+polyform-strict ; polyform ; {EXACT} ; (?:the )?polyform strict licen[sc]e(?: 1 0 0)?
+polyform-perimeter ; polyform ; {EXACT} ; (?:the )?polyform perimeter licen[sc]e(?: 1 0 [01])?
+polyform-internal-use ; polyform ; {EXACT} ; (?:the )?polyform internal use licen[sc]e(?: 1 0 0)?
+prosperity ; prosperity ; {EXACT} ; (?:the )?prosperity public licen[sc]e(?: {V2}| {V3})?
+parity ; parity ; {EXACT} ; (?:the )?parity public licen[sc]e(?: [67] 0(?: 0)?)?
+big-time ; big time ; {EXACT} ; (?:the )?big time public licen[sc]e
+fsl-1.1 ; functional source ; {EXACT} ; (?:the )?functional source licen[sc]e(?: {V11})?
+fcl-1.0 ; fair core ; {EXACT} ; (?:the )?fair core licen[sc]e(?: {V1})?
+sustainable-use ; sustainable use ; {EXACT} ; (?:the )?sustainable use licen[sc]e(?: {V1})?
+confluent ; confluent ; {EXACT} ; (?:the )?confluent community licen[sc]e(?: agreement)?(?: {V1})?
+rsal-2.0 ; source available ; {EXACT} ; (?:the )?redis source available licen[sc]e(?: {V2})?
+timescale ; timescale ; {EXACT} ; (?:the )?timescale licen[sc]e
+cockroach ; cockroach ; {EXACT} ; (?:the )?cockroach(?:db)? community licen[sc]e
+anti-996 ; anti 996 ; {EXACT} ; (?:the )?anti 996 licen[sc]e(?: {V1})?
+acsl ; anti capitalist ; {EXACT} ; (?:the )?anti capitalist software licen[sc]e(?: 1 4)?
+cnpl ; nonviolent ; {EXACT} ; (?:the )?cooperative nonviolent(?: public)? licen[sc]e
+peer-production ; peer production ; {EXACT} ; (?:the )?peer production licen[sc]e
+jrl ; java research ; {EXACT} ; (?:the )?java research licen[sc]e
+bcl ; binary code ; {EXACT} ; (?:the )?(?:oracle |sun )?binary code licen[sc]e(?: agreement)?
+otn ; technology network ; {EXACT} ; (?:the )?oracle technology network licen[sc]e(?: agreement)?
+freebsd-doc ; documentation license ; {EXACT} ; (?:the )?freebsd documentation licen[sc]e
+ldp ; linux documentation ; {EXACT} ; (?:the )?linux documentation project licen[sc]e
+opl ; open publication ; {EXACT} ; (?:the )?open publication licen[sc]e(?: {V1})?
+opencontent ; opencontent ; {EXACT} ; (?:the )?open ?content licen[sc]e(?: {V1})?
+dsl ; design science ; {EXACT} ; (?:the )?design science licen[sc]e
+ogl-1.0 ; open game ; {EXACT} ; (?:the )?open game licen[sc]e(?: {V1})?
+orc ; open rpg ; {EXACT} ; (?:the )?open rpg creative licen[sc]e
+ubuntu-font ; ubuntu font ; {EXACT} ; (?:the )?ubuntu font licen[sc]e(?: {V1})?
+bitstream-vera ; bitstream ; {EXACT} ; (?:the )?bitstream vera(?: fonts?)?(?: copyright| licen[sc]e)
+imagemagick ; imagemagick ; {EXACT} ; (?:the )?imagemagick licen[sc]e
+gdlib ; gd library ; {EXACT} ; (?:the )?gd(?: graphics)? library licen[sc]e
+infozip ; info zip ; {EXACT} ; (?:the )?info zip licen[sc]e
+bzip2 ; bzip2 ; {EXACT} ; (?:the )?(?:bzip2 and libbzip2|bzip2) licen[sc]e
+libtiff ; libtiff ; {EXACT} ; (?:the )?libtiff licen[sc]e
+net-snmp ; net snmp ; {EXACT} ; (?:the )?net snmp licen[sc]e
+tcp-wrappers ; tcp wrappers ; {EXACT} ; (?:the )?tcp wrappers licen[sc]e
+xfree86-1.1 ; xfree86 ; {EXACT} ; (?:the )?xfree86(?: project)? licen[sc]e(?: {V11})?
+crystal-stacker ; crystal stacker ; {EXACT} ; (?:the )?crystal stacker licen[sc]e
+glide ; 3dfx ; {EXACT} ; (?:the )?3dfx glide(?: source code)? (?:general )?public licen[sc]e
+mulan-publ-2.0 ; mulan ; {EXACT} ; (?:the )?mulan public licen[sc]e(?: {V2})?
+zimbra ; zimbra ; {EXACT} ; (?:the )?zimbra public licen[sc]e(?: 1 [34])?
+yahoo-1.1 ; yahoo ; {EXACT} ; (?:the )?yahoo public licen[sc]e(?: {V11})?
+sugarcrm ; sugarcrm ; {EXACT} ; (?:the )?sugarcrm public licen[sc]e
+cpol-1.02 ; code project ; {EXACT} ; (?:the )?code project open licen[sc]e(?: {V1}| 1 02)?
+proprietary ; trade secret ; {HINT} ; contains (?:confidential and )?(?:proprietary )?trade secrets? (?:and|or) (?:confidential|proprietary) information
+non-commercial ; non commercial ; {HINT} ; for non ?commercial (?:use|purposes|research)(?: only)?
+evaluation ; evaluation purposes ; {HINT} ; for (?:internal )?evaluation purposes only
+no-derivatives ; derivative ; {HINT} ; you may not (?:modify|alter) or create derivative works(?: of| from| based on)?
+reuse ; reuse software ; {LINK} ; reuse software(?: specification)?
+spdx ; spdx org ; {LINK} ; spdx org licen[sc]es
 proprietary ; proprietary ; {NAME} ; proprietary and confidential
 proprietary ; unauthorized copying ; {NOTICE} ; unauthorized copying of this file via any medium is strictly prohibited
 all-rights-reserved ; rights reserved ; {HINT} ; all rights reserved

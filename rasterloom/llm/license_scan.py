@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .license_rules import gates, needed, rules
 from .shared import id_and_text
-from .spans import count_words, word_text
+from .spans import ascii_lower, count_words, word_text
 
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -44,12 +44,18 @@ def places(text: Column, pattern: Column) -> Column:
 
 
 def _hits(text: Column) -> Column:
-    """Matches of all rules whose keyword the padded word text holds."""
-    listed = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(needed(keyword, pattern)).alias("keyword"), F.lit(p).alias("priority"), F.lit(k).alias("order"), F.lit(pattern).alias("pattern")) for k, (label, keyword, p, pattern) in enumerate(rules())])
-    tried = F.filter(listed, lambda r: F.contains(text, r["keyword"]) & (F.regexp_instr(text, r["pattern"]) > 0))
+    """Matches of all rules whose keyword the padded word text holds.
+
+    Rules are data, looked up by keyword: one constant pattern a rule would make each text pay for hundreds of expressions.
+    """
+    by_keyword: dict[str, list[Column]] = {}
+    for k, (label, keyword, p, pattern) in enumerate(rules()):
+        by_keyword.setdefault(needed(keyword, pattern), []).append(F.struct(F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(k).alias("order"), F.lit(pattern).alias("pattern")))
+    listed = F.array(*[F.struct(F.lit(keyword).alias("keyword"), F.array(*own).alias("rules")) for keyword, own in by_keyword.items()])
+    held = F.flatten(F.transform(F.filter(listed, lambda g: F.contains(text, g["keyword"])), lambda g: g["rules"]))
     return F.flatten(
         F.transform(
-            tried,
+            F.filter(held, lambda r: F.regexp_instr(text, r["pattern"]) > 0),
             lambda r: F.transform(
                 places(text, r["pattern"]),
                 # in order of start, longest first, then priority and rule order
@@ -79,7 +85,7 @@ def suppressed(hits: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, base: array<struct<start, end>> of base phrases, base_labels (array), detections (array of hits)."""
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", word_text(F.lower(F.coalesce("text", F.lit("")))).alias("words"))
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", word_text(ascii_lower(F.coalesce("text", F.lit("")))).alias("words"))
     padded = F.concat(F.lit(" "), F.col("words"), F.lit(" "))
     any_of = F.lit(False)
     for k in gates():

@@ -114,9 +114,9 @@ def _apart(pattern: str) -> str:
 
 
 def _op1_sql() -> str:
-    """op1: all rules on all texts that hold their keyword; overlaps are resolved by a recursion over each text's hits."""
+    """op1: all rules on all texts, without keywords; overlaps are resolved by a recursion over each text's hits."""
     q = lambda x: x.replace("'", "''")
-    listed = ", ".join(f"({k}, '{q(label)}', '{q(keyword)}', {priority}, '{q(_apart(pattern))}')" for k, (label, keyword, priority, pattern) in enumerate(license_rules.rules()))
+    listed = ", ".join(f"({k}, '{q(label)}', {priority}, '{q(_apart(pattern))}')" for k, (label, _, priority, pattern) in enumerate(license_rules.rules()))
     phrases = license_scan.PHRASES
     base = " (?:" + "|".join(p.replace(" ", "(?:  )") for p, _ in phrases) + ") "
     count = lambda x: f"(length({x}) - length(replace({x}, ' ', ''))) // 2"
@@ -124,10 +124,10 @@ def _op1_sql() -> str:
     placed = f"CAST(sum({count('gap')}) OVER w + coalesce(sum({count('s')}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)"
     names = "list_concat(" + "list_concat(".join(f"CASE WHEN contains(one, ' {p} ') THEN ['{label}'] ELSE CAST([] AS VARCHAR[]) END, " for p, label in phrases[:-1])
     names += f"CASE WHEN contains(one, ' {phrases[-1][0]} ') THEN ['{phrases[-1][1]}'] ELSE CAST([] AS VARCHAR[]) END" + ")" * (len(phrases) - 1)
-    return f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 d AS (SELECT doc_id, len(ws) AS n_words, ' ' || array_to_string(ws, ' ') || ' ' AS one, ' ' || array_to_string(ws, '  ') || ' ' AS two FROM t),
-rl(ord, label, keyword, priority, re) AS (VALUES {listed}),
-h0 AS (SELECT doc_id, ord, label, priority, regexp_extract_all(two, re) AS ms, string_split_regex(two, re) AS gaps FROM d JOIN rl ON contains(one, keyword)),
+rl(ord, label, priority, re) AS (VALUES {listed}),
+h0 AS (SELECT doc_id, ord, label, priority, regexp_extract_all(two, re) AS ms, string_split_regex(two, re) AS gaps FROM d, rl WHERE regexp_matches(two, re)),
 h1 AS (SELECT doc_id, ord, label, priority, {flat} FROM h0 WHERE len(ms) > 0),
 h2 AS (SELECT doc_id, ord, label, priority, s, {placed} AS start FROM h1 WINDOW w AS (PARTITION BY doc_id, ord ORDER BY j)),
 h3 AS (SELECT *, start + {count('s')} AS stop FROM h2),

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def ascii_lower(text: Column) -> Column:
+    """The text with A-Z in lower case; letters beyond ASCII may change case too, but none becomes an ASCII one."""
+    # the two letters whose lower case begins with i and is k
+    return F.when(text.rlike("[\u0130\u212A]"), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
+
+
 def word_text(lowered: Column) -> Column:
     """The words of a lower-cased text with single spaces between; empty without words."""
     return F.trim(F.regexp_replace(lowered, SEPARATORS, " "))
