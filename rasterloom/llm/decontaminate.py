@@ -7,7 +7,8 @@ item are laid along the same diagonal, and the best stretch (a word that matches
 that doesn't counts -2) must reach 10, or the item's whole length where it is shorter.
 
 The benchmark's hashes are broadcast if there are at most `broadcast_rows`; beyond that the
-lookup is a shuffled join. Items of fewer than 11 words are looked up whole by masks of ones
+lookup is a shuffled join of hashes and places, and only texts with a hit are fetched. Likewise the names of
+contaminated rows are broadcast up to that number. Items of fewer than 11 words are looked up whole by masks of ones
 of their lengths; items of fewer than 5 words are no evidence and are left out.
 
 Defined cases: null text reads as empty; a document without hits isn't contaminated; repeated
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, unused
+from .shared import id_and_text, kept, unused
 from .spans import word_text
 
 #: 1: the word counts; 0: it may be another one.
@@ -63,22 +64,30 @@ def best_stretch(pairs: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text_hash, item_id, start (word of the document where the item would begin), score: verified overlaps."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text")).dropna()
-    items = items.select("item_id", _words(F.col("item_text")).alias("words")).filter(F.size("words") >= LEAST_ITEM)
-    short = [r[0] for r in items.filter(F.size("words") < SPAN).select(F.size("words")).distinct().collect()]  # at most SPAN - LEAST_ITEM lengths
-    long_seeds = _seeds(items.filter(F.size("words") >= SPAN), list(MASKS)).filter("seed is not null")
-    seeds = long_seeds
-    for n in sorted(short):
-        seeds = seeds.unionByName(_seeds(items.filter(F.size("words") == n), ["1" * n]).filter("seed is not null"))
-    seeds = seeds.select("seed", "item_id", F.col("pos").alias("item_pos"), F.col("words").alias("item_words"))
-    if seeds.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        seeds = F.broadcast(seeds)
+    # a name for each text, as an id may have several
+    items = kept(items.select("item_id", _words(F.col("item_text")).alias("item_words")).filter(F.size("item_words") >= LEAST_ITEM).distinct().withColumn("item", F.xxhash64("item_id", "item_words")))
+    short = sorted(r[0] for r in items.filter(F.size("item_words") < SPAN).select(F.size("item_words")).distinct().collect())  # at most SPAN - LEAST_ITEM lengths
+    of = lambda rows, masks: _seeds(rows.withColumnRenamed("item_words", "words"), masks).filter("seed is not null").select("seed", "item", F.col("pos").alias("item_pos"))
+    seeds = of(items.filter(F.size("item_words") >= SPAN), list(MASKS))
+    for n in short:
+        seeds = seeds.unionByName(of(items.filter(F.size("item_words") == n), ["1" * n]))
+    seeds = kept(seeds)
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
-    looked = _seeds(rows, [*MASKS, *("1" * n for n in sorted(short))])
-    # the item's place in the document, and the document's words that lie along it
-    begin = F.col("pos") - F.col("item_pos")
-    along = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.size("item_words") + F.least(begin, F.lit(0)))
-    hits = looked.join(seeds, "seed").select("doc_id", "text_hash", "item_id", begin.alias("start"), along.alias("along"), "item_words")
-    each = hits.groupBy("doc_id", "text_hash", "item_id", "start").agg(F.first("along").alias("along"), F.first("item_words").alias("item_words"))
+    looked = _seeds(rows, [*MASKS, *("1" * n for n in short)])
+    begin = (F.col("pos") - F.col("item_pos")).alias("start")
+    place = ["doc_id", "text_hash", "item", "start"]
+    # the document's words that lie along an item
+    along = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("item_words") + F.least(F.col("start"), F.lit(0))).alias("along")
+    if seeds.count() <= broadcast_rows:
+        # texts stream past the seeds; only the words along a hit are shuffled
+        hits = looked.join(F.broadcast(seeds.join(items, "item")), "seed").select("doc_id", "text_hash", "item", "item_id", "item_words", begin, "words")
+        each = hits.select(*place, "item_id", "item_words", along).groupBy(*place).agg(F.first("item_id").alias("item_id"), F.first("item_words").alias("item_words"), F.first("along").alias("along"))
+    else:
+        # hashes and places are shuffled, texts only once and only if they have a hit
+        hits = kept(looked.select("doc_id", "text_hash", "pos", "seed").join(seeds, "seed").select("doc_id", "text_hash", "item", begin).distinct())
+        of_hit = hits.join(items, "item").alias("h")
+        each = rows.dropDuplicates(["doc_id", "text_hash"]).alias("r").join(of_hit, F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("r.text_hash") == F.col("h.text_hash")))
+        each = each.select(*[F.col(f"h.{c}").alias(c) for c in (*place, "item_id", "item_words")], "words").select(*place, "item_id", "item_words", along)
     under = F.slice("item_words", F.greatest(-F.col("start"), F.lit(0)) + 1, F.size("along"))
     score = best_stretch(F.zip_with("along", under, lambda a, b: F.coalesce(a == b, F.lit(False))))
     return each.withColumn("score", score).filter(F.col("score") >= F.least(F.lit(LEAST_SCORE), F.size("item_words"))).select("doc_id", "text_hash", "item_id", "start", "score")
@@ -98,6 +107,7 @@ def assess(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
     at, text_hash = unused(docs, "bad_id"), unused(docs, "bad_hash")
-    bad = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash)).distinct()
+    bad = kept(overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash)).distinct())
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     mine = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(at)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(text_hash))
     return docs.join(bad, mine, "left_anti")

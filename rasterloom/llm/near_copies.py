@@ -295,7 +295,7 @@ def links(docs: DataFrame, nodes: DataFrame, known: DataFrame, id_col: str, text
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each group, with all its columns: that of the smallest id, or if all ids are null of the smallest hash.
 
-    Texts go through one shuffle at most; rows that repeat both id and text are told apart only where there are any.
+    Texts go through one shuffle at most, and none while the rows that go can be broadcast; rows that repeat both id and text are told apart only where there are any.
     """
     found = kept(prints(docs, id_col, text_col))
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep")
@@ -310,7 +310,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at, text_hash = unused(docs, "first_id"), unused(docs, "first_hash")
     row_id, row_hash = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
     mine = row_id.eqNullSafe(F.col(at)) & (row_hash == F.col(text_hash))
-    out = docs.join(first.select(F.col("f.doc_id").alias(at), F.col("f.text_hash").alias(text_hash)), mine, "left_semi")
+    stay = kept(first.select(F.col("f.doc_id").alias(at), F.col("f.text_hash").alias(text_hash)))
+    every = found.select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash)).distinct()
+    go = kept(every.alias("e").join(stay.alias("s"), F.col(f"e.{at}").eqNullSafe(F.col(f"s.{at}")) & (F.col(f"e.{text_hash}").eqNullSafe(F.col(f"s.{text_hash}"))), "left_anti"))
+    out = docs.join(F.broadcast(go), mine, "left_anti") if go.count() <= BROADCAST_ROWS else docs.join(stay, mine, "left_semi")
     repeated = kept(found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash)))
     if repeated.isEmpty():
         return out

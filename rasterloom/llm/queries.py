@@ -82,20 +82,29 @@ def _op7_sql() -> str:
     kinds = [(0, "assign", s7.ASSIGN, 1, 6), (1, "access", s7.ACCESS, 0, 20), (2, "hex", "[0-9a-f]+", 0, 24), (3, "random", "[A-Za-z0-9+/_-]{20,}", 0, 20)]
     found = " UNION ALL ".join(f"SELECT * FROM ({_places(*k)})" for k in kinds)
     encoding = "CASE " + " ".join(f"WHEN regexp_matches(s, '{pattern}') THEN '{letters}'" for _, pattern, letters in s7.ENCODINGS[:-1]) + f" ELSE '{s7.ENCODINGS[-1][2]}' END"
-    below = lambda z: f"greatest(1e-12, 1 / (1 + exp(least(600.0, -(1.5976 * ({z}) + 0.07056 * ({z}) * ({z}) * ({z}))))))"
+    def below(z: str) -> str:
+        power = lambda factors: " + ".join(f"{f!r} * pow(abs({z}), {len(factors) - 1 - k})" for k, f in enumerate(factors))
+        tail = f"(exp(-pow({z}, 2) / 2) * CASE WHEN abs({z}) < 7 THEN ({power(s7.TAIL_OVER)}) / ({power(s7.TAIL_UNDER)}) ELSE 1 / (abs({z}) * 2.5066282746310002) END)"
+        return f"CASE WHEN {z} <= 0 THEN {tail} ELSE 1 - {tail} END"
+
     same = " + ".join(f"pow(length(regexp_replace(letters, '{c}', '', 'g')) / k, 2)" for c in ("[^0-9]", "[^A-Z]", "[^a-z]", "[0-9A-Za-z]"))
     z_chi, z_runs = "(chi - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n)", "(changes - (n - 1) * (1 - same)) / sqrt((n - 1) * same * (1 - same))"
-    p_chi = below("(chi - (k - 1) - away) / sqrt(2 * ((k - 1) + 2 * away))")
-    p_runs = below(f"-(changes - (n - 1) * {s7.CHANGE} - 0.5) / sqrt((n - 1) * {s7.CHANGE} * (1 - {s7.CHANGE}))")
-    p_serial = below(f"(abs(r) - {s7.SERIAL}) * sqrt(n - 1)")
+    # the binomial tail by log-gamma, term by term
+    runs = f"least(1.0, list_sum([exp(lgamma(n) - lgamma(i + 1) - lgamma(n - i) + i * ln({s7.CHANGE}) + (n - 1 - i) * ln(1 - {s7.CHANGE})) FOR i IN range(CAST(changes AS BIGINT), CAST(n AS BIGINT))]))"
+    log = lambda p: f"ln(greatest({p}, {s7.LEAST_P}))"
+    mean = "(1 + h * q * (h - 1 - 0.5 * (2 - h) * (h - 1) * (1 - 3 * h) * q))"
+    z_away = f"(pow(greatest(chi, 0) / (k - 1 + away), h) - {mean}) / (h * sqrt(2 * q) * (1 + 0.5 * (h - 1) * (1 - 3 * h) * q))"
+    z_turned = f"(atanh(least(abs(r), 0.999999)) - atanh({s7.SERIAL})) * sqrt(n - 3)"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}), base AS (SELECT *, start + length(s) AS stop FROM f WHERE rank < 3),
 c AS (SELECT f.*, start + length(s) AS stop, CAST(length(s) AS DOUBLE) AS n, {encoding} AS letters FROM f WHERE rank = 3 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.start < f.start + length(f.s) AND f.start < b.stop)),
 x AS (SELECT *, CAST(length(letters) AS DOUBLE) AS k, string_split(s, '') AS cs, translate(s, '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_', '{"0" * 10}{"A" * 26}{"a" * 26}{"+" * 4}') AS kinds FROM c),
 y AS (SELECT *, {same} AS same, list_sum([pow(length(s) - length(replace(s, e, '')), 2) FOR e IN list_distinct(cs)]) AS squares, list_sum([CASE WHEN kinds[i] <> kinds[i + 1] THEN 1.0 ELSE 0.0 END FOR i IN range(1, length(s))]) AS changes, [CAST(instr(letters, e) AS DOUBLE) FOR e IN cs] AS ranks FROM x),
 z AS (SELECT *, [e - list_sum(ranks) / n FOR e IN ranks] AS off, k * squares / n - n AS chi, (n - 1) * greatest(k * {s7.COINCIDENCE} - 1, 0.05) AS away FROM y),
 w AS (SELECT *, CASE WHEN list_sum([e * e FOR e IN off]) = 0 THEN 1.0 ELSE list_sum([off[i] * off[i + 1] FOR i IN range(1, len(off))]) / list_sum([e * e FOR e IN off]) END AS r FROM z),
-v AS (SELECT *, -(ln({p_chi}) + ln({p_runs}) + ln({p_serial})) AS half, {z_chi} AS z_chi, {z_runs} AS z_runs, r * sqrt(n) AS z_serial FROM w),
-u AS (SELECT *, exp(-half) * (1 + half + half * half / 2) * sum(n) OVER (PARTITION BY doc_id) / (n * count(*) OVER (PARTITION BY doc_id)) AS p, count(*) OVER (PARTITION BY doc_id) AS m FROM v),
+w1 AS (SELECT *, (k - 1 + 2 * away) / pow(k - 1 + away, 2) AS q, 1 - 2 * (k - 1 + away) * (k - 1 + 3 * away) / (3 * pow(k - 1 + 2 * away, 2)) AS h FROM w),
+w2 AS (SELECT *, {z_away} AS z1, {z_turned} AS z3 FROM w1),
+v AS (SELECT *, least(1.0, exp(1 + {s7.WEIGHTS[0]} * {log(below('z1'))} + {s7.WEIGHTS[1]} * {log(runs)} + {s7.WEIGHTS[2]} * {log(below('z3'))})) AS pg, {z_chi} AS z_chi, {z_runs} AS z_runs, r * sqrt(n) AS z_serial FROM w2),
+u AS (SELECT *, pg * sum(n) OVER (PARTITION BY doc_id) / (n * count(*) OVER (PARTITION BY doc_id)) AS p, count(*) OVER (PARTITION BY doc_id) AS m FROM v),
 l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM u), lim AS (SELECT doc_id, max(CASE WHEN p <= {s7.ALPHA} * i / m THEN p END) AS most FROM l GROUP BY 1),
 good AS (SELECT l.doc_id, rank, kind, start, stop FROM l JOIN lim USING (doc_id) WHERE p <= most AND z_chi <= {s7.FAR} AND abs(z_runs) <= {s7.FAR} AND abs(z_serial) <= {s7.FAR}),
 every AS (SELECT doc_id, rank, kind, start, stop FROM base UNION ALL SELECT * FROM good),

@@ -278,6 +278,48 @@ def test_secrets(docs, texts):
     check_all(secret_scan.report(docs), secrets, texts)
 
 
+def test_tails_are_exact(spark):
+    """Against the error function, sums of binomial terms, and a simulated non-central chi-squared."""
+    from math import comb, erfc, sqrt
+
+    from pyspark.sql import functions as F
+
+    z = [x / 7 for x in range(-60, 40)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(secret_scan.below(F.col("z"))).collect()]
+    assert all(abs(g / (erfc(-x / sqrt(2)) / 2) - 1) < (1e-8 if x > -7 else 0.05) for g, x in zip(got, z))
+    cases = [(c, m) for m in (1, 5, 19, 63, 400) for c in range(0, m + 1, max(1, m // 9))]
+    got = [r[0] for r in spark.createDataFrame([(float(c), float(m)) for c, m in cases], "c double, m double").select(secret_scan.at_least(F.col("c"), F.col("m"), 0.1)).collect()]
+    want = [sum(comb(m, k) * 0.1**k * 0.9 ** (m - k) for k in range(c, m + 1)) for c, m in cases]
+    assert all(abs(g - w) <= 1e-9 * w + 1e-280 for g, w in zip(got, want))
+    rng = np.random.default_rng(1)
+    for free, away in ((15, 4.0), (31, 25.0), (63, 105.0)):
+        drawn = np.sort(rng.noncentral_chisquare(free, away, 400_000))
+        x = [float(drawn[int(q * len(drawn))]) for q in (0.0005, 0.005, 0.05, 0.5, 0.95)]
+        got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(secret_scan.chi_below(F.col("x"), F.lit(float(free)), F.lit(away))).collect()]
+        assert all(-0.1 < g / q - 1 < 0.35 for g, q in zip(got, (0.0005, 0.005, 0.05, 0.5, 0.95))), got  # the simulation itself is good to a tenth at 0.0005
+
+
+def structured(n, seed=3):
+    """Tokens that people make: identifiers, dated names, paths, product numbers, counters."""
+    rng = np.random.default_rng(seed)
+    parts = "get set user account order item list page image value total customer service report data base index search filter update remove config version release candidate module package system network server client thread handler".split()
+    word = lambda: str(rng.choice(parts))
+    num = lambda k: str(int(rng.integers(10 ** (k - 1), 10**k)))
+    kinds = [
+        lambda: word() + "".join(word().title() for _ in range(4)) + num(2), lambda: "_".join(word() for _ in range(4)) + "_" + num(4), lambda: "-".join(word() for _ in range(3)) + "-2024-0" + num(1) + "-1" + num(1),
+        lambda: "/".join(word() for _ in range(4)) + "/" + num(3), lambda: (word() + "-" + word()).upper() + "-" + num(4) + "-" + word().upper(), lambda: "v" + num(1) + "_" + word() + "_build_" + num(6) + "_" + word(),
+    ]
+    out = [str(kinds[k % len(kinds)]()) for k in range(n)]
+    return [t for t in out if len(t) >= 20]
+
+
+def test_false_discoveries_among_structured_tokens(spark):
+    tokens = structured(4000)
+    got = by_id(secret_scan.report(spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(tokens)], "doc_id long, text string")))
+    wrong = [tokens[i] for i, r in got.items() if "random" in r["spans"]]
+    assert len(wrong) <= secret_scan.ALPHA * len(tokens), (len(wrong), len(tokens), wrong[:5])
+
+
 def test_secret_battery(spark):
     rng = np.random.default_rng(3)
     alphabets = ["0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
