@@ -4,7 +4,8 @@ The log-posterior of a language is the sum of four parts: the text's likelihood
 byte 4-gram multinomials (divided by a temper, as neighbouring grams aren't independent), the
 declared markup language, the address suffix, and a host prior. Host priors are smoothed along
 a hierarchy, host -> registered domain -> all: a grouped aggregation counts what the text alone
-says of each host's rows, and each level's shares are mixed with its parent's by a fixed weight.
+says of each host's rows, and each level's shares are mixed with its parent's by a fixed weight. A row's own text
+is left out of its prior, so that it doesn't count twice.
 
 The gram multinomials are fitted to at most `train_rows` labelled documents (those with the least
 hash of the id whose crc32 mod 5 isn't 0), so what is collected is bounded.
@@ -38,6 +39,11 @@ WEIGHT = 5.0
 
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh"}
 
+#: Labels under which countries' registries give out names.
+SECOND_LEVEL = "ac co com edu gob gouv gov go gub id info ltd me mil ne net nhs nom or org plc sch".split()
+#: Hosts whose counts are broadcast; beyond that each host's rows are joined in SHARES.
+BROADCAST_ROWS, SHARES = 200_000, 16
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -103,6 +109,14 @@ def host_of(url: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
+def domain_of(host: Column) -> Column:
+    """The registered domain: the last two labels, three under a registry's second level such as co.uk; an address of numbers is whole."""
+    labels = F.split(host, r"\.")
+    three = (F.size(labels) > 2) & F.element_at(labels, -1).rlike("^[a-z]{2}$") & F.get(labels, F.size(labels) - 2).isin(*SECOND_LEVEL)
+    last = F.array_join(F.slice(labels, -F.when(three, 3).otherwise(2), F.when(three, 3).otherwise(2)), ".")
+    return F.when((F.size(labels) < 3) | host.rlike(r"^[0-9.]+$|:"), host).otherwise(last)
+
+
 def classify(rows: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
     """id, lang_id, probability, text_lang. rows has id, text, markup, host (each may be null but the id)."""
     if not langs:
@@ -125,22 +139,32 @@ def classify(rows: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
     told = kept(rows.select("id", "text", "markup", "host").mapInArrow(likelihood, "id long, markup string, host string, ll array<double>"))
     lang_list = F.array(*[F.lit(x) for x in langs])
     best = lambda a: F.get(lang_list, F.array_position(a, F.array_max(a)).cast("int") - 1)
-    domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
-    told = told.withColumn("domain", F.when(domain == "", F.col("host")).otherwise(domain)).withColumn("text_lang", best(F.col("ll")))
-    of = [F.count_if(F.col("text_lang") == x).alias(f"c{i}") for i, x in enumerate(langs)]
+    told = told.withColumn("domain", domain_of(F.col("host"))).withColumn("text_lang", best(F.col("ll")))
+    # a text that says nothing doesn't count
+    told = told.withColumn("vote", F.when(F.array_max("ll") > F.array_min("ll"), F.array_position("ll", F.array_max("ll")).cast("int") - 1))
+    of = [F.count_if(F.col("vote") == i).alias(f"c{i}") for i in range(k)]
     hosts = told.groupBy("domain", "host").agg(*of)
     sums = [F.sum(f"c{i}").alias(f"d{i}") for i in range(k)]
     domains = hosts.groupBy("domain").agg(*sums)
     everywhere = domains.agg(*[F.sum(f"d{i}").alias(f"a{i}") for i in range(k)]).first()  # one row
     total = [everywhere[f"a{i}"] or 0 for i in range(k)]
-    overall = [(t + 1) / (sum(total) + k) for t in total]
-    n_d = sum((F.col(f"d{i}") for i in range(k)), F.lit(0))
-    n_h = sum((F.col(f"c{i}") for i in range(k)), F.lit(0))
-    of_domain = [(F.col(f"d{i}") + WEIGHT * overall[i]) / (n_d + WEIGHT) for i in range(k)]
-    hosts = hosts.alias("h").join(domains.alias("d"), F.col("h.domain").eqNullSafe(F.col("d.domain")))
-    prior = F.array(*[F.log((F.col(f"c{i}") + WEIGHT * of_domain[i]) / (n_h + WEIGHT)) for i in range(k)])
-    priors = hosts.select(F.col("h.host").alias("of_host"), prior.alias("prior"))
-    both = told.join(priors, F.col("host").eqNullSafe(F.col("of_host")))
+    hosts = hosts.alias("h").join(domains.alias("d"), F.col("h.domain").eqNullSafe(F.col("d.domain"))).select(F.col("h.host").alias("of_host"), F.array(*[f"c{i}" for i in range(k)]).alias("c"), F.array(*[f"d{i}" for i in range(k)]).alias("d"))
+    hosts = kept(hosts)
+    # a host may hold a third of all rows: its counts go to every task, or in shares to as many
+    if hosts.count() <= BROADCAST_ROWS:
+        both = told.join(F.broadcast(hosts), F.col("host").eqNullSafe(F.col("of_host")))
+    else:
+        share = told.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int"))
+        spread = hosts.withColumn("of_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        both = share.join(spread, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("share") == F.col("of_share")))
+    # a row's own vote is left out at each level, as its text counts by itself
+    own = [F.coalesce((F.col("vote") == i).cast("int"), F.lit(0)) for i in range(k)]
+    voted = F.col("vote").isNotNull().cast("int")
+    summed = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    overall = [(total[i] - own[i] + 1) / (sum(total) - voted + k) for i in range(k)]
+    of_domain = [(F.col("d")[i] - own[i] + WEIGHT * overall[i]) / (summed("d") - voted + WEIGHT) for i in range(k)]
+    prior = [F.log((F.col("c")[i] - own[i] + WEIGHT * of_domain[i]) / (summed("c") - voted + WEIGHT)) for i in range(k)]
+    both = both.withColumn("prior", F.array(*prior))
     suffix = F.substring_index("host", ".", -1)
     said = F.lit(None).cast("string")
     for s, lang in SUFFIXES.items():

@@ -455,6 +455,79 @@ def test_language_evidence(spark):
     assert got[1] == got[2] == got[3] == got[4] == "de" and got[5] in langs
 
 
+def by_hand(rows, langs, logp):
+    """The posterior of each row in plain Python: (lang_id, probability)."""
+    from math import exp, log
+
+    second = set(language.SECOND_LEVEL)
+
+    def domain(host):
+        labels = (host or "").split(".")
+        if host is None or len(labels) < 3 or re.fullmatch("[0-9.]+", host) or ":" in host:
+            return host
+        return ".".join(labels[-3 if len(labels[-1]) == 2 and labels[-2] in second else -2 :])
+
+    k, told = len(langs), []
+    for i, text, markup, host in rows:
+        raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode())
+        ll = [0.0] * k
+        for j in range(len(raw) - 3):
+            if raw[j : j + 4] != b"    ":
+                one = language.Texts(np.frombuffer(raw[j : j + 4], np.uint8), np.array([0, 4]))
+                bucket = int(language.grams(one)[0][0])
+                for n in range(k):
+                    ll[n] += float(np.float32(logp[n, bucket])) / language.TEMPER
+        told.append((i, ll, markup, host, domain(host), ll.index(max(ll)) if max(ll) > min(ll) else None))
+    out = {}
+    for i, ll, markup, host, dom, vote in told:
+        others = [t for t in told if t[0] != i]
+        share = lambda n, of: sum(t[5] == n for t in of)
+        sums = []
+        for n, lang in enumerate(langs):
+            level = (share(n, others) + 1) / (sum(t[5] is not None for t in others) + k)
+            for of in ([t for t in others if t[4] == dom], [t for t in others if t[3] == host]):
+                level = (share(n, of) + language.WEIGHT * level) / (sum(t[5] is not None for t in of) + language.WEIGHT)
+            suffix = language.SUFFIXES.get((host or "").split(".")[-1])
+            v = ll[n] + log(level)
+            for said, wrong in ((markup, language.WRONG_MARKUP), (suffix, language.WRONG_SUFFIX)):
+                if said in langs:
+                    v += log(1 - wrong) if said == lang else log(wrong / max(k - 1, 1))
+            sums.append(v)
+        out[i] = (langs[sums.index(max(sums))], round(1 / sum(exp(v - max(sums)) for v in sums), 6))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_language_against_plain_python(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(language, "BROADCAST_ROWS", broadcast_rows)
+    train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog and the house", "en"), ("der hund und die katze und das haus", "de"), ("le chat et le chien et la maison", "fr")] * 15)], "id long, text string, lang string")
+    langs, logp = language.fit(train)
+    rng = np.random.default_rng(5)
+    said = ["the dog", "der hund und", "le chien et la", "the house and haus", "", None, "12 34", "maison"]
+    hosts = ["a.co.uk", "b.co.uk", "www.a.co.uk", "x.example.de", "y.example.de", "10.0.3.4", "10.1.3.4", None, "example.fr", "localhost", "news.site.com"]
+    rows = [(i, said[int(rng.integers(len(said)))], [None, "de", "fr", "xx", "en"][int(rng.integers(5))], hosts[int(rng.integers(len(hosts)))]) for i in range(70)]
+    rows += [(100, "the cat", None, "lone.example.org"), (101, "", None, None), (102, "der hund der hund", "en", "lone.de")]
+    got = {r.id: (r.lang_id, r.probability) for r in language.classify(spark.createDataFrame(rows, "id long, text string, markup string, host string"), langs, logp).collect()}
+    want = by_hand(rows, langs, logp)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 2e-5, (i, got[i], want[i])
+
+
+def test_domains(spark):
+    cases = {"a.b.co.uk": "b.co.uk", "b.co.uk": "b.co.uk", "www.example.com": "example.com", "example.com": "example.com", "1.2.3.4": "1.2.3.4", "localhost": "localhost", "x.com.br": "x.com.br", "y.x.com.br": "x.com.br", "a.b.de": "b.de"}
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    assert {r.h: r.d for r in df.select("h", language.domain_of(df.h).alias("d")).collect()} == cases
+
+
+def test_language_ties(spark):
+    """Languages that all evidence holds equal: the first in order."""
+    logp = np.log(np.full((3, 1 << language.BUCKET_BITS), 1e-4))
+    rows = spark.createDataFrame([(1, "same for all", None, None), (2, "", None, "h.org")], "id long, text string, markup string, host string")
+    got = {(r.id, r.lang_id, r.probability) for r in language.classify(rows, ["aa", "bb", "cc"], logp).collect()}
+    assert got == {(1, "aa", 0.333333), (2, "aa", 0.333333)}
+
+
 # toxicity
 
 
