@@ -1,36 +1,40 @@
 """PII: detected entities are replaced by keyed surrogates of the same type, gender, script and format.
 
 Entities are found by patterns: e-mail addresses, IPv4 addresses, payment cards, phone numbers,
-identity numbers, and names behind a title. Each distinct entity of the corpus gets one
-surrogate, so mentions stay coreferent across documents:
+identity numbers, and names behind a title; a name found so is found again in the same text without its title, whole or
+by its family name. Each distinct entity of the corpus gets one surrogate, so mentions stay coreferent across documents. Names
+are entities word by word, so "Mr Smith", "Dr Smith" and "John Smith" keep one family name:
 
 - digits become digits and letters become letters of the same script, in place; a mention in capitals gets capitals;
 - a card keeps its first digit, and its check digit stays as right or wrong as it was;
 - an address keeps each octet below 256; a phone keeps its country code; e-mail keeps the
   number of labels, and equal domains stay equal;
-- a title's gender and the name's script choose the list of names.
+- a title's gender and the name's script choose the names, at first from lists, then made of syllables,
+  of which there are more with each attempt.
 
-A surrogate is a keyed hash of (type, entity, attempt). Entities of one type that would share a
-surrogate, or whose surrogate is some entity of the corpus, are told apart by a check over the
-distinct entities: the first keeps it, the others go on to the next attempt. After `attempts`
-rounds what is left gets a 64-bit hash of its entity appended behind a mark.
+A surrogate is an HMAC of (type, entity, attempt) under a key that the caller must give. Entities of whatever type that would
+share a surrogate, or whose surrogate is some entity of the corpus, are told apart by a check over the
+distinct entities: the first keeps it, the others go on to the next attempt. Only numbers of a format that
+has fewer forms than the corpus has entities can be left after `attempts` rounds; they get a 64-bit hash appended
+behind a mark.
 
 Defined cases: null text stays null and has no entities; repeated rows get the same surrogates;
 an entity is compared in lower case with single spaces, one of numbers by its digits and plus sign, so
-that a number written in another way is the same entity and keeps that way of writing; empty input
-gives empty output.
+that a number written in another way is the same entity and keeps that way of writing; a given name with titles of
+both genders, or none, gets a neutral one; empty input gives empty output.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import kept
-from .spans import matches_if
+from .spans import matches, matches_if
 
-KEY = "production-key-1"
-ATTEMPTS = 6
+ATTEMPTS = 16
 
 _NAME = r"(?:\p{Lu}[\p{Ll}'’-]+)(?:\x20\p{Lu}[\p{Ll}'’-]+){0,2}"
 MALE = "Mr|Mister|Sir|Herr|Monsieur|Señor|Sr|Don|Господин|Κύριος"
@@ -68,6 +72,14 @@ FAMILY = {
 }
 
 
+#: Onsets, vowels and endings (by gender; "s" of family names) of made names.
+SYLLABLES = {
+    "latin": ("b d f g h j k l m n p r s t v w br dr gr kl pl st tr th", "a e i o u", {"m": "n rt ld us mond ric", "f": "a ia elle ine ette isa", "n": "y ie is ey en al", "s": "son man ley ton er well ford berg sen ski"}),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х", "а е и о у", {"m": "р н слав мир дан тин", "f": "на ля ра ша ина ия", "n": "ша ня ся ля ка чи", "s": "енко ук чук ец ян ко"}),
+    "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ", "α ε ι ο υ", {"m": "ς νος τος ρης λης δης", "f": "α νη ρα λια σια τα", "n": "ν ξ ψ λ ρ ι", "s": "πουλος ιδης ακης ογλου ατος ινης"}),
+}
+
+
 def _kind(s: Column) -> Column:
     out = F.lit("name")
     for kind, pattern in reversed(TYPES[:-1]):
@@ -75,9 +87,23 @@ def _kind(s: Column) -> Column:
     return out
 
 
+_TITLE = rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})\.?\x20"
+
+
 def mentions(text: Column) -> Column:
-    """array<struct<start, end, s>> of a text."""
-    return matches_if(text.rlike(GATE) & text.rlike(PATTERN), text, PATTERN)
+    """array<struct<start, end, s>> of a text, in order."""
+    found = matches_if(text.rlike(GATE) & text.rlike(PATTERN), text, PATTERN)
+
+    def echoes(all_: Column) -> Column:
+        """Names without their titles, and family names, wherever no other entity stands."""
+        bare = F.transform(F.filter(all_, lambda m: m["s"].rlike(_TITLE)), lambda m: F.regexp_replace(m["s"], _TITLE, ""))
+        listed = F.array_distinct(F.concat(F.filter(bare, lambda n: n.contains(" ")), F.filter(F.transform(bare, lambda n: F.substring_index(n, " ", -1)), lambda n: F.length(n) > 2)))
+        longest = F.transform(F.array_sort(F.transform(listed, lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n")))), lambda n: n["n"])
+        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(longest, "|"), F.lit(r")(?!\p{L})"))
+        more = F.filter(matches(text, pattern), lambda m: ~F.exists(all_, lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"])))
+        return F.when(F.size(listed) > 0, F.array_sort(F.concat(all_, more))).otherwise(all_)
+
+    return F.transform(F.array(found), lambda all_: F.when(F.exists(all_, lambda m: m["s"].rlike(_TITLE)), echoes(all_)).otherwise(all_))[0]
 
 
 #: Types whose entities are compared by their digits.
@@ -133,10 +159,18 @@ def _ip(digest: Column) -> Column:
     return F.concat_ws(".", *[(_number(digest, 1 + 4 * k, 4) % (223 if k == 0 else 256) + (1 if k == 0 else 0)).cast("string") for k in range(4)])
 
 
-def _email(s: Column, digest: Column, key: str) -> Column:
+def hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA256 of a string as hex digits."""
+    raw = hashlib.sha256(key.encode()).digest() if len(key.encode()) > 64 else key.encode()
+    inner, outer = (F.lit(bytearray(b ^ pad for b in raw.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def _email(s: Column, digest: Column, key: str, attempt: int) -> Column:
     local, domain = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1)
     host, last = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.substring_index(domain, ".", -1)
-    by_domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.lower(domain)), 256)
+    # of one domain only as many addresses as their forms allow; later attempts leave it
+    by_domain = hmac(key, F.concat_ws("|", F.lit("domain"), F.lower(domain), F.lit(str(attempt // 4))))
     return F.concat(_shape(local, digest), F.lit("@"), _shape(host, by_domain), F.lit("."), last)
 
 
@@ -145,66 +179,67 @@ def _phone(s: Column, digest: Column) -> Column:
     return F.concat(code, _shape(F.substring(s, F.length(code) + 1, F.length(s)), digest))
 
 
-def _name(s: Column, digest: Column, attempt: int) -> Column:
-    title = F.regexp_extract(s, rf"(?i)^((?:{MALE}|{FEMALE}|{NEUTRAL})\.?)\x20", 1)
-    rest = F.substring(s, F.length(title) + 2, F.length(s))
-    gender = F.when(title.rlike(rf"(?i)^(?:{FEMALE})\.?$"), "f").when(title.rlike(rf"(?i)^(?:{MALE})\.?$"), "m").otherwise("n")
-    script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+def _name(s: Column, digest: Column, attempt: int, family: Column, gender: Column) -> Column:
+    """A word of a name: of the lists at the first attempt, of two syllables and more at later ones."""
+    script = F.when(s.rlike(r"\p{IsCyrillic}"), "cyrillic").when(s.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
     def pick(names: str, at: int) -> Column:
         listed = F.split(F.lit(names), " ")
         return F.get(listed, (_number(digest, at, 6) % len(names.split())).cast("int"))
 
-    given = F.lit(None)
-    for (sc, g), names in GIVEN.items():
-        given = F.when((script == sc) & (gender == g), pick(names, 1)).otherwise(given)
-    family, middle = F.lit(None), F.lit(None)
-    for sc, names in FAMILY.items():
-        family = F.when(script == sc, pick(names, 9)).otherwise(family)
-        middle = F.when(script == sc, pick(names, 17)).otherwise(middle)
-    words = F.size(F.split(rest, " "))
-    if attempt >= 2:  # lists are short: later attempts take two family names, then a second given one
-        second = F.lit(None)
-        for sc, names in FAMILY.items():
-            second = F.when(script == sc, pick(names, 25)).otherwise(second)
-        family = F.concat_ws("-", family, second)
-        words = F.greatest(words, F.lit(3 if attempt >= 4 else 2))
-    return F.concat_ws(" ", title, given, F.when(words >= 3, middle), F.when(words >= 2, family))
-
-
-def surrogate(kind: Column, s: Column, attempt: int, key: str) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical(kind, s), F.lit(str(attempt))), 256)
+    out = F.lit(None)
+    for sc, (onsets, vowels, endings) in SYLLABLES.items():
+        for g, ending in endings.items():
+            if attempt:
+                made = F.initcap(F.concat(*[pick(x, 1 + 6 * k) for k, x in enumerate([onsets, vowels] * (2 + min(attempt // 2, 2)) + [ending])]))
+            else:
+                made = pick(FAMILY[sc] if g == "s" else GIVEN[sc, g], 1)
+            out = F.when((script == sc) & (F.when(family, "s").otherwise(gender) == g), made).otherwise(out)
+    return out
+
+
+def surrogate(kind: Column, s: Column, gender: Column, attempt: int, key: str) -> Column:
+    digest = hmac(key, F.concat_ws("|", kind, canonical(kind, s), F.lit(str(attempt))))
     return (
-        F.when(kind == "email", _email(s, digest, f"{key}|{attempt}" if attempt else key)).when(kind == "ip", _ip(digest)).when(kind == "card", _card(s, digest))
-        .when(kind == "phone", _phone(s, digest)).when(kind == "identity", _shape(s, digest)).otherwise(_name(s, digest, attempt))
+        F.when(kind == "email", _email(s, digest, key, attempt)).when(kind == "ip", _ip(digest)).when(kind == "card", _card(s, digest))
+        .when(kind == "phone", _phone(s, digest)).when(kind == "identity", _shape(s, digest)).otherwise(_name(s, digest, attempt, kind == "family", gender))
     )
 
 
-def assign(entities: DataFrame, key: str = KEY, attempts: int = ATTEMPTS) -> DataFrame:
-    """kind, entity (canonical), surrogate, attempt: one row for each distinct (kind, entity); entities has kind, entity, form."""
+def assign(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
+    """kind, entity (canonical), surrogate, attempt: one row for each distinct (kind, entity); entities has kind, entity, form, gender."""
     form = F.when(F.col("kind") == "email", F.col("entity")).otherwise(F.min("form"))
-    known = kept(entities.groupBy("kind", "entity").agg(form.alias("form")))
+    gender = F.when(F.count_if(F.col("gender") == "m") * F.count_if(F.col("gender") == "f") > 0, "n").when(F.count_if(F.col("gender") == "m") > 0, "m").when(F.count_if(F.col("gender") == "f") > 0, "f").otherwise("n")
+    known = kept(entities.groupBy("kind", "entity").agg(form.alias("form"), gender.alias("gender")))
+    real = known.select(F.col("entity").alias("to")).distinct()
     left, done = known, None
     spread = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for k in range(attempts):
         # entities are few bytes but long to work on, so they are spread by number
-        tried = kept(left.repartition(spread, "kind", "entity").withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), k, key))).withColumn("to", canonical(F.col("kind"), F.col("surrogate")))
+        tried = kept(left.repartition(spread, "kind", "entity").withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), F.col("gender"), k, key))).withColumn("to", canonical(F.col("kind"), F.col("surrogate")))
         # the least entity keeps a surrogate that several would have, unless it is taken or real
-        first = tried.groupBy("kind", "to").agg(F.min("entity").alias("entity"))
-        real = known.select("kind", F.col("entity").alias("to"))
-        free = first.join(real, ["kind", "to"], "left_anti")
+        first = tried.groupBy("to").agg(F.min(F.struct("kind", "entity")).alias("e")).select("to", "e.kind", "e.entity")
+        free = first.join(real, "to", "left_anti")
         if done is not None:
-            free = free.join(done.select("kind", canonical(F.col("kind"), F.col("surrogate")).alias("to")), ["kind", "to"], "left_anti")
-        own = tried.join(free, ["kind", "to", "entity"], "left_semi").select("kind", "entity", "surrogate", F.lit(k).alias("attempt"))
-        own = kept(own)
+            free = free.join(done.select(canonical(F.col("kind"), F.col("surrogate")).alias("to")), "to", "left_anti")
+        own = kept(tried.join(free, ["to", "kind", "entity"], "left_semi").select("kind", "entity", "surrogate", F.lit(k).alias("attempt")))
         done = own if done is None else done.unionByName(own)
         left = known.join(done, ["kind", "entity"], "left_anti")
         if left.isEmpty():
             return done
-    rest = left.withColumn("surrogate", F.concat(surrogate(F.col("kind"), F.col("form"), attempts, key), F.lit("~"), F.hex(F.xxhash64("kind", "entity")))).select("kind", "entity", "surrogate", F.lit(attempts).alias("attempt"))
+    rest = left.withColumn("surrogate", F.concat(surrogate(F.col("kind"), F.col("form"), F.col("gender"), attempts, key), F.lit("~"), F.hex(F.xxhash64("kind", "entity")))).select("kind", "entity", "surrogate", F.lit(attempts).alias("attempt"))
     return done.unionByName(rest)
 
 
+def _parts(kind: Column, s: Column) -> Column:
+    """array<struct<kind, form, gender>>: a name's words, or the entity itself."""
+    title = F.regexp_extract(s, _TITLE, 0)
+    gender = F.when(title.rlike(rf"^(?:{FEMALE})\.?\x20$"), "f").when(title.rlike(rf"^(?:{MALE})\.?\x20$"), "m").otherwise("n")
+    words = F.split(F.substring(s, F.length(title) + 1, F.length(s)), " ")
+    named = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "family").otherwise("given").alias("kind"), w.alias("form"), gender.alias("gender")))
+    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), s.alias("form"), F.lit("n").alias("gender"))))
+
+
 def _replaced(text: Column, parts: Column) -> Column:
     """parts: sorted array<struct<start, end, surrogate>>."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -212,32 +247,39 @@ def _replaced(text: Column, parts: Column) -> Column:
     return F.aggregate(parts, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, attempts: int = ATTEMPTS) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", attempts: int = ATTEMPTS) -> DataFrame:
     """doc_id, text, parts: array<struct<start, end, kind, surrogate>> in order; text with its entities replaced.
 
     Only texts that hold an entity are shuffled.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     none = "array<struct<start:int,end:int,kind:string,surrogate:string>>"
     found = rows.withColumn("found", F.when(F.col("text").isNotNull(), mentions(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,end:int,s:string>>")))
     clean = found.filter(F.size("found") == 0).select("doc_id", "text", F.array().cast(none).alias("parts"))
     with_ids = kept(found.filter(F.size("found") > 0).withColumn("text_hash", F.xxhash64("text")))
     each = with_ids.select("doc_id", "text_hash", F.explode("found").alias("m")).distinct()
-    each = each.select("doc_id", "text_hash", F.col("m.start").alias("start"), F.col("m.end").alias("end"), _kind(F.col("m.s")).alias("kind"), F.col("m.s").alias("form")).withColumn("entity", canonical(F.col("kind"), F.col("form")))
+    each = each.select("doc_id", "text_hash", F.col("m.start").alias("start"), F.col("m.end").alias("end"), _kind(F.col("m.s")).alias("of"), F.col("m.s").alias("s"))
+    each = each.select("doc_id", "text_hash", "start", "end", "of", F.when(F.col("of") == "name", F.regexp_extract("s", _TITLE, 0)).otherwise("").alias("title"), F.posexplode(_parts(F.col("of"), F.col("s"))).alias("at", "p"))
+    each = each.select("doc_id", "text_hash", "start", "end", "of", "title", "at", "p.*").withColumn("entity", canonical(F.col("kind"), F.col("form")))
     each = kept(each)
-    mapped = assign(each.select("kind", "entity", "form"), key, attempts)
-    shouted = (F.col("form") == F.upper("form")) & F.col("form").rlike("[A-Z]")
+    mapped = assign(each.select("kind", "entity", "form", "gender"), key, attempts)
+    shouted = (F.col("form") == F.upper("form")) & F.col("form").rlike(r"\p{Lu}")
     in_form = F.when(F.col("kind").isin(*NUMBERS), filled(F.col("form"), F.regexp_replace("surrogate", "[^0-9]", ""))).otherwise(F.col("surrogate"))
-    shown = F.when(shouted, F.upper("surrogate")).otherwise(in_form).alias("surrogate")
-    parts = each.join(mapped, ["kind", "entity"]).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", shown))).alias("parts"))
+    word = F.when(F.col("surrogate").contains("~"), F.col("surrogate")).when(shouted, F.upper("surrogate")).otherwise(in_form).alias("word")
+    words = F.array_sort(F.collect_list(F.struct("at", word)))  # the words of one name
+    place = ["doc_id", "text_hash", "start", "end", "of", "title"]
+    whole = each.join(mapped, ["kind", "entity"]).groupBy(*place).agg(F.concat("title", F.array_join(F.transform(words, lambda w: w["word"]), " ")).alias("surrogate"))
+    parts = whole.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("of").alias("kind"), "surrogate"))).alias("parts"))
     a, b = with_ids.alias("a"), parts.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")))
     changed = joined.select("a.doc_id", _replaced(F.col("a.text"), F.col("b.parts")).alias("text"), F.col("b.parts").cast(none).alias("parts"))
     return clean.unionByName(changed)
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, a count for each type, surrogates (kind:start:end:surrogate of the source's places), text_sha256 of the new text."""
+def report(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, n_entities, a count for each type, surrogates (kind:start:end:surrogate of the source's places), text_sha256 of the new text."""
     of = lambda kind: F.size(F.filter("parts", lambda c: c["kind"] == kind)).cast("long").alias(f"n_{kind}")
     shown = F.array_join(F.transform("parts", lambda c: F.concat_ws(":", c["kind"], c["start"], c["end"], c["surrogate"])), "\n")
-    return pseudonymise(docs).select("doc_id", *[of(kind) for kind, _ in TYPES], shown.alias("surrogates"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return pseudonymise(docs, key).select("doc_id", F.size("parts").cast("long").alias("n_entities"), *[of(kind) for kind, _ in TYPES], shown.alias("surrogates"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -21,7 +21,8 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    """The key is that of the session, or one for these public tables only."""
+    return pii.report(table(spark, sf_dir, "documents"), spark.conf.get("spark.rasterloom.pii.key", None) or "key of the synthetic tables")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

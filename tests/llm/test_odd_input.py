@@ -23,7 +23,7 @@ def _order(d, tmp_path):
 
 
 CASES = {
-    "licenses": lambda d, la, be, tmp: license_scan.report(d), "pii": lambda d, la, be, tmp: pii.report(d), "simhash": lambda d, la, be, tmp: simhash.near_duplicates(d), "quality": lambda d, la, be, tmp: quality.assess(d, la),
+    "licenses": lambda d, la, be, tmp: license_scan.report(d), "pii": lambda d, la, be, tmp: pii.report(d, "k"), "simhash": lambda d, la, be, tmp: simhash.near_duplicates(d), "quality": lambda d, la, be, tmp: quality.assess(d, la),
     "bpe": lambda d, la, be, tmp: bpe.digests(d, public_tokenizers.path("word_bpe_49k.json")), "secrets": lambda d, la, be, tmp: secret_scan.report(d), "decontaminate": lambda d, la, be, tmp: decontaminate.assess(d, be),
     "toxicity": lambda d, la, be, tmp: toxicity.assess(d, la),
 }

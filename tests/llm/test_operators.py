@@ -394,7 +394,7 @@ def test_pii(spark):
         (1, "Mail anna.b7@mail.example.org, call +1 (415) 555-2671, card 4111 1111 1111 1111, host 10.20.30.40."), (2, "ANNA.B7@mail.example.org again; id 123-45-6789; x@mail.example.org"),
         (3, "Mrs. Jane Smith met Mr John Smith and Herr Max Mustermann; Госпожа Анна Каренина"), (4, "nothing 12 here"), (5, None),
     ]
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     parts = {i: [(p.kind, rows[i - 1][1][p.start : p.end], p.surrogate) for p in got[i].parts] for i in got}
     assert [k for k, _, _ in parts[1]] == ["email", "phone", "card", "ip"]
     assert [k for k, _, _ in parts[2]] == ["email", "identity", "email"] and [k for k, _, _ in parts[3]] == ["name"] * 4
@@ -416,7 +416,7 @@ def test_pii_written_otherwise(spark):
     """A number in another form is the same entity, and keeps its form."""
     forms = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "+1 (415) 555-2671", "+1-415-555-2671", "123-45-6789", "123456789"]
     df = spark.createDataFrame([(i, f"see {f} now") for i, f in enumerate(forms)], "doc_id long, text string")
-    got = {r.doc_id: [p.surrogate for p in r.parts] for r in pii.pseudonymise(df).collect()}
+    got = {r.doc_id: [p.surrogate for p in r.parts] for r in pii.pseudonymise(df, "k").collect()}
     digits = [re.sub("[^0-9]", "", got[i][0]) for i in range(len(forms))]
     assert len({*digits[:3]}) == len({*digits[3:5]}) == len({*digits[5:]}) == 1 and len({*digits}) == 3
     assert all(re.sub("[0-9]", "9", got[i][0]) == re.sub("[0-9]", "9", f) for i, f in enumerate(forms))
@@ -427,10 +427,71 @@ def test_pii_distinct(spark):
     rng = np.random.default_rng(1)
     names = sorted({"".join(rng.choice(list("bdfglmnprst"), 1)[0].upper() + "aeiou"[int(rng.integers(5))] + "nlrst"[int(rng.integers(5))] + "aeo"[int(rng.integers(3))] for _ in range(1)) + f"{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}" for k in range(1000)})
     df = spark.createDataFrame([(i, f"Ms. {n} Xenon spoke") for i, n in enumerate(names)], "doc_id long, text string")
-    got = [p.surrogate for r in pii.pseudonymise(df).collect() for p in r.parts]
+    got = [p.surrogate for r in pii.pseudonymise(df, "k").collect() for p in r.parts]
     assert len(got) == len(names) == len({s.lower() for s in got})
 
 
+def test_pii_names_corefer(spark):
+    """One family name however it is titled, in the text also without a title; genders and scripts stay."""
+    rows = [(1, "Mr John Smith met Dr Smith. Later John Smith left, and Smith wrote to Smithson."), (2, "Mrs Smith knows Mr. Smith and Ms Mary Smith; MR SMITH no"), (3, "Κύριος Νίκος Παππάς και Παππάς"), (4, "Mr John Doe")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    parts = {i: {rows[i - 1][1][p.start : p.end]: p.surrogate for p in got[i].parts} for i in got}
+    family = parts[1]["Smith"]
+    assert parts[1]["Mr John Smith"].split()[2] == parts[1]["Dr Smith"].split()[1] == parts[1]["John Smith"].split()[1] == parts[2]["Mrs Smith"].split()[1] == parts[2]["Ms Mary Smith"].split()[2] == family
+    assert parts[1]["Mr John Smith"].split()[1] == parts[1]["John Smith"].split()[0] == parts[4]["Mr John Doe"].split()[1] and parts[4]["Mr John Doe"].split()[2] != family
+    assert "Smithson" in got[1].text and "Smith " not in got[1].text
+    men = pii.GIVEN["latin", "m"].split()
+    assert parts[1]["John Smith"].split()[0] in men and parts[2]["Ms Mary Smith"].split()[1] in pii.GIVEN["latin", "f"].split()
+    assert parts[3]["Παππάς"] == parts[3]["Κύριος Νίκος Παππάς"].split()[2] and re.fullmatch("[Α-Ωα-ωά-ώ]+", parts[3]["Παππάς"])
+
+
+def test_pii_key(spark):
+    import hmac as plain
+
+    from pyspark.sql import functions as F
+
+    for key in ("k", "long " * 30):
+        got = spark.createDataFrame([("é message",)], "s string").select(pii.hmac(key, F.col("s"))).first()[0]
+        assert got == plain.new(key.encode(), "é message".encode(), "sha256").hexdigest()
+    with pytest.raises(ValueError):
+        pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "")
+
+
+def test_pii_crowded_format(spark):
+    """More addresses at one domain than its forms allow, and types that could give the same surrogate: all distinct."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{c}@xy.org" for c in letters] + [f"{100 + k}-{10 + k % 80}-{1000 + k}" for k in range(300)] + [f"{555_000_000 + k}" for k in range(300)]
+    df = spark.createDataFrame([(i, f"see {t} now") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.parts for r in pii.pseudonymise(df, "k").collect()}
+    assert all(len(got[i]) == 1 for i in range(len(texts)))
+    to = [re.sub("[^0-9a-z@.]", "", got[i][0].surrogate.lower()) for i in range(len(texts))]
+    assert len(set(to)) == len(to) and not set(to) & {re.sub("[^0-9a-z@.]", "", t) for t in texts} and not any("~" in t for t in to)
+
+
+def test_pii_of_whole_documents(spark, docs, texts):
+    """Against plain patterns: all that they find is replaced, equal by equal and distinct by distinct, in its format; the rest stays."""
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}", "card": r"(?<!\d)\d{16}(?!\d)", "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])"}
+    got, n, forward, back = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}, 0, {}, {}
+    for i, t in texts.items():
+        out, at = "", 0
+        for p in got[i].parts:
+            out += (t or "")[at : p.start] + p.surrogate
+            at = p.end
+            key = (p.kind, t[p.start : p.end].lower())
+            assert forward.setdefault(key, p.surrogate.lower()) == p.surrogate.lower()
+            if p.kind != "name":
+                assert back.setdefault(p.surrogate.lower(), key) == key
+                assert re.sub(r"\d", "9", re.sub("[a-z]", "a", p.surrogate.lower())) == re.sub(r"\d", "9", re.sub("[a-z]", "a", key[1])) or p.kind in ("ip", "email")
+        assert t is None and got[i].text is None or out + (t or "")[at:] == got[i].text
+        held = {(p.kind, t[p.start : p.end]) for p in got[i].parts}
+        for kind, pattern in plain.items():
+            for m in re.findall(pattern, t or ""):
+                if kind != "ip" or all(int(x) < 256 for x in m.split(".")):
+                    assert (kind, m) in held, (i, kind, m)
+                    n += 1
+    assert n > 5
+
+
 # language
 
 
