@@ -14,13 +14,15 @@ Text is pre-split as the tokenizer file says (normalise, split, bytes as letters
 mark on each word's last letter); special tokens in a text stay whole.
 
 Defined cases: null text reads as empty; an empty text has no ids and decodes to an empty
-string; repeated rows are encoded each; empty input gives empty output.
+string; repeated rows are encoded each; empty input gives empty output; a tokenizer file that asks for
+what isn't done here is refused.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
@@ -175,11 +177,35 @@ class Automaton:
         return out
 
 
+def supported(spec: dict) -> None:
+    """Raises ValueError if a tokenizer file asks for what this codec doesn't do."""
+
+    def need(ok: bool, what: str) -> None:
+        if not ok:
+            raise ValueError(f"the tokenizer file has {what}, which isn't supported")
+
+    model, normal, pre = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    need(model.get("type", "BPE") == "BPE", "another model than BPE")
+    for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"):
+        need(not model.get(k), k)
+    need([n["type"] for n in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"], "another normaliser than NFC, white space and lower case")
+    white = next(n for n in normal["normalizers"] if n["type"] == "Replace")
+    need(white["pattern"] == {"Regex": r"\s+"} and white["content"] == " ", "another replacement than that of white space")
+    parts = pre.get("pretokenizers", [])
+    need([p["type"] for p in parts] == ["Split", "ByteLevel"], "another splitter than a pattern and bytes")
+    need(parts[0]["behavior"] == "Removed" and parts[0]["invert"] and "Regex" in parts[0]["pattern"], "a splitter that keeps what lies between matches")
+    need(not parts[1].get("add_prefix_space") and not parts[1].get("use_regex"), "a second splitter")
+    need(not spec.get("decoder") and not spec.get("post_processor"), "a decoder or a post-processor")
+    for t in spec.get("added_tokens", []):
+        need(not any(t.get(k) for k in ("normalized", "lstrip", "rstrip", "single_word")) and bool(t["content"]), f"the added token {t['content']!r} with flags")
+
+
 class Codec:
     """What a tokenizer file describes: normaliser, splitter, automaton, labels."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        supported(spec)
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         suffix = model.get("end_of_word_suffix") or ""
@@ -189,6 +215,8 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.labels |= {i: s for s, i in self.special.items()}
         self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        #: What all special tokens begin with.
+        self.begin = os.path.commonprefix([*self.special])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", "[^" + _SPACE))
         self.words: dict[str, tuple[int, str, str]] = {}
@@ -207,7 +235,7 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for part in self.around.split(text) if self.around and "<|" in text else [text]:
+        for part in self.around.split(text) if self.around and self.begin in text else [text]:
             if part in self.special:
                 out.append(self.special[part])
             else:
@@ -222,7 +250,7 @@ class Codec:
     def both(self, text: str) -> tuple[int, str, str]:
         """Number of ids, decimal ids joined by a space, decoded text: a word's are kept for its next places."""
         words, n, ids, labels = self.words, 0, [], []
-        for part in self.around.split(text) if self.around and "<|" in text else [text]:
+        for part in self.around.split(text) if self.around and self.begin in text else [text]:
             if part in self.special:
                 found = [self._of([self.special[part]])]
             else:

@@ -96,7 +96,7 @@ def shard_name(k: int) -> str:
 
 
 def materialise(docs: DataFrame, ranks_path: str, pattern: str, out: str, key: int = KEY, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, pad: int = 50_256, stable: bool = True, max_partitions: int = MAX_PARTITIONS) -> DataFrame:
-    """Writes the shards under `out`, a folder that all executors share, when the result is computed.
+    """Writes the shards under `out`, an empty folder that all executors share, when the result is computed; again computed, it keeps those there.
 
     Returns doc_id, seq_no, n_tokens, slot, shard, byte_offset, crc (of the sequence's bytes, padding included).
     stable: docs is a scan of files, whose partitions are the same each time.
@@ -165,10 +165,20 @@ def materialise(docs: DataFrame, ranks_path: str, pattern: str, out: str, key: i
             block[s, : len(ids)] = ids
             sizes.append(len(ids))
             crcs.append(zlib.crc32(block[s]))
-        part = f"{path}/_{TaskContext.get().taskAttemptId()}-{shard_name(shard)}"
-        with where.open_output_stream(part) as f:
-            f.write(block)
-        where.move(part, f"{path}/{shard_name(shard)}")
+        part, final = f"{path}/_{TaskContext.get().taskAttemptId()}-{shard_name(shard)}", f"{path}/{shard_name(shard)}"
+        try:
+            with where.open_output_stream(part) as f:
+                f.write(block)
+            # every attempt writes the same bytes, so the file of another one is as good
+            if where.get_file_info(final).type == fs.FileType.NotFound:
+                try:
+                    where.move(part, final)
+                except OSError:
+                    if where.get_file_info(final).type == fs.FileType.NotFound:
+                        raise
+        finally:
+            if where.get_file_info(part).type != fs.FileType.NotFound:
+                where.delete_file(part)
         columns = [rows["doc_id"], rows["seq_no"], pa.array(sizes, pa.int32()), rows["slot"], rows["shard"], pa.array(slots.astype(np.int64) * seq_len * 2), pa.array(crcs, pa.int64())]
         yield from pa.table(columns, names=["doc_id", "seq_no", "n_tokens", "slot", "shard", "byte_offset", "crc"]).combine_chunks().to_batches()
 
@@ -196,6 +206,8 @@ def materialise(docs: DataFrame, ranks_path: str, pattern: str, out: str, key: i
     out = out if urlparse(out).scheme else f"file://{Path(out).absolute()}"
     where, path = fs.FileSystem.from_uri(out)
     where.create_dir(path)
+    if where.get_file_info(fs.FileSelector(path)):
+        raise FileExistsError(f"{out} isn't empty")
     sequences = rows.mapInArrow(encode, "doc_id long, seq_no int, slot long, shard int, payload binary")
     each = -(-n_shards // min(n_shards, max_partitions))
     dealt = sequences.repartitionById(-(-n_shards // each), F.expr(f"cast(shard div {each} AS int)"))

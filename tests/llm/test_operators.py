@@ -492,6 +492,23 @@ def test_pii_of_whole_documents(spark, docs, texts):
     assert n > 5
 
 
+def test_bpe_refuses_what_it_cannot_do():
+    import json
+
+    import public_tokenizers
+
+    text = open(public_tokenizers.path("word_bpe_49k.json")).read()
+    bpe.Codec(text)
+    for change in (
+        lambda d: d["model"].update(dropout=0.1), lambda d: d["model"].update(unk_token="x"), lambda d: d["added_tokens"][0].update(lstrip=True), lambda d: d["added_tokens"][0].update(single_word=True),
+        lambda d: d.update(normalizer=None), lambda d: d.update(decoder={"type": "ByteLevel"}), lambda d: d.update(pre_tokenizer={"type": "ByteLevel"}), lambda d: d["normalizer"]["normalizers"].pop(),
+    ):
+        d = json.loads(text)
+        change(d)
+        with pytest.raises(ValueError):
+            bpe.Codec(json.dumps(d))
+
+
 # language
 
 
