@@ -1,4 +1,4 @@
-"""Tables of the video format, as published in RFC 6386."""
+"""Tables of the video format, as published in RFC 6386, and an encoder's own choices."""
 
 from __future__ import annotations
 
@@ -29,9 +29,9 @@ SIX_TAP = ((0, 0, 128, 0, 0, 0), (0, -6, 123, 12, -1, 0), (2, -11, 108, 36, -8,
 TWO_TAP = tuple((128 - 16 * k, 16 * k) for k in range(8))
 # Raster place of each coefficient in scan order.
 ZIGZAG = (0, 1, 4, 8, 5, 2, 3, 6, 9, 12, 13, 10, 7, 11, 14, 15)
-# How much the encoder sharpens each luma coefficient.
+# Fixed values, an encoder's choice that the format leaves open: how much each luma coefficient is sharpened.
 SHARPENING = (0, 30, 60, 90, 30, 60, 90, 90, 60, 90, 90, 90, 90, 90, 90, 90)
-# Rounding of DC and AC by kind (luma, second-order luma, chroma), of 256.
+# Fixed values, likewise an encoder's: rounding of DC and AC by kind (luma, second-order luma, chroma), of 256.
 ROUNDING = ((96, 110), (96, 108), (110, 115))
-# Cost of the four whole-block modes, in 1/256 bit.
+# Fixed values, likewise: cost of the four whole-block modes, in 1/256 bit.
 LUMA_MODE_COST, CHROMA_MODE_COST = (663, 919, 872, 919), (302, 984, 439, 642)

@@ -3,15 +3,17 @@
 A frame is a row-major grid of 16x16 macroblocks. Each is predicted from the pixels above and to the
 left, and adds coded differences; a loop filter then smooths block edges of the whole frame.
 
-Default probabilities are a parameter: `Tables()` builds flat ones by rule, which this module's encoder
-and decoder share. Streams of other encoders need the published ones (RFC 6386 sections 11.5, 13.4 and
-13.5), to be passed as arrays.
+Default probabilities are a parameter: `Tables()` builds flat ones by rule, for streams that stay within this
+module. Files need the published ones (RFC 6386 sections 11.5, 13.4 and 13.5): `Tables.read(path)` takes them from a text
+that lists them as the RFC does, the RFC itself among them; `sources.media` refuses lossy pictures without them.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 
@@ -21,11 +23,11 @@ from .boolcoder import BoolReader, BoolWriter
 
 DC, TM, VE, HE, RD, VR, LD, VL, HD, HU = range(10)
 SMALL = ("dc", "tm", "ve", "he", "rd", "vr", "ld", "vl", "hd", "hu")
-#: Band of each coefficient in scan order; one more stands after the last.
+# Band of each coefficient in scan order; one more stands after the last.
 BANDS = (0, 1, 2, 3, 6, 4, 5, 6, 6, 6, 6, 6, 6, 6, 6, 7, 0)
 # Probabilities of the extra bits of each class of large values.
 CLASS_BITS = ((173, 148, 140), (176, 155, 140, 135), (180, 157, 141, 134, 130), (254, 254, 243, 230, 196, 177, 153, 140, 133, 130, 129))
-#: Probabilities of a key frame's whole-block and chroma modes, and of the choice between block sizes.
+# Probabilities of a key frame's whole-block and chroma modes, and of the choice between block sizes.
 SMALL_BLOCKS, LUMA_MODES, CHROMA_MODES = 145, (156, 163, 128), (142, 114, 183)
 MOST_SIDE, MOST_AREA, MOST_FIRST = (1 << 14) - 1, 1 << 28, 1 << 19
 FIRST_LUMA, SECOND, CHROMA, WHOLE_LUMA = 0, 1, 2, 3
@@ -39,6 +41,29 @@ class Tables:
     updates: np.ndarray = field(default_factory=lambda: np.full((4, 8, 3, 11), 250))
     small_modes: np.ndarray = field(default_factory=lambda: np.full((10, 10, 9), 128))
 
+    @classmethod
+    def of_text(cls, text: str) -> Tables:
+        """Tables from C declarations named as in the RFC, wherever they stand in a text; page breaks and comments don't count."""
+        text = re.sub(r"(?m)^.*\[Page \d+\]\s*$|^RFC 6386\b.*$", "", text)
+        text = re.sub(r"(?s)/\*.*?\*/|//[^\n]*", "", text)
+
+        def listed(name: str, shape: tuple[int, ...]) -> np.ndarray:
+            for m in re.finditer(rf"\b{name}\b[^;={{}}]*=\s*(\{{[^;]*\}})\s*;", text):
+                values = [int(v) for v in re.findall(r"\d+", m[1])]
+                if len(values) == int(np.prod(shape)) and all(0 <= v < 256 for v in values):
+                    return np.array(values).reshape(shape)
+            raise ValueError(f"no table {name} of {shape}")
+
+        # the RFC's order of 4x4 modes, in this module's names
+        order = [DC, TM, VE, HE, LD, RD, VR, VL, HD, HU]
+        modes = np.zeros((10, 10, 9), np.int64)
+        modes[np.ix_(order, order)] = listed("kf_bmode_probs?", (10, 10, 9))
+        return cls(listed("default_coeff_probs", (4, 8, 3, 11)), listed("coeff_update_probs", (4, 8, 3, 11)), modes)
+
+    @classmethod
+    def read(cls, path: str) -> Tables:
+        return cls.of_text(Path(path).read_text(errors="replace"))
+
 
 def clamp_index(v: int, most: int = 127) -> int:
     return min(max(v, 0), most)
@@ -177,6 +202,14 @@ def small_block(mode: int, line: np.ndarray) -> np.ndarray:
     return np.array([[one(p) for p in row] for row in _SMALL_PLACES[mode]], np.int64)
 
 
+def best_small(block: np.ndarray, line: np.ndarray, weight: int) -> tuple[int, int, np.ndarray]:
+    """The 4x4 mode of least squared error and price (a mean is cheaper than the others), the first of equal ones; its score and guess."""
+    guesses = [small_block(m, line) for m in range(10)]
+    scores = [256 * int(((block - g) ** 2).sum()) + weight * (250 if m == DC else 700) for m, g in enumerate(guesses)]
+    m = int(np.argmin(scores))
+    return m, scores[m], guesses[m]
+
+
 # coefficients
 
 
@@ -741,12 +774,10 @@ class Encoder:
         for k in range(16):
             y, x = 4 * (k // 4), 4 * (k % 4)
             block, line = source[y : y + 4, x : x + 4], frame.line(mx, my, k)
-            guesses = [small_block(m, line) for m in range(10)]
-            scores = [256 * int(((block - g) ** 2).sum()) + self.weight * (250 if m == DC else 700) for m, g in enumerate(guesses)]
-            m = int(np.argmin(scores))
-            lv = self._levels((block - guesses[m])[None], WHOLE_LUMA, 0)[0]
+            m, _, guess = best_small(block, line, self.weight)
+            lv = self._levels((block - guess)[None], WHOLE_LUMA, 0)[0]
             back = inverse_dct((lv[raster] * scale).reshape(1, 4, 4))[0]
-            rebuilt = np.clip(guesses[m] + back, 0, 255)
+            rebuilt = np.clip(guess + back, 0, 255)
             p[y0 + y : y0 + y + 4, x0 + x : x0 + x + 4] = rebuilt
             error += int(((block - rebuilt) ** 2).sum())
             modes.append(m)

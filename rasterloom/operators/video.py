@@ -464,6 +464,8 @@ class VideoEncoder(lossy.Encoder):
         #: Whole pixels that the vector search goes from the best candidate at once.
         self.reach = reach
         self.last: list[np.ndarray] | None = None
+        #: Macroblocks of the last frame that predict from the one before.
+        self.moved = 0
 
     def encode_key(self, y: np.ndarray, u: np.ndarray, v: np.ndarray):
         data, planes = self.encode(y, u, v)
@@ -553,7 +555,7 @@ class VideoEncoder(lossy.Encoder):
     def _written(self, frame: Frame, tokens, decided, level: int, width: int, height: int):
         n = len(decided)
         skip = max(1, (n - sum(d[0] for d in decided)) * 255 // n)
-        inter = sum(bool(d[1].reference) for d in decided)
+        inter = self.moved = sum(bool(d[1].reference) for d in decided)
         odds = max(1, min(255, 255 * (n - inter) // n))
         fresh = self._probabilities(tokens, self.current)
         w = BoolWriter()

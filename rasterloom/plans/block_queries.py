@@ -260,7 +260,17 @@ def i01(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("vec_id", F.array_min(scored).alias("best")).select("vec_id", "best.mode", "best.score")
 
 
-@register("h06_block_driver")
+def _driver_sql() -> str:
+    """Forward transform, quantisation and inverse transform, one after the other, from their own queries' SQL."""
+    stages = lambda sql, name: sql.split(" SELECT vec_id, i, CAST(o[i + 1]")[0].replace(", one AS", f", one_{name} AS").replace(", two AS", f", two_{name} AS").replace("FROM one)", f"FROM one_{name})")
+    levels = _Q_SQL.replace("SELECT vec_id, n, v[j + 1] * 5 AS c, q,", "SELECT vec_id, n, j, o[j + 1] AS c, q,").replace("FROM d, k)", "FROM two_f, k)").strip()
+    back = stages(_idct_sql(), "b").replace("(SELECT vec_id, [x * 90 FOR x IN v] AS v FROM d)", "dq")
+    return f"""{stages(_fdct_sql(), 'f')}{levels}, g AS (SELECT vec_id, n, j, q, CASE WHEN c < 0 THEN -lv ELSE lv END AS lv FROM f), dq AS (SELECT vec_id, list(lv * q ORDER BY j) AS v FROM g GROUP BY 1){back},
+u AS (SELECT vec_id, max(CASE WHEN lv <> 0 THEN n + 1 ELSE 0 END) AS used, sum(abs(lv)) AS level_sum FROM g GROUP BY 1)
+SELECT vec_id, CAST(used AS BIGINT) AS used, CAST(level_sum AS BIGINT) AS level_sum, CAST(list_sum([pow(d.v[i] - o[i], 2) FOR i IN range(1, 17)]) AS BIGINT) AS sse FROM two_b JOIN d USING (vec_id) JOIN u USING (vec_id)"""
+
+
+@register("h06_block_driver", with_(TILES, _DIFF)[:-1] + _driver_sql())
 def h06(spark: SparkSession, sf: str) -> DataFrame:
     """A luma block through transform, quantisation, and back: levels, and the squared error of what is rebuilt."""
     df = differences(spark, sf).select("vec_id", "d", bl.quantize(bl.forward_dct(F.col("d")), 23, 31, 0).alias("lv"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables as tb
 from ..operators import alpha, colour
 from ..sources import container as box
 from ..sources import exif, media
@@ -20,7 +21,7 @@ from .registry import register
 AR, TL = with_(TILES, PLACED, PIXELS, ARGB), with_(TILES)
 
 
-def _files(spark: SparkSession, sf: str, options: media.EncodeOptions = media.EncodeOptions()) -> DataFrame:
+def _files(spark: SparkSession, sf: str, options: media.EncodeOptions = media.EncodeOptions(exact=True)) -> DataFrame:
     """Each tile as a lossless file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +57,7 @@ def k08(spark: SparkSession, sf: str) -> DataFrame:
 @register("k08_effort_round_trip", AR + "SELECT vec_id, CAST(sum(v * (p + 1)) AS BIGINT) AS checksum FROM argb GROUP BY vec_id")
 def k08_effort(spark: SparkSession, sf: str) -> DataFrame:
     """The same at the highest effort, with cross colour."""
-    px = _unpacked(media.pixels(_files(spark, sf, media.EncodeOptions(method=6))), "vec_id")
+    px = _unpacked(media.pixels(_files(spark, sf, media.EncodeOptions(method=6, exact=True))), "vec_id")
     return px.groupBy("vec_id").agg(F.sum(F.col("argb") * (F.col("y") * 8 + F.col("x") + 1)).alias("checksum"))
 
 
@@ -121,7 +122,7 @@ def _clips(spark: SparkSession, sf: str) -> DataFrame:
             made = []
             for listed in b.column(1).to_pylist():
                 images = [colour.argb_to_rgba(np.array(f["argb"], np.uint32), 8) for f in listed]
-                made.append(media.encode_animation(images, [40 + f["vec_id"] % 7 for f in listed], media.EncodeOptions(loop_count=3)))
+                made.append(media.encode_animation(images, [40 + f["vec_id"] % 7 for f in listed], media.EncodeOptions(loop_count=3, exact=True)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["file_id", "content"])
 
     t = grids.argb_tiles(spark, sf).withColumn("file_id", F.expr("vec_id div 10"))
@@ -152,36 +153,82 @@ def k10(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pictures(spark: SparkSession, sf: str) -> DataFrame:
-    """Four tiles beside each other, two by two, as the luma of a 16x16 picture; chroma from the first and last."""
+    """Four tiles beside each other, two by two, as the luma of a 16x16 picture; chroma from the first and last. The last of fewer tiles is repeated."""
     t = grids.tiles(spark, sf).withColumn("picture_id", F.expr("vec_id div 4"))
-    return t.groupBy("picture_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "px"))).alias("tiles")).filter(F.size("tiles") == 4)  # four tiles at most
+    return t.groupBy("picture_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "px"))).alias("tiles"))  # four tiles at most
 
 
 def _planes(tiles: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     p = [np.array(t["px"], np.uint8).reshape(8, 8) for t in tiles]
+    p += [p[-1]] * (4 - len(p))
     return np.block([[p[0], p[1]], [p[2], p[3]]]), p[0], p[3]
 
 
-_PICTURES = "pc AS (SELECT vec_id // 4 AS picture_id FROM t GROUP BY 1 HAVING count(*) = 4)"
+_PICTURES = "pc AS (SELECT vec_id // 4 AS picture_id FROM t GROUP BY 1)"
 
 
-@register("k11_lossy_decode", with_(TILES, _PICTURES) + "SELECT picture_id, quality, true AS exact, CAST(16 AS BIGINT) AS width, CAST(16 AS BIGINT) AS height FROM pc, (SELECT unnest([20, 75, 95]) AS quality)")
+#: Quantizer index of each quality that k11 tries.
+_QUALITIES = {20: None, 75: None, 95: None}
+
+
+def _flat_sql() -> str:
+    """What a decoder rebuilds of a 16x16 picture of one colour: guesses of 127, 128 and 129, one coefficient a plane, rounded twice."""
+    from ..operators import lossy
+
+    kinds = []
+    for quality in _QUALITIES:
+        base = lossy.quality_index(quality)
+        steps = lossy.steps(base)
+        kinds.append(f"({quality}, {steps[lossy.FIRST_LUMA][1] ** 2 >> 7}, {steps[lossy.SECOND][0]}, {steps[lossy.CHROMA][0]})")
+    # modes in order: mean, gradient, above, left
+    guess = "[128, 129, 127, 129]"
+    level = lambda r, q, round_: f"CASE WHEN abs({r}) <= (131071 - {round_ * 512}) // (131072 // {q}) THEN 0 ELSE sign({r}) * least(2047, (abs({r}) * (131072 // {q}) + {round_ * 512}) >> 17) END"
+    clip = lambda e: f"CAST(least(255, greatest(0, {e})) AS BIGINT)"
+    return f"""k(quality, weight, qy, qc) AS (VALUES {', '.join(kinds)}), f AS (SELECT vec_id, quality, weight, qy, qc, bs[1] AS y, bs[2] AS u, bs[3] AS v FROM t, k),
+g AS (SELECT *, list_min([(256 * 256 * pow(y - {guess}[m], 2) + weight * {list(tb.LUMA_MODE_COST)}[m]) * 8 + m FOR m IN range(1, 5)]) AS ym, list_min([(256 * 64 * (pow(u - {guess}[m], 2) + pow(v - {guess}[m], 2)) + weight * {list(tb.CHROMA_MODE_COST)}[m]) * 8 + m FOR m IN range(1, 5)]) AS cm FROM f),
+h AS (SELECT *, {guess}[CAST(ym AS BIGINT) % 8] AS yp, {guess}[CAST(cm AS BIGINT) % 8] AS cp FROM g),
+l AS (SELECT *, CAST({level('(64 * (y - yp))', 'qy', 96)} AS BIGINT) * qy AS yl, CAST({level('(8 * (u - cp))', 'qc', 110)} AS BIGINT) * qc AS ul, CAST({level('(8 * (v - cp))', 'qc', 110)} AS BIGINT) * qc AS vl FROM h)
+SELECT vec_id, CAST(quality AS BIGINT) AS quality, {clip('yp + ((((yl + 3) >> 3) + 4) >> 3)')} AS y_low, {clip('yp + ((((yl + 3) >> 3) + 4) >> 3)')} AS y_high, {clip('cp + ((ul + 4) >> 3)')} AS u, {clip('cp + ((vl + 4) >> 3)')} AS v FROM l"""
+
+
+@register("k11_lossy_decode", with_(TILES)[:-1] + ", " + _flat_sql())
 def k11(spark: SparkSession, sf: str) -> DataFrame:
-    """Key frames at three qualities: what the decoder gives is what the encoder rebuilt, and is near the source."""
+    """Pictures of one colour as key frames at three qualities: what the decoder gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..operators import lossy
+
+        for b in batches:
+            out = []
+            for i, px in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                planes = [np.full((n, n), v, np.uint8) for n, v in zip((16, 8, 8), px)]
+                for quality in _QUALITIES:
+                    y, u, v = lossy.Decoder().decode(lossy.Encoder(quality, small_blocks=False).encode(*planes)[0])
+                    out.append((i, quality, int(y.min()), int(y.max()), int(u[4, 4]), int(v[4, 4])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["vec_id", "quality", "y_low", "y_high", "u", "v"])
+
+    return grids.tiles(spark, sf).select("vec_id", "px").mapInArrow(run, "vec_id long, quality long, y_low long, y_high long, u long, v long")
+
+
+@register("k11_lossy_rebuild")
+def k11_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """Key frames of four tiles at three qualities: whether the decoder gives what the encoder rebuilt, and the squared error to the source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..operators import lossy
 
         for b in batches:
+            out = []
             for i, tiles in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 planes = _planes(tiles)
-                for quality in (20, 75, 95):
+                for quality in _QUALITIES:
                     data, rebuilt = lossy.Encoder(quality).encode(*planes)
                     got = lossy.Decoder().decode(data)
-                    exact = all((a == c).all() for a, c in zip(got, rebuilt))
-                    yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in ((i, pa.int64()), (quality, pa.int32()), (exact, pa.bool_()), (got[0].shape[1], pa.int64()), (got[0].shape[0], pa.int64()))], names=["picture_id", "quality", "exact", "width", "height"])
+                    out.append((i, quality, all((a == c).all() for a, c in zip(got, rebuilt)), sum(int(((a.astype(np.int64) - c) ** 2).sum()) for a, c in zip(got, planes)), len(data)))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["picture_id", "quality", "exact", "sse", "size"])
 
-    return _pictures(spark, sf).mapInArrow(run, "picture_id long, quality int, exact boolean, width long, height long")
+    return _pictures(spark, sf).mapInArrow(run, "picture_id long, quality long, exact boolean, sse long, size long")
 
 
 @register("k02_coded_headers", with_(TILES, _PICTURES) + "SELECT picture_id, CAST(quality AS BIGINT) AS quality, CAST(greatest(0, least(127, trunc(127 * (1 - pow(CASE WHEN quality >= 75 THEN 2 * (quality / 100.0) - 1 ELSE (quality / 100.0) * 2 / 3 END, 1.0 / 3)) + 1e-9))) AS BIGINT) AS base FROM (SELECT picture_id, 20 + (picture_id * 7) % 80 AS quality FROM pc)")
@@ -292,10 +339,7 @@ def i08(spark: SparkSession, sf: str) -> DataFrame:
     return _per_text(spark, sf, of).select("doc_id", F.col("b").alias("bits"))
 
 
-_CLIPS = "cl AS (SELECT vec_id // 20 AS clip_id, (vec_id % 20) // 4 AS frame_no FROM t GROUP BY 1, 2 HAVING count(*) = 4)"
-
-
-@register("k04_video_round_trip", with_(TILES, _CLIPS) + "SELECT clip_id, CAST(frame_no AS BIGINT) AS frame_no, frame_no = 0 AS key_frame, true AS exact FROM cl")
+@register("k04_video_round_trip")
 def k04(spark: SparkSession, sf: str) -> DataFrame:
     """Clips of up to five 16x16 frames, a key frame and then frames that predict from the last: the decoder rebuilds what the encoder did."""
 
@@ -309,12 +353,14 @@ def k04(spark: SparkSession, sf: str) -> DataFrame:
                 for k, f in enumerate(frames):
                     data, rebuilt = (enc.encode_inter if k else enc.encode_key)(*_planes(f["tiles"]))
                     got = dec.decode(data)
-                    out.append((i, f["frame_no"], lossy.frame_tag(data)[0], all((a == c).all() for a, c in zip(got, rebuilt))))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))], names=["clip_id", "frame_no", "key_frame", "exact"])
+                    planes = _planes(f["tiles"])
+                    sse = sum(int(((a.astype(np.int64) - c) ** 2).sum()) for a, c in zip(got, planes))
+                    out.append((i, f["frame_no"], lossy.frame_tag(data)[0], all((a == c).all() for a, c in zip(got, rebuilt)), sse))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()))], names=["clip_id", "frame_no", "key_frame", "exact", "sse"])
 
     p = _pictures(spark, sf).select(F.expr("picture_id div 5").alias("clip_id"), (F.col("picture_id") % 5).alias("frame_no"), "tiles")
     clips = p.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "tiles"))).alias("frames"))  # five frames at most
-    return clips.mapInArrow(run, "clip_id long, frame_no long, key_frame boolean, exact boolean")
+    return clips.mapInArrow(run, "clip_id long, frame_no long, key_frame boolean, exact boolean, sse long")
 
 
 @register("k10_planes", with_(TILES, PLACED, PIXELS) + """SELECT vec_id, CAST(sum(((16839 * r + 33059 * g + 6420 * b + 32768 + 1048576) >> 16) * (p + 1)) AS BIGINT) AS luma, CAST(sum(a * (p + 1)) AS BIGINT) AS alpha FROM px GROUP BY vec_id""")

@@ -6,6 +6,8 @@ df.select("name", "content").write.format("media_files").mode("append").save(fol
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -18,6 +20,11 @@ SCHEMA = "path string, length long, width int, height int, has_alpha boolean, an
 PER_PARTITION = 256
 
 
+def uri(path: str) -> str:
+    """A path as a file system's address; one without a scheme is local."""
+    return path if "://" in path else f"file://{path.removeprefix('file:')}"
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[tuple[str, int]]):
         self.paths = paths
@@ -30,7 +37,7 @@ class _Reader(DataSourceReader):
     def _open(self):
         from pyarrow import fs
 
-        return fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        return fs.FileSystem.from_uri(uri(self.path))
 
     def partitions(self) -> list[_Files]:
         from pyarrow import fs
@@ -82,10 +89,9 @@ class _Writer(DataSourceWriter):
         self.path = path
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        where, root = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        where, root = self._open()
         where.create_dir(root)
         for row in iterator:
             part = f"{root}/_{TaskContext.get().taskAttemptId()}-{row.name}"
@@ -94,6 +100,26 @@ class _Writer(DataSourceWriter):
             where.move(part, f"{root}/{row.name}")
         return WriterCommitMessage()
 
+    def _open(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(uri(self.path))
+
+    def _swept(self) -> None:
+        """Deletes what tasks that failed have left."""
+        from pyarrow import fs
+
+        where, root = self._open()
+        for f in where.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if re.match(r"_\d+-", f.base_name):
+                where.delete_file(f.path)
+
+    def commit(self, messages: list) -> None:
+        self._swept()
+
+    def abort(self, messages: list) -> None:
+        self._swept()
+
 
 class Files(DataSource):
     @classmethod

@@ -42,12 +42,15 @@ class DecodeOptions:
 
 @dataclass(frozen=True)
 class EncodeOptions:
-    """quality 0 or less is 75, over 100 is 100; method (effort) below 0 is 4, over 6 is 6; exact keeps colour under full transparency."""
+    """quality 0 or less is 75, over 100 is 100; method (effort) below 0 is 4, over 6 is 6: lossy pictures choose 4x4 modes from 3 on and
+    levels by trellis from 5 on; exact keeps colour under full transparency, which is cleared otherwise. Lossy pictures need the
+    format's published tables, so lossless is the default."""
 
     quality: int = 75
     method: int = 4
     lossless: bool = True
     loop_count: int = 0
+    exact: bool = False
 
     @property
     def effort(self) -> int:
@@ -151,6 +154,15 @@ def exif_records(files: DataFrame) -> DataFrame:
     return _rows(files, exif.SCHEMA, of).withColumn("error_class", F.when(F.col("error_class").isNotNull(), "NO_EXIF"))
 
 
+def lossy_decoder(tables, most: int):
+    """A decoder of key frames; without the published tables pixels would be wrong, so there is none."""
+    from ..operators import lossy
+
+    if tables is None:
+        raise Unsupported("a lossy picture, as the format's tables weren't given")
+    return lossy.Decoder(tables, most)
+
+
 def picture(src: box.Bytes, image: box.Chunk, alpha_chunk: box.Chunk | None, options: DecodeOptions, tables=None) -> np.ndarray:
     """A still or a frame as height x width x RGBA, not premultiplied."""
     data = src.exactly(image.off, image.size)
@@ -158,9 +170,7 @@ def picture(src: box.Bytes, image: box.Chunk, alpha_chunk: box.Chunk | None, opt
     if image.fourcc == box.LOSSLESS:
         h, px = lossless.decode(data, most)
         return colour.argb_to_rgba(px, h.width)
-    from ..operators import lossy
-
-    y, u, v = lossy.Decoder(tables, most).decode(data)
+    y, u, v = lossy_decoder(tables, most).decode(data)
     rgb = colour.to_rgb(y, u, v)
     a = alpha.decode(src.exactly(alpha_chunk.off, alpha_chunk.size) if alpha_chunk else None, y.shape[1], y.shape[0], options.alpha_dither)
     return np.concatenate([rgb, a[..., None]], 2)
@@ -218,9 +228,7 @@ def still_planes(data: bytes, options: DecodeOptions = DecodeOptions(), tables=N
     if c.image.fourcc == box.LOSSLESS:
         rgba = picture(src, c.image, None, options)
         return dict(zip("yuva", (*colour.to_yuv(rgba[..., :3]), rgba[..., 3])))
-    from ..operators import lossy
-
-    y, u, v = lossy.Decoder(tables, options.size_limit or STILL_AREA).decode(src.exactly(c.image.off, c.image.size))
+    y, u, v = lossy_decoder(tables, options.size_limit or STILL_AREA).decode(src.exactly(c.image.off, c.image.size))
     a = alpha.decode(src.exactly(c.alpha.off, c.alpha.size) if c.alpha else None, y.shape[1], y.shape[0], options.alpha_dither)
     return {"y": y, "u": u, "v": v, "a": a}
 
@@ -249,10 +257,13 @@ def encode(rgba: np.ndarray, options: EncodeOptions = EncodeOptions(), tables=No
     """A still: one lossless picture, or a lossy one with its alpha beside it if it isn't opaque."""
     h, w = rgba.shape[:2]
     if options.lossless:
-        return box.container([(box.LOSSLESS, lossless.encode(colour.rgba_to_argb(rgba), w, h, options.effort))])
+        px = colour.rgba_to_argb(rgba)
+        return box.container([(box.LOSSLESS, lossless.encode(px if options.exact else np.where(px >> np.uint32(24) == 0, np.uint32(0), px), w, h, options.effort))])
     from ..operators import lossy
 
-    coded = lossy.encode(*colour.to_yuv(rgba[..., :3]), options.level, tables)
+    if tables is None:
+        raise ValueError("a lossy picture needs the format's tables: operators.lossy.Tables.read")
+    coded = lossy.Encoder(options.level, tables, options.effort >= 3, options.effort >= 5).encode(*colour.to_yuv(rgba[..., :3]))[0]
     if (rgba[..., 3] == 255).all():
         return box.container([(box.LOSSY, coded)])
     return box.container([(box.EXTENDED, box.extended_header(w, h, box.ALPHA_FLAG)), (box.ALPHA, alpha.encode(rgba[..., 3])), (box.LOSSY, coded)])

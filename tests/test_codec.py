@@ -98,7 +98,7 @@ def test_alpha():
 
 def test_containers():
     px = colour.argb_to_rgba(pictures(20, 10)["palette"], 20)
-    data = media.encode(px)
+    data = media.encode(px, media.EncodeOptions(exact=True))
     c = box.parse(box.Bytes.of(data))
     assert not c.extended and c.image.fourcc == box.LOSSLESS
     assert (next(media.decode(data))[1] == px).all()

@@ -44,6 +44,67 @@ def test_other_tables():
     assert all((a == b).all() for a, b in zip(lossy.Decoder(t).decode(data), rebuilt))
 
 
+def listing(t):
+    """Tables as the RFC prints them: C declarations with comments, broken by page ends."""
+    rfc = [lossy.DC, lossy.TM, lossy.VE, lossy.HE, lossy.LD, lossy.RD, lossy.VR, lossy.VL, lossy.HD, lossy.HU]
+
+    def nested(v, depth=0):
+        if v.ndim == 1:
+            return "{ " + ", ".join(map(str, v.tolist())) + "}"
+        return "{ /* block type %d */\n" % depth + ",\n".join(nested(x, k) for k, x in enumerate(v)) + "\n}"
+
+    out = ""
+    for name, of, dims in (("coeff_update_probs", t.updates, "[4] [8] [3] [11]"), ("default_coeff_probs", t.coefficients, "[BLOCK_TYPES] [COEF_BANDS] [3] [ENTROPY_NODES]"), ("kf_bmode_probs", t.small_modes[np.ix_(rfc, rfc)], "[num_intra_bmodes] [num_intra_bmodes] [num_intra_bmodes-1]")):
+        out += f"   const Prob {name} {dims}; /* declared 1st */\n   text = {{1, 2}};\n   const Prob {name} {dims} =\n{nested(of)};\n"
+    lines = out.split("\n")
+    for k in range(50, len(lines), 61):
+        lines.insert(k, "\nBankoski, et al.              Informational                    [Page 76]\n\nRFC 6386   VP8 Data Format and Decoding Guide   November 2011\n")
+    return "\n".join(lines)
+
+
+def test_tables_of_a_text(tmp_path):
+    rng = np.random.default_rng(4)
+    t = lossy.Tables(rng.integers(1, 256, (4, 8, 3, 11)), rng.integers(1, 256, (4, 8, 3, 11)), rng.integers(1, 256, (10, 10, 9)))
+    (tmp_path / "rfc.txt").write_text(listing(t))
+    got = lossy.Tables.read(str(tmp_path / "rfc.txt"))
+    assert all((a == b).all() for a, b in ((got.coefficients, t.coefficients), (got.updates, t.updates), (got.small_modes, t.small_modes)))
+    with pytest.raises(ValueError):
+        lossy.Tables.of_text(listing(t).replace("kf_bmode", "other"))
+
+
+def test_files_need_the_published_tables():
+    """No picture is written or read with tables that aren't the format's."""
+    rgba = np.full((16, 16, 4), 200, np.uint8)
+    with pytest.raises(ValueError):
+        media.encode(rgba, media.EncodeOptions(lossless=False))
+    data = media.encode(rgba, media.EncodeOptions(lossless=False), lossy.Tables())
+    with pytest.raises(Unsupported):
+        list(media.decode(data))
+    with pytest.raises(Unsupported):
+        media.still_planes(data)
+
+
+def test_effort_of_lossy_files():
+    """The method chooses 4x4 modes from 3 on and the trellis from 5 on."""
+    y, u, v = picture(48, 64)
+    rgba = np.concatenate([colour.to_rgb(y, u, v), np.full((48, 64, 1), 255, np.uint8)], 2)
+    sizes, errors = [], []
+    for method in (0, 3, 5):
+        data = media.encode(rgba, media.EncodeOptions(quality=92, method=method, lossless=False), lossy.Tables())
+        got = next(iter(media.decode(data, tables=lossy.Tables())))[1]
+        sizes.append(len(data))
+        errors.append(psnr(got[..., :3], rgba[..., :3]))
+    assert len(set(sizes)) == 3 and sizes[2] < sizes[1] and errors[1] > errors[0] - 0.5 and min(errors) > 25
+
+
+def test_exact_keeps_hidden_colour():
+    rgba = np.random.default_rng(1).integers(0, 256, (9, 7, 4)).astype(np.uint8)
+    rgba[::2, ::2, 3] = 0
+    kept = next(iter(media.decode(media.encode(rgba, media.EncodeOptions(exact=True)))))[1]
+    free = next(iter(media.decode(media.encode(rgba))))[1]
+    assert (kept == rgba).all() and (free == np.where(rgba[..., 3:] == 0, 0, rgba)).all()
+
+
 def test_blocks_of_coefficients():
     rng = np.random.default_rng(2)
     odds = rng.integers(1, 255, (8, 3, 11)).tolist()
@@ -97,12 +158,12 @@ def test_transforms():
 def test_files():
     rng = np.random.default_rng(5)
     rgba = np.concatenate([colour.to_rgb(*picture(30, 40)), rng.integers(0, 256, (30, 40, 1), dtype=np.uint8)], 2)
-    data = media.encode(rgba, media.EncodeOptions(quality=90, lossless=False))
+    data = media.encode(rgba, media.EncodeOptions(quality=90, lossless=False), lossy.Tables())
     c = box.parse(box.Bytes.of(data))
     assert c.extended and c.alpha and c.image.fourcc == box.LOSSY
     f = box.features(box.Bytes.of(data))
     assert (f.width, f.height, f.has_alpha, f.codec) == (40, 30, True, "lossy")
-    got = next(media.decode(data))[1]
+    got = next(media.decode(data, tables=lossy.Tables()))[1]
     assert (got[..., 3] == rgba[..., 3]).all() and psnr(got[..., :3], rgba[..., :3]) > 30
 
 
