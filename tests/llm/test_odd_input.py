@@ -44,6 +44,36 @@ def test_empty(name, none, labels, bench, tmp_path):
     assert CASES[name](none, labels.limit(0), bench.limit(0), tmp_path).collect() == []
 
 
+#: Names that operators use inside, for the tables beside documents.
+CLASHING = ["doc_id_", "text_hash", "words", "seed", "pos", "item", "item_words", "start", "q", "trusted", "fold", "n", "host", "markup", "ll", "id", "lang", "domain", "vote", "prior", "route", "node", "label"]
+
+
+@pytest.mark.parametrize("name", ["quality", "decontaminate", "toxicity"])
+def test_clashing_columns_of_other_tables(name, odd, labels, bench, tmp_path):
+    from pyspark.sql import functions as F
+
+    more = lambda df: df.withColumns({c: F.lit(c) for c in CLASHING if c not in df.columns})
+    a, b = (sorted(map(repr, CASES[name](odd, la, be, tmp_path).collect())) for la, be in ((labels, bench), (more(labels).withColumn("text", F.lit("x")), more(bench).withColumn("doc_id", F.lit(4)))))
+    assert a == b
+
+
+def test_clashing_columns_of_pages(spark, odd):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "http://x.de/", "<html lang=de><p>der die das</p>"), (2, "http://y.fr/", "<p>le la les</p>")], "page_id long, url string, html string")
+    a, b = (sorted(map(repr, language.identify(odd, p).collect())) for p in (pages, pages.withColumns({c: F.lit(c) for c in [*CLASHING, "doc_id", "text", "source"]})))
+    assert a == b
+
+
+def test_repeated_rows_of_order_and_language(odd, tmp_path):
+    """Each of two equal rows has its own slots with the same tokens, and the same language."""
+    rows = [r for r in _order(odd, tmp_path).collect() if r.doc_id == 4]
+    assert len(rows) == 2 and len({r.slot for r in rows}) == 2 and len({(r.seq_no, r.n_tokens, r.crc) for r in rows}) == 1
+    pages = odd.sparkSession.createDataFrame([], "page_id long, url string, html string")
+    same = [r for r in language.identify(odd, pages).collect() if r.doc_id == 4]
+    assert len(same) == 2 and same[0] == same[1]
+
+
 def test_token_order_odd(odd, none, tmp_path):
     rows = _order(odd, tmp_path).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows))) and {r.doc_id for r in rows} == {3, 4, 5, 6, 7, 8, 9, 10, 11, None}

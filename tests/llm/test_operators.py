@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from rasterloom.llm import bpe, decontaminate, language, license_scan, pii, quality, secret_scan, simhash, token_order, toxicity
 from rasterloom.llm.license_rules import gates, rules
-from rasterloom.llm.shared import table
+from rasterloom.llm.shared import chunks, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -201,6 +201,35 @@ def test_log_ratio_by_hand(spark):
     assert score[1] > 0 > score[2]
 
 
+def test_quality_score_by_hand(spark, sf, docs, texts):
+    """Every document's score and verdict from multinomials counted in plain Python."""
+    from math import log
+
+    labels = table(spark, sf, "labels")
+    trusted = {r.doc_id for r in quality.trusted_ids(labels).collect()}
+    size = 1 << quality.BUCKET_BITS
+
+    def buckets(t):
+        raw = (t or "").encode()
+        one = quality.Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return quality.buckets(one, *one.words())[0].tolist() if raw else []
+
+    found = {i: buckets(t) for i, t in texts.items()}
+    for i, t in texts.items():
+        n = len(re.findall(WORD, t or ""))
+        assert len(found[i]) == max(2 * n - 1, 0)
+    raw, target = collections.Counter(), collections.Counter()
+    for i, b in found.items():
+        raw.update(b)
+        if i in trusted:
+            target.update(b)
+    share = lambda c, b: (c[b] / sum(c.values()) + quality.SMOOTHING / size) / (1 + quality.SMOOTHING)
+    of = {b: log(share(target, b)) - log(share(raw, b)) for b in raw}
+    for i, r in by_id(quality.assess(docs, labels)).items():
+        want = sum(of[b] for b in found[i]) / max(len(found[i]), 1)
+        assert abs(r["score"] - want) < 1e-9 and r["kept"] == (not r["base_failed"] and want >= quality.THRESHOLD)
+
+
 # BPE
 
 
@@ -620,6 +649,72 @@ def test_toxicity(spark):
     assert np.mean([p for t, p in held if t]) > 0.8 and np.mean([p for t, p in held if not t]) < 0.02
 
 
+def toxic_features(t, model):
+    """The dense features that don't need the learned lexicon, from a text in plain Python."""
+    low = lowered(t)
+    letter = "A-Za-z\u0080-\U0010ffff"
+    words = [(m.start(), m[0]) for m in re.finditer(f"[{letter}]+", low)]
+    n, listed = max(len(words), 1), [toxicity.INSULTS, toxicity.CONTEMPT, toxicity.PROFANITY, toxicity.THREATS]
+    sets = [{lowered(w) for w in x} for x in listed]
+    every, you = set().union(*sets), set(toxicity.SECOND_PERSON)
+    at = [k for k, (_, w) in enumerate(words) if w in you]
+    near = sum(w in every and any(abs(k - j) <= 5 for j in at) for k, (_, w) in enumerate(words))
+    signs = "".join(map(re.escape, toxicity.LEET))
+    hidden = 0
+    for m in re.finditer(f"[{letter}{signs}]+", low):
+        if re.search(f"[{signs}]", m[0]):
+            hidden += "".join(toxicity.LEET.get(c, c) for c in m[0]) in every
+    any_n = sum(w in every for _, w in words) + hidden
+    raw = (t or "").encode()
+    shout = [m[0] for m in re.finditer(f"[{letter}]+", t or "") if len(m[0].encode()) >= 3 and re.fullmatch("[A-Z]+", m[0])]
+    again = sum(a[1] == b[1] for a, b in zip(words, words[1:]))
+    out = {k: 100 * sum(w in s for _, w in words) / n for k, s in zip(("insults", "contempt", "profanity", "threats"), sets)}
+    out |= {"any_rate": 100 * any_n / n, "any_log": np.log1p(any_n), "hidden_rate": 100 * hidden / n, "near_you": 100 * near / n, "you_rate": 100 * len(at) / n, "upper_words": len(shout) / n, "repeats": again / n, "length": np.log1p(len(words))}
+    out |= {"exclaims": raw.count(b"!") / max(len(raw), 1), "asks": raw.count(b"?") / max(len(raw), 1), "digits": sum(48 <= b <= 57 for b in raw) / max(len(raw), 1)}
+    return out
+
+
+def test_toxic_features_by_hand(spark, texts):
+    import pyarrow as pa
+
+    extra = ["You are an 1d10t and STUPID STUPID!! du depp, h4te you?", "a b c d kill", "", None, "Ünïcode idiots tú, ÉTÉ 5h1t 5h1t", "clean text with 42 numbers"]
+    listed = [*texts.values(), *extra]
+    got = np.concatenate([toxicity.features(t, np.zeros(1 << toxicity.LEARNED_BITS, np.int8)) for _, _, t in chunks(pa.array(listed, pa.string()))])
+    for k, t in enumerate(listed):
+        for name, want in toxic_features(t, None).items():
+            assert abs(got[k, toxicity.NAMES.index(name)] - want) < 1e-9, (t and t[:60], name, got[k, toxicity.NAMES.index(name)], want)
+
+
+def test_trees_by_hand():
+    """Margins by walking each tree, and probabilities by the calibration's steps."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 5))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] > 0) & (rng.random(400) > 0.1)).astype(float)
+    model = toxicity.grow(x[:300], y[:300])
+    model.steps_x, model.steps_y = toxicity.isotonic(model.margin(x[300:]), y[300:])
+
+    def margin(row):
+        total = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.value):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(row[f[node]] > t[node])
+            total += v[node - len(f)]
+        return total
+
+    want = np.array([margin(r) for r in x])
+    assert np.allclose(model.margin(x), want)
+
+    def calibrated(m):
+        sx, sy = model.steps_x, model.steps_y
+        if m <= sx[0] or m >= sx[-1]:
+            return sy[0] if m <= sx[0] else sy[-1]
+        k = max(j for j in range(len(sx)) if sx[j] <= m)
+        return sy[k] if sx[k] == m else sy[k] + (sy[k + 1] - sy[k]) * (m - sx[k]) / (sx[k + 1] - sx[k])
+
+    assert np.allclose(model.probability(x), [calibrated(m) for m in want])
+
+
 def test_isotonic_and_trees():
     x, y = toxicity.isotonic(np.array([0.0, 1, 2, 3, 4, 5]), np.array([0.0, 1, 0, 0, 1, 1]))
     assert (np.diff(y) >= 0).all() and len(x) == len(y)
