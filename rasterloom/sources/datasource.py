@@ -1,6 +1,7 @@
-"""Spark data sources: container headers by ranged reads of each file's first bytes, and a sink that writes files.
+"""Spark data sources: container headers by ranged reads of each file's first bytes, decoded pictures, and a sink that writes files.
 
 spark.dataSource.register(Headers); spark.read.format("media_headers").load(folder)
+spark.dataSource.register(Pixels); spark.read.format("media_pixels").option("first_only", "true").load(folder)
 df.select("name", "content").write.format("media_files").mode("append").save(folder)
 """
 
@@ -13,7 +14,9 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..operators.bits import Invalid, Unsupported
+from ..operators.lossy import Tables
 from . import container as box
+from . import media
 
 SCHEMA = "path string, length long, width int, height int, has_alpha boolean, animated boolean, n_frames int, codec string, error_class string, bytes_read long"
 #: Files that a partition lists.
@@ -82,6 +85,41 @@ class Headers(DataSource):
         return _Reader(self.options["path"])
 
 
+class _PixelReader(_Reader):
+    """Whole files, decoded; options are those of media.DecodeOptions, and `tables`, a text that lists the lossy format's tables."""
+
+    def __init__(self, path: str, options: dict[str, str]):
+        super().__init__(path)
+        flag = lambda name: options.get(name, "false").lower() == "true"
+        number = lambda name: int(options.get(name, "0"))
+        # option names come without capitals
+        self.options = media.DecodeOptions(auto_rotate=flag("auto_rotate"), alpha_dither=number("alpha_dither"), size_limit=number("size_limit"), first_only=flag("first_only"), premultiplied=flag("premultiplied"))
+        self.tables = Tables.read(options["tables"]) if "tables" in options else None
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        where, _ = self._open()
+        for path, _ in partition.paths:
+            with where.open_input_file(path) as f:
+                data = f.read()
+            try:
+                for k, (delay, rgba) in enumerate(media.decode(data, self.options, self.tables)):
+                    yield path, k, delay, rgba.shape[1], rgba.shape[0], rgba.tobytes(), None
+            except tuple(k for k, _ in media.CLASSES) as e:
+                yield path, None, None, None, None, None, media.error_class(e)
+
+
+class Pixels(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "media_pixels"
+
+    def schema(self) -> str:
+        return "path string, frame_no int, delay_ms int, width int, height int, rgba binary, error_class string"
+
+    def reader(self, schema) -> _PixelReader:
+        return _PixelReader(self.options["path"], dict(self.options))
+
+
 class _Writer(DataSourceWriter):
     """Each row's bytes under its name; a file is put in place by a rename, so a task that runs again writes the same files."""
 

@@ -8,7 +8,7 @@ import pytest
 from rasterloom.operators import alpha, colour, lossless, prefix
 from rasterloom.operators.bits import BitReader, BitWriter, Invalid, Unsupported
 from rasterloom.sources import container as box
-from rasterloom.sources import exif, media
+from rasterloom.sources import datasource, exif, media
 
 SIZES = [(1, 1), (1, 17), (17, 1), (3, 5), (64, 48)]
 
@@ -209,3 +209,18 @@ def test_partitions_do_not_matter(spark, parts):
     df = spark.createDataFrame(files, "file_id long, content binary").repartition(parts)
     rows = {r.file_id: bytes(r.rgba) for r in media.pixels(df).collect()}
     assert rows == {k: next(media.decode(bytes(d)))[1].tobytes() for k, d in files}
+
+
+def test_pixel_source(spark, tmp_path):
+    """Stills, an animation and broken files as rows of the format."""
+    rng = np.random.default_rng(8)
+    spark.dataSource.register(datasource.Pixels)
+    still = rng.integers(0, 256, (5, 7, 4), dtype=np.uint8)
+    frames = [np.full((4, 6, 4), v, np.uint8) for v in (255, 200, 255)]
+    (tmp_path / "a.webp").write_bytes(media.encode(still, media.EncodeOptions(exact=True)))
+    (tmp_path / "b.webp").write_bytes(media.encode_animation(frames, [10, 20, 30], media.EncodeOptions(loop_count=1)))
+    (tmp_path / "c.webp").write_bytes(b"RIFF no picture")
+    rows = {(r.path[-6:], r.frame_no): r for r in spark.read.format("media_pixels").load(str(tmp_path)).collect()}
+    assert set(rows) == {("a.webp", 0), ("b.webp", 0), ("b.webp", 1), ("b.webp", 2), ("c.webp", None)}
+    assert bytes(rows["a.webp", 0].rgba) == still.tobytes() and rows["c.webp", None].error_class == "INVALID" and rows["b.webp", 2].delay_ms == 30
+    assert spark.read.format("media_pixels").option("first_only", "true").option("size_limit", "30").load(str(tmp_path)).filter("error_class IS NULL").count() == 1
