@@ -45,11 +45,16 @@ def vertical_unfilter(px: Column, width: int) -> Column:
 
 def palette_deltas(palette: Column) -> Column:
     """Differences of a sorted palette's words."""
-    return F.transform(palette, lambda v, i: F.when(i == 0, v).otherwise(subtract_words(v, F.get(palette, i - 1))))
+    return let(palette, lambda listed: F.transform(listed, lambda v, i: F.when(i == 0, v).otherwise(subtract_words(v, F.get(listed, i - 1)))))
 
 
 def palette_sums(deltas: Column) -> Column:
-    return F.slice(F.aggregate(deltas, F.array(F.lit(0).cast("long")), lambda acc, d: F.concat(acc, F.array(add_words(F.element_at(acc, -1), d)))), 2, 256)
+    zero = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
+
+    def add(acc: Column, d: Column) -> Column:
+        return let(add_words(acc["last"], d), lambda word: F.struct(word.alias("last"), F.concat(acc["out"], F.array(word)).alias("out")))
+
+    return F.aggregate(deltas, zero, add, lambda acc: acc["out"])
 
 
 def runs(values: Column) -> Column:
@@ -60,13 +65,12 @@ def runs(values: Column) -> Column:
 
 def cache_hits(argb: Column, bits: int) -> Column:
     """Whether each word is the last one that its cache slot took."""
-    slots = F.transform(argb, lambda v: cache_slot(v, bits))
-
-    def hit(v: Column, i: Column) -> Column:
-        before = F.filter(F.transform(F.sequence(F.lit(0), i), lambda j: F.when((j < i) & (F.get(slots, j) == F.get(slots, i)), F.get(argb, j))), lambda x: x.isNotNull())
-        return F.coalesce(F.element_at(F.when(F.size(before) > 0, before), -1) == v, F.lit(False))
+    def hits(x: Column) -> Column:
+        # the last earlier word of the same slot
+        before = lambda e, i: F.element_at(F.filter(F.slice(x, 1, i), lambda o: o["slot"] == e["slot"]), -1)
+        return F.transform(x, lambda e, i: F.when(F.exists(F.slice(x, 1, i), lambda o: o["slot"] == e["slot"]), before(e, i)["v"] == e["v"]).otherwise(False))
 
-    return F.transform(argb, hit)
+    return let(F.transform(argb, lambda v: F.struct(v.alias("v"), cache_slot(v, bits).alias("slot"))), hits)
 
 
 def mirrored(i: Column, n: int) -> Column:

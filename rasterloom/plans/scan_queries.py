@@ -118,9 +118,10 @@ SELECT vec_id, i, CASE WHEN b IS NULL THEN v ELSE ((v >> 24) - (b >> 24) + 256)
 def g06(spark: SparkSession, sf: str) -> DataFrame:
     """Differences of neighbours in a sorted palette; running sums give the palette again."""
     coarse = F.transform("argb", lambda v: F.shiftright(v, 28) * (1 << 28) + F.shiftright(v, 12).bitwiseAND(15) * 4096)
-    df = grids.argb_tiles(spark, sf).select("vec_id", F.array_sort(F.array_distinct(coarse)).alias("palette")).withColumn("deltas", rw.palette_deltas(F.col("palette")))
-    df = df.withColumn("inverse_ok", rw.palette_sums(F.col("deltas")) == F.col("palette"))
-    return df.select("vec_id", F.posexplode("deltas").alias("i", "delta"), "inverse_ok").select("vec_id", F.col("i").cast("long").alias("i"), F.col("delta").cast("long").alias("delta"), "inverse_ok")
+    # each step worked out once, though later ones look at it again and again
+    one = let(F.array_sort(F.array_distinct(coarse)), lambda p: let(rw.palette_deltas(p), lambda d: F.struct(d.alias("deltas"), (rw.palette_sums(d) == p).alias("inverse_ok"))))
+    df = grids.argb_tiles(spark, sf).select("vec_id", F.explode(F.array(one)).alias("one"))
+    return df.select("vec_id", F.posexplode("one.deltas").alias("i", "delta"), F.col("one.inverse_ok").alias("inverse_ok")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("delta").cast("long").alias("delta"), "inverse_ok")
 
 
 @register("g07_runs", TX + """, g AS (SELECT doc_id, i, b, b IS DISTINCT FROM lag(b) OVER (PARTITION BY doc_id ORDER BY i) AS new FROM tx), r AS (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g), n AS (SELECT doc_id, k, min(i) AS start, count(*) AS len FROM r GROUP BY 1, 2)
