@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import bpe, decontaminate, near_copies, secret_scan, toxicity
-from rasterloom.llm.shared import scratch, table, unused
+from rasterloom.llm.shared import drop, scratch, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each written as Parquet to the shared folder and read again; a stage's table goes once the next one stands."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(path := scratch(spark, name))
             docs = spark.read.parquet(path)
+            if before:
+                drop(spark, before)
+            before = path
     return docs
