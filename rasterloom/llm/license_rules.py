@@ -274,7 +274,8 @@ liliq ; libre du quebec ; {EXACT} ; licence libre du quebec(?: permissive| recip
 free-art ; free art ; {EXACT} ; (?:the )?free art licen[sc]e(?: {V13})?
 free-art ; art libre ; {EXACT} ; licence art libre(?: {V13})?
 ogl-uk ; open government ; {EXACT} ; (?:the )?open government licen[sc]e(?: {V3}| {V2}| {V1})?
-etalab-2.0 ; etalab ; {EXACT} ; (?:etalab )?(?:open licen[sc]e|licence ouverte) (?:etalab )?{V2}(?: etalab)?
+etalab-2.0 ; etalab ; {EXACT} ; etalab open licen[sc]e {V2}
+etalab-2.0 ; licence ouverte ; {EXACT} ; licence ouverte (?:etalab )?{V2}(?: etalab)?
 dl-de-by-2.0 ; data licence germany ; {EXACT} ; data licence germany attribution(?: {V2})?
 cdla-permissive ; community data ; {EXACT} ; (?:the )?community data licen[sc]e agreement permissive(?: {V1}| {V2})?
 cdla-sharing ; community data ; {EXACT} ; (?:the )?community data licen[sc]e agreement sharing(?: {V1})?
