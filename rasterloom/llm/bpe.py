@@ -31,10 +31,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import id_and_text
+from .shared import id_and_text, lean
 
 #: Words whose encoding a worker keeps, in each of two generations.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 #: What the splitter's pattern means by white space.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -296,7 +296,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(sent.value)
-        for b in batches:
+        for b in lean(batches):
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
@@ -311,7 +311,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(sent.value)
-        for b in batches:
+        for b in lean(batches):
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.decode(i or []) for i in part.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
@@ -326,7 +326,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(sent.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
+        for b in lean(batches):
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 found = []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Texts, chunks, fold, kept, mix
+from .shared import Texts, chunks, fold, kept, lean, mix
 
 TRAIN_ROWS = 4_000
 BUCKET_BITS = 15
@@ -74,7 +74,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in lean(batches):
             label = np.array(b.column(1).to_pylist(), object)
             for row, end, texts in chunks(b.column(0)):
                 bucket, doc = grams(texts)
@@ -125,7 +125,7 @@ def classify(rows: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
     k = len(langs)
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for row, end, texts in chunks(b.column(1)):
                 bucket, doc = grams(texts)
                 at = np.flatnonzero(np.diff(doc, prepend=-1))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Texts, chunks, id_and_text, mix
+from .shared import Texts, chunks, id_and_text, lean, mix
 
 BUCKET_BITS = 14
 TRUSTED_ROWS = 20_000
@@ -135,7 +135,7 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_RO
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for b in batches:
+        for b in lean(batches):
             good = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for row, end, texts in chunks(b.column(0)):
                 which, doc = buckets(texts, *texts.words())
@@ -161,7 +161,7 @@ def score(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-        for b in batches:
+        for b in lean(batches):
             for row, end, texts in chunks(b.column(1)):
                 starts, ends = texts.words()
                 x = surface(texts, starts, ends)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, drop, id_and_text, kept, saved
+from .shared import chunks, drop, id_and_text, kept, lean, saved
 
 RADIUS = 3
 SEGMENTS = 6
@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, fp (long, the fingerprint's 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             fp = fingerprints_of(b.column(1), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, kept, scratch
+from .shared import id_and_text, kept, lean, scratch
 
 SEQ_LEN = 256
 SHARD_SLOTS = 32_768
@@ -108,7 +108,7 @@ def materialise(docs: DataFrame, ranks_path: str, pattern: str, out: str, key: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, n = _encoder(*sent.value).encode_to_numpy, 0
-        for b in batches:
+        for b in lean(batches):
             for t in b.column(0):
                 text = t.as_py()
                 if text:
@@ -136,7 +136,7 @@ def materialise(docs: DataFrame, ranks_path: str, pattern: str, out: str, key: i
             ids.clear(), numbers.clear(), payloads.clear()
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "seq_no", "slot", "shard", "payload"])
 
-        for b in batches:
+        for b in lean(batches):
             for i, t in zip(b.column(0), b.column(1)):
                 if not (text := t.as_py()):
                     continue
@@ -185,7 +185,7 @@ def materialise(docs: DataFrame, ranks_path: str, pattern: str, out: str, key: i
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shards in order, one held at a time."""
         now, held = None, []
-        for b in batches:
+        for b in lean(batches):
             shards = b.column(3).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
             for x, y in zip(cuts, cuts[1:]):

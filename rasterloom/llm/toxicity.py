@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Texts, chunks, fold, id_and_text, kept
+from .shared import Texts, chunks, fold, id_and_text, kept, lean
 
 TRAIN_ROWS = 40_000
 #: Buckets of the learned lexicon, and the bytes of a beginning.
@@ -276,7 +276,7 @@ def _lexicon(chosen: DataFrame) -> dict[int, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
+        for b in lean(batches):
             toxic, folds = b.column(1).to_numpy(), b.column(2).to_numpy()
             for row, end, texts in chunks(b.column(0)):
                 low = Texts(_LOWER[texts.data], texts.bounds)
@@ -312,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> B
     lexicon = _lexicon(rows.select("text", "toxic", "fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             folds = b.column(3).to_numpy()
             for row, end, texts in chunks(b.column(1)):
                 part, own = b.slice(row, end - row), folds[row:end]
