@@ -35,17 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import Texts, chunks, id_and_text, kept, mix, unused
+from .shared import Texts, chunks, id_and_text, kept, lean, mix, unused
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Least hashes that make a key, and keys of a text.
 ROWS, TABLES = 3, 40
 #: A route with more members than this, in several components, is compared in blocks of at most BLOCK.
-JOINED, BLOCK = 16, 512
+JOINED, BLOCK = 16, 1024
 #: The most shingles of a block but for one long text's, so that long texts make smaller blocks.
 BLOCK_SHINGLES = 1 << 20
-#: Partners of a text that one task compares with it.
-SHARE = 4096
+#: Partners of a text that one task compares with it, and those of them that stand as hubs beside it.
+SHARE, HUBS = 4096, 32
 #: Names of texts whose shingles are looked up by a broadcast; more of them are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -106,19 +106,19 @@ def keys(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 
 
 def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp (the narrow fingerprint), node (the name of the text's words), routes (its keys)."""
+    """doc_id, text_hash, fp (the narrow fingerprint), node (the name of the text's words), size (of its list of shingles), routes (its keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             narrow = simhash.fingerprints_of(b.column(2))
             for row, end, texts in chunks(b.column(2), 1 << 20):
                 part = b.slice(row, end - row)
                 low, words, hashes, bounds = shingles(texts)
-                columns = [part.column(0), part.column(1), pa.array(narrow[row:end].view(np.int64)), pa.array(names(low, words).view(np.int64)), pa.array(keys(hashes, bounds), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "node", "routes"])
+                columns = [part.column(0), part.column(1), pa.array(narrow[row:end].view(np.int64)), pa.array(names(low, words).view(np.int64)), pa.array(np.diff(bounds)), pa.array(keys(hashes, bounds), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "node", "size", "routes"])
 
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, node long, routes array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, node long, size long, routes array<long>")
 
 
 def shared_words(hit: np.ndarray, words: int) -> float:
@@ -186,10 +186,10 @@ def alike_links(lists: list[np.ndarray], part: np.ndarray | None = None) -> tupl
 
 
 def routed(nodes: DataFrame) -> DataFrame:
-    """route, n, hub (its least node), node: the members of routes with more than one."""
-    each = nodes.select("node", F.explode("routes").alias("route"))
+    """route, n, hub (its least node), node, size: the members of routes with more than one."""
+    each = nodes.select("node", "size", F.explode("routes").alias("route"))
     sizes = each.groupBy("route").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    return each.join(sizes, "route").select("route", "n", "hub", "node")
+    return each.join(sizes, "route").select("route", "n", "hub", "node", "size")
 
 
 def shingle_lists(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,7 +200,7 @@ def shingle_lists(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, id_col:
     texts = rows.join(of, rows["doc_id"].eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))).select("node", "text")
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for row, end, t in chunks(b.column(1), 1 << 20):
                 _, _, hashes, bounds = shingles(t)
                 each = [hashes[x:y].view(np.int64) for x, y in zip(bounds[:-1], bounds[1:])]
@@ -209,28 +209,51 @@ def shingle_lists(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, id_col:
     return texts.mapInArrow(lists, "node long, s array<long>").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs a, b whose shingles (node, s) are alike in SIMILARITY at least.
+def verified(pairs: DataFrame, held: DataFrame, hubs: int = 0) -> DataFrame:
+    """Links of the pairs a, b whose shingles (node, s) are alike in SIMILARITY at least.
 
-    Each b's shingles go to its a, in shares of at most about SHARE where an a has many, and a task holds one a's shingles at a time.
+    Each b's shingles go to its a, in shares of at most about SHARE where an a has many. With `hubs`, as many further
+    b of each a, drawn by hash, stand beside it, and a b is compared with all of them but those that are joined already: links then
+    join what all those pairs would. A task holds one a's shingles and hubs at a time.
     """
     share = F.ceil(F.count("*") / SHARE).cast("int").alias("shares")
-    salted = pairs.join(pairs.groupBy("a").agg(share), "a").select("a", "b", "shares", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+    salted = pairs.join(pairs.groupBy("a").agg(share, F.count("*").alias("of_a")), "a").select("a", "b", "of_a", "shares", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
     tested = salted.join(held, F.col("b") == F.col("node")).select("a", "share", F.lit(1).alias("kind"), "b", "s")
-    firsts = salted.select("a", "shares").distinct().select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    firsts = firsts.join(held, F.col("a") == F.col("node")).select("a", "share", F.lit(0).alias("kind"), F.col("a").alias("b"), "s")
+    names_ = salted.select("a", F.col("a").alias("b"), "shares").distinct()
+    if hubs:
+        drawn = salted.filter("of_a > 1").groupBy("a", "shares", F.pmod(F.xxhash64("b", F.lit(3)), F.lit(hubs)).alias("draw")).agg(F.min("b").alias("b"))
+        names_ = names_.unionByName(drawn.select("a", "b", "shares"))
+    firsts = names_.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    firsts = firsts.join(held, F.col("b") == F.col("node")).select("a", "share", F.lit(0).alias("kind"), "b", "s")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, mine = None, np.zeros(0, np.int64)
-        for batch in batches:
-            a, kind, b, lists = batch.column(0), batch.column(2).to_pylist(), batch.column(3), batch.column(4)
-            flat, at, named, ok = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist(), a.to_pylist(), []
+        of, stand, root = None, {}, {}  # hubs with their shingles, and with a hub that they are joined to
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for batch in lean(batches):
+            a, shares, kind, b = (batch.column(k).to_pylist() for k in range(4))
+            lists = batch.column(4)
+            flat, at, found = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist(), []
             for k in range(batch.num_rows):
+                if of != (a[k], shares[k]):
+                    of, stand, root = (a[k], shares[k]), {}, {}
                 theirs = flat[at[k] : at[k + 1]]
                 if kind[k] == 0:
-                    of, mine = named[k], theirs.copy()
-                ok.append(kind[k] == 1 and of == named[k] and alike(mine, theirs) >= SIMILARITY)
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                    stand[b[k]], root[b[k]] = theirs.copy(), b[k]
+                    continue
+                mine = top(b[k]) if b[k] in root else None
+                for name, shingles_ in stand.items():
+                    hub = top(name)
+                    if hub != mine and alike(shingles_, theirs) >= SIMILARITY:
+                        found.append((name, b[k]))
+                        if mine is not None:
+                            root[mine] = hub
+                        mine = hub
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
     return firsts.unionByName(tested).repartition("a", "share").sortWithinPartitions("a", "share", "kind").mapInArrow(test, "a long, b long")
 
@@ -242,18 +265,17 @@ def to_hubs(members: DataFrame) -> DataFrame:
 
 
 def across(crowded: DataFrame, held: DataFrame) -> DataFrame:
-    """a, b: links between the components of crowded routes; crowded has route, node, root.
+    """a, b: links between the components of crowded routes; crowded has route, node, size, root.
 
     A component that fills a block has blocks of its own, which aren't compared with each other; small ones share blocks.
     """
-    sized = crowded.join(held.select("node", F.size("s").alias("size")), "node")
     blocks = lambda: F.greatest(F.lit(1), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES))).cast("int")
-    per = sized.groupBy("route", "root").agg(blocks().alias("own"))
+    per = crowded.groupBy("route", "root").agg(blocks().alias("own"))
     own = per.withColumn("of", F.when(F.col("own") > 1, F.col("root")))
-    mixed = sized.join(own.filter("of IS NULL"), ["route", "root"]).groupBy("route").agg(blocks().alias("shared"))
+    mixed = crowded.join(own.filter("of IS NULL"), ["route", "root"]).groupBy("route").agg(blocks().alias("shared"))
     plan = kept(own.join(mixed, "route", "left").select("route", "root", "of", F.when(F.col("of").isNull(), F.col("shared")).otherwise(F.col("own")).alias("blocks")))
     block = F.pmod(F.xxhash64(F.when(F.col("of").isNull(), F.col("root")).otherwise(F.col("node")), F.lit(7)), F.col("blocks")).cast("int")
-    placed = sized.join(plan, ["route", "root"]).select("route", "node", "root", F.struct("of", block.alias("k")).alias("block"))
+    placed = crowded.join(plan, ["route", "root"]).select("route", "node", "root", F.struct("of", block.alias("k")).alias("block"))
     listed = plan.select("route", "of", "blocks").distinct().select("route", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select("route", F.struct("of", "k").alias("block"))
     met = listed.select("route", F.col("block").alias("x")).join(listed.select("route", F.col("block").alias("y")), "route").filter("x <= y AND (x.of IS NULL OR y.of IS NULL OR x.of <> y.of)")
     met = met.select("route", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
@@ -278,7 +300,7 @@ def links(docs: DataFrame, nodes: DataFrame, known: DataFrame, id_col: str, text
     """a, b: the known links, and verified ones whose components are those of all verified pairs that a route brings together."""
     members = kept(routed(nodes))
     held = kept(shingle_lists(members.select("node").distinct(), docs, nodes, id_col, text_col))
-    first = kept(known.unionByName(verified(to_hubs(members), held)).distinct())
+    first = kept(known.unionByName(verified(to_hubs(members), held, HUBS)).distinct())
     with_root = rooted(members, first)
     several = with_root.groupBy("route").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("route")
     left = kept(with_root.join(several, "route"))
@@ -286,7 +308,7 @@ def links(docs: DataFrame, nodes: DataFrame, known: DataFrame, id_col: str, text
     other = few.select("route", F.col("node").alias("b"), F.col("root").alias("root_b"))
     pairs = few.join(other, "route").filter("node < b AND root <> root_b").select(F.col("node").alias("a"), "b").distinct()
     more = verified(pairs, held)
-    crowded = left.filter(F.col("n") > JOINED).select("route", "node", "root")
+    crowded = left.filter(F.col("n") > JOINED).select("route", "node", "size", "root")
     if not crowded.isEmpty():
         more = more.unionByName(across(crowded, held))
     return first.unionByName(more)
@@ -299,7 +321,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = kept(prints(docs, id_col, text_col))
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep")
-    nodes = kept(found.groupBy("node").agg(rep, F.min("routes").alias("routes")))
+    nodes = kept(found.groupBy("node").agg(rep, F.max("size").alias("size"), F.min("routes").alias("routes")))
     held = kept(found.select("fp", "node").distinct())
     hubs = held.groupBy("fp").agg(F.min("node").alias("hub"))
     same = held.join(hubs, "fp").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
