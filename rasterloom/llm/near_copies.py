@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import Texts, chunks, id_and_text, kept, lean, mix, unused
+from .shared import Texts, chunks, id_and_text, kept, lean, mix, saved, unused
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Least hashes that make a key, and keys of a text.
@@ -298,12 +298,12 @@ def rooted(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """a, b: the known links, and verified ones whose components are those of all verified pairs that a route brings together."""
-    members = kept(routed(nodes))
+    members = saved(routed(nodes), "members")[0]  # names repeat from route to route, which Parquet stores once
     held = kept(shingle_lists(members.select("node").distinct(), docs, nodes, id_col, text_col))
     first = kept(known.unionByName(verified(to_hubs(members), held, HUBS)).distinct())
     with_root = rooted(members, first)
     several = with_root.groupBy("route").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("route")
-    left = kept(with_root.join(several, "route"))
+    left = saved(with_root.join(several, "route"), "left")[0]
     few = left.filter(F.col("n") <= JOINED).select("route", "node", "root")
     other = few.select("route", F.col("node").alias("b"), F.col("root").alias("root_b"))
     pairs = few.join(other, "route").filter("node < b AND root <> root_b").select(F.col("node").alias("a"), "b").distinct()
