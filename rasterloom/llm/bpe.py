@@ -31,10 +31,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import id_and_text, lean
+from .shared import HELD, id_and_text, lean
 
 #: Words whose encoding a worker keeps, in each of two generations.
 CACHED_WORDS = 100_000
+#: Steps, and pairs of tokens, that an automaton keeps beside its tables.
+CACHED_STEPS = 500_000
 
 #: What the splitter's pattern means by white space.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -169,9 +171,9 @@ class Automaton:
                 raise ValueError("a letter has no token")
             out.append(t)
             i -= length[t]
-        if len(known) > 2_000_000:
+        if len(known) > CACHED_STEPS:
             known.clear()
-        if len(jump) > 2_000_000:
+        if len(jump) > len(self.step) + CACHED_STEPS:
             self.jump = dict(self.step)
         out.reverse()
         return out
@@ -274,7 +276,7 @@ class Codec:
         return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Codec] = HELD.setdefault("bpe", {})
 
 
 def codec(text: str) -> Codec:
@@ -296,7 +298,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(sent.value)
-        for b in lean(batches):
+        for b in lean(batches, "bpe"):
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
@@ -311,7 +313,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(sent.value)
-        for b in lean(batches):
+        for b in lean(batches, "bpe"):
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.decode(i or []) for i in part.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
@@ -326,7 +328,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(sent.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in lean(batches):
+        for b in lean(batches, "bpe"):
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 found = []

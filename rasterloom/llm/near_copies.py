@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import Texts, chunks, id_and_text, kept, lean, mix, saved, unused
+from .shared import SMALL_CHUNK, Texts, chunks, id_and_text, kept, lean, mix, saved, unused
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Least hashes that make a key, and keys of a text.
@@ -111,7 +111,7 @@ def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in lean(batches):
             narrow = simhash.fingerprints_of(b.column(2))
-            for row, end, texts in chunks(b.column(2), 1 << 20):
+            for row, end, texts in chunks(b.column(2), SMALL_CHUNK):
                 part = b.slice(row, end - row)
                 low, words, hashes, bounds = shingles(texts)
                 columns = [part.column(0), part.column(1), pa.array(narrow[row:end].view(np.int64)), pa.array(names(low, words).view(np.int64)), pa.array(np.diff(bounds)), pa.array(keys(hashes, bounds), pa.list_(pa.int64()))]
@@ -201,7 +201,7 @@ def shingle_lists(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, id_col:
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in lean(batches):
-            for row, end, t in chunks(b.column(1), 1 << 20):
+            for row, end, t in chunks(b.column(1), SMALL_CHUNK):
                 _, _, hashes, bounds = shingles(t)
                 each = [hashes[x:y].view(np.int64) for x, y in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), pa.array(each, pa.list_(pa.int64()))], names=["node", "s"])

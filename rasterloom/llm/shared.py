@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels hold at a time; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
+#: The same for kernels that make many arrays of words: they take some 60 times a chunk's bytes at their peak.
+SMALL_CHUNK = 1 << 18
+#: What operators keep in a worker from task to task, by operator.
+HELD: dict[str, dict] = {}
 #: Bytes of a span beyond which it is hashed on its own.
 LONG = 128
 
@@ -115,8 +119,16 @@ def release() -> None:
         pass  # another C library
 
 
-def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; what earlier ones took is released before the next."""
+def hand_back(but: str = "") -> None:
+    """Empties what operators keep in this worker, but for one of them: a worker serves one stage after another."""
+    for name, kept_there in HELD.items():
+        if name != but:
+            kept_there.clear()
+
+
+def lean(batches: Iterator[pa.RecordBatch], of: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches; what earlier ones took is released before the next, and before the first what operators other than `of` keep."""
+    hand_back(of)
     for b in batches:
         yield b
         del b

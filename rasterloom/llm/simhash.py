@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, drop, id_and_text, kept, lean, saved
+from .shared import SMALL_CHUNK, chunks, drop, id_and_text, kept, lean, saved
 
 RADIUS = 3
 SEGMENTS = 6
@@ -78,7 +78,7 @@ def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def fingerprints_of(column: pa.Array, shingle: int = 3) -> np.ndarray:
     found = []
     digest = xxhash.xxh64_intdigest
-    for _, _, texts in chunks(column, 1 << 20):
+    for _, _, texts in chunks(column, SMALL_CHUNK):
         texts.data = LOWER[texts.data]
         starts, ends = texts.words()
         # single spaces between words: only spans with other white space are joined anew

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Texts, chunks, fold, id_and_text, kept, lean
+from .shared import SMALL_CHUNK, Texts, chunks, fold, hand_back, id_and_text, kept, lean, release
 
 TRAIN_ROWS = 40_000
 #: Buckets of the learned lexicon, and the bytes of a beginning.
@@ -278,7 +278,7 @@ def _lexicon(chosen: DataFrame) -> dict[int, np.ndarray]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for b in lean(batches):
             toxic, folds = b.column(1).to_numpy(), b.column(2).to_numpy()
-            for row, end, texts in chunks(b.column(0)):
+            for row, end, texts in chunks(b.column(0), SMALL_CHUNK):
                 low = Texts(_LOWER[texts.data], texts.bounds)
                 starts, ends = texts.runs(LETTER[texts.data])
                 doc = texts.document(starts)
@@ -314,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> B
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in lean(batches):
             folds = b.column(3).to_numpy()
-            for row, end, texts in chunks(b.column(1)):
+            for row, end, texts in chunks(b.column(1), SMALL_CHUNK):
                 part, own = b.slice(row, end - row), folds[row:end]
                 x = np.zeros((texts.n, len(NAMES)))
                 for f in set(own.tolist()):
@@ -337,14 +337,21 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> B
     return model
 
 
+def scores(model: Boosted, column: pa.Array) -> np.ndarray:
+    parts = [np.clip(model.probability(features(t, model.levels)), 0, 1) for _, _, t in chunks(column, SMALL_CHUNK)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def scorer(model: Boosted):
     """An Arrow function of a text column, for select()."""
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("double")
     def toxic_score(column: pa.Array) -> pa.Array:
-        parts = [np.clip(model.probability(features(t, model.levels)), 0, 1) for _, _, t in chunks(column)]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+        hand_back()
+        found = pa.array(scores(model, column))
+        release()
+        return found
 
     return toxic_score
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 from re import _constants as c
 from re import _parser as parser
 
@@ -55,3 +56,34 @@ def test_personal_data_passes_the_gate(spark):
     texts = ["call +1234567 now", "call +12345678 now", "call +123)4567 now", "write a@-x.com now"]
     got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").select("doc_id", "text").collect()}
     assert all(t.split()[1] not in got[d] for d, t in enumerate(texts))
+
+
+def test_a_worker_hands_back_what_another_stage_kept():
+    import pyarrow as pa
+    import public_tokenizers
+
+    from rasterloom.llm import bpe, shared
+
+    text = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"])], names=["text"])
+    bpe.codec(text)
+    assert len(list(shared.lean(iter([batch]), "bpe"))) == 1 and bpe._CODECS
+    assert len(list(shared.lean(iter([batch])))) == 1 and not bpe._CODECS
+
+
+def test_features_take_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from rasterloom.llm import shared, simhash, toxicity
+
+    column = pa.array(["Some plain words of a text, you know, of no interest at all. " * 30] * 2000)
+    levels = np.zeros(1 << toxicity.LEARNED_BITS, np.int8)
+    for f in (lambda c: toxicity.scores(toxicity.Boosted(levels=levels), c), simhash.fingerprints_of):
+        tracemalloc.start()
+        f(column)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 120 * shared.SMALL_CHUNK
