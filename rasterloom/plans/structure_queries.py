@@ -292,12 +292,23 @@ def e06(spark: SparkSession, sf: str) -> DataFrame:
     return _longs(out, ["vec_id", "y", "x"], {"rank": F.col("rank") + 1, "vector": F.col("k.v"), "weight": -F.col("k.neg")})
 
 
-def longest_matches(s: str) -> list[tuple[int, int]]:
-    """(length, distance) of the longest earlier match of each place from the second on; without any, (0, 1)."""
-    out, n, source = [], 0, 0
-    for i in range(1, len(s)):
+#: Places that matches are searched for at a time; the length from which on pairs of places are compared, and how many pairs for each place of a text.
+MATCH_PLACES = 1 << 17
+LONG_MATCH = 16
+PAIRS = 4
+#: Earlier places that a place is compared with where a text has more pairs; with still more it is followed character by character.
+CHAIN = 256
+
+
+def longest_matches(s: str, places: list[int] | None = None, known: list[int] | None = None, least: int = 0) -> list[tuple[int, int]]:
+    """(length, distance) of the longest earlier match of each place from the second on; without any, (0, 1).
+
+    With places, in order, of those only; a match of the least length starts at each one's known place.
+    """
+    out, n, source, last = [], 0, 0, -1
+    for k, i in enumerate(range(1, len(s)) if places is None else places):
         # what matched at the place before matches here too, less its first character
-        n, source = max(n - 1, 0), source + 1
+        n, source = (n - 1, source + 1) if i == last + 1 and n > least else (least, known[k] if known else 0)
         while i + n < len(s):
             if s[source + n] != s[i + n] or source >= i:
                 other = s.find(s[i : i + n + 1], 0, i + n)
@@ -307,18 +318,144 @@ def longest_matches(s: str) -> list[tuple[int, int]]:
             n += 1
         source = s.rfind(s[i : i + n], 0, i + n - 1)
         out.append((n, i - source))
+        last = i
     return out
 
 
+def _along_chains(text: str, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and distances at the places, in order, of a text, where LONG_MATCH characters stand earlier too: each place is compared with its chain of such earlier ones."""
+    n = len(text)
+    bits = np.uint64(n.bit_length())
+    low, every = (np.uint64(1) << bits) - np.uint64(1), np.arange(n, dtype=np.uint64)
+    names = np.unique(np.frombuffer(text.encode("utf-32-le"), "<u4"), return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+    #: Of 1, 2, 4, ... characters from each place on a number that only equal ones share; none past the end.
+    levels, before = [], np.full(n, -1)
+    while True:
+        levels.append(np.concatenate([names, [np.uint64(0)]]).astype(np.int32))
+        size = 1 << len(levels) - 1
+        after = np.zeros(n, np.uint64)
+        after[: max(n - size, 0)] = names[size:]
+        key = (names << bits | after) << bits | every
+        key.sort()
+        at, new = (key & low).view(np.int64), np.ones(n, bool)
+        new[1:] = (key[1:] ^ key[:-1]) >> bits != 0
+        if 2 * size == LONG_MATCH:
+            before[at[1:][~new[1:]]] = at[:-1][~new[1:]]
+        if new.all():
+            break
+        names = np.empty(n, np.uint64)
+        names[at] = np.cumsum(new).view(np.uint64)
+    length, distance = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    open_, source = np.arange(len(places)), before[places]
+    for _ in range(CHAIN):
+        i, j = places[open_], source[open_]
+        # sentinels differ past the end: no number is 0 where the earlier place is
+        l_ = np.zeros(len(i), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            l_ += (levels[k][i + l_] == levels[k][j + l_]).astype(np.int64) << k
+        better = l_ > length[open_]
+        length[open_[better]], distance[open_[better]] = l_[better], (i - j)[better]
+        source = before[source]
+        open_ = open_[source[open_] >= 0]
+        if not len(open_):
+            return length, distance
+    found = longest_matches(text, places[open_].tolist(), before[places[open_]].tolist(), LONG_MATCH)
+    length[open_], distance[open_] = np.array(found, np.int64).T
+    return length, distance
+
+
+def matches_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and distances as longest_matches() gives them, of all places of the texts, the first ones too.
+
+    Places are grouped by their text and next 1, 2, 3, ... characters, and what stands alone drops out; a place's match is
+    the one before it in the last group that has one. Pairs that agree in LONG_MATCH characters are as long as pairs follow
+    in turn at their distance, and one place's are compared.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    total = int(bounds[-1])
+    length, distance = np.zeros(total, np.int64), np.ones(total, np.int64)
+    bits = np.uint64(max(total, 1).bit_length())
+    if 2 * int(bits) + 21 > 64:
+        for t, at in zip(texts, bounds.tolist()):
+            if len(t) > 1:
+                length[at + 1 : at + len(t)], distance[at + 1 : at + len(t)] = np.array(longest_matches(t), np.int64).T
+        return length, distance
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64) << bits
+    end = np.repeat(bounds[1:], sizes)
+    low, wide = (np.uint64(1) << bits) - np.uint64(1), bits + np.uint64(21)
+    at, group = np.arange(total), np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
+    for n in range(1, LONG_MATCH + 1):
+        key = group << wide | code[at + (n - 1)] | at.view(np.uint64)
+        key.sort()
+        at, of = (key & low).view(np.int64), key >> bits
+        order, same = at, of[1:] == of[:-1]
+        later = np.flatnonzero(same)
+        to = at[later + 1]
+        length[to], distance[to] = n, to - at[later]
+        shared = np.zeros(len(at), bool)
+        shared[1:] = same
+        shared[:-1] |= same
+        shared &= at + n < end[at]
+        # a group's number is that of its first place
+        first = np.ones(len(at), bool)
+        first[1:] = ~same
+        group = np.cumsum(first)[shared].view(np.uint64)
+        at = at[shared]
+        if not len(at):
+            break
+    long = np.flatnonzero(length == LONG_MATCH)
+    if not len(long):
+        return length, distance
+    # earlier places with the same characters of a long place: those before it in its group
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
+    rank = np.arange(len(order)) - begin
+    text = np.searchsorted(bounds, order, side="right") - 1
+    many = np.bincount(text, rank, minlength=len(texts)) > PAIRS * sizes
+    few = np.flatnonzero((rank > 0) & ~many[text])
+    times = rank[few]
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    i = np.repeat(order[few], times)
+    d = i - order[np.repeat(begin[few], times) + nth]
+    by = np.lexsort((i, d))
+    i, d = i[by], d[by]
+    # at a distance, what follows in turn is a match one longer
+    stop = np.ones(len(i), bool)
+    stop[:-1] = (np.diff(d) != 0) | (np.diff(i) != 1)
+    last = np.flatnonzero(stop)
+    n = LONG_MATCH + last[np.searchsorted(last, np.arange(len(i)))] - np.arange(len(i))
+    by = np.lexsort((d, -n, i))
+    best = by[np.concatenate([[True], np.diff(i[by]) != 0])] if len(by) else by
+    length[i[best]], distance[i[best]] = n[best], d[best]
+    for k in np.flatnonzero(many).tolist():
+        here = long[slice(*np.searchsorted(long, bounds[k : k + 2]))]
+        length[here], distance[here] = _along_chains(texts[k], here - bounds[k])
+    return length, distance
+
+
 @register("e07_longest_match")
 def e07(spark: SparkSession, sf: str) -> DataFrame:
     """For each place of a text the longest earlier match, the nearest of equal ones; matches may overlap their source."""
 
+    def batch(ids: list, texts: list[str]) -> pa.RecordBatch:
+        sizes = np.array([len(t) for t in texts], np.int64)
+        place = np.arange(1, sizes.sum() + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        later = place > 1
+        of = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(texts)), sizes)[later]))
+        return pa.RecordBatch.from_arrays([of, *(pa.array(c[later]) for c in (place, *matches_of(texts)))], names=["doc_id", "place", "len", "distance"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = np.array(longest_matches(text), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(np.arange(2, len(found) + 2)), *map(pa.array, found.T.copy())], names=["doc_id", "place", "len", "distance"])
+            ids, texts, n = [], [], 0
+            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ids.append(i)
+                texts.append(text.as_py())
+                n += len(texts[-1])
+                if n >= MATCH_PLACES:
+                    yield batch(ids, texts)
+                    ids, texts, n = [], [], 0
+            if texts:
+                yield batch(ids, texts)
 
     docs = grids.table(spark, sf, "documents").filter(F.length("text") > 1).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id long, place long, len long, distance long")

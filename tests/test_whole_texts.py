@@ -1,5 +1,6 @@
 """Queries over whole texts: against their SQL, brute force or the text itself."""
 
+import random
 from collections import Counter
 
 import duckdb
@@ -82,3 +83,21 @@ def test_longest_match(spark, tmp_path):
 def test_metadata_payload_is_whole(spark, tmp_path):
     got = {r.doc_id: r.payload for r in QUERIES["a12_metadata_payload"](spark, write(spark, tmp_path / "t", LONG)).collect()}
     assert got == {d: (t or "").encode().hex().upper() for d, t in enumerate(LONG)}
+
+
+def test_matches_of_many_texts_at_once(monkeypatch):
+    from rasterloom.plans import structure_queries as q
+
+    plain = q.longest_matches
+    followed = []
+    monkeypatch.setattr(q, "longest_matches", lambda t, places=None, *rest: followed.extend(places or t) or plain(t, places, *rest))
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh é\U0001f600") for _ in range(300))
+    texts = ["", "x", passage, passage + "y" + passage[20:], (passage + "z") * 12 + passage[:150], "".join(rng.choice("ab") for _ in range(400))]
+    length, distance = q.matches_of(texts)
+    want = [m for t in texts if t for m in [(0, 1), *plain(t)]]
+    assert list(zip(length.tolist(), distance.tolist())) == want
+    assert not followed  # no place is searched for by itself in such texts
+    # chains longer than what is compared at once
+    length, distance = q.matches_of(["a" * 1500])
+    assert length[1:].tolist() == list(range(1499, 0, -1)) and distance.tolist() == [1] * 1500 and followed
