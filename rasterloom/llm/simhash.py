@@ -130,8 +130,11 @@ def _mask(bits: list[int]) -> int:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """The rows whose route others share, with n, its size."""
-    return rows.join(rows.groupBy("route").agg(F.count("*").alias("n")).filter("n > 1"), "route")
+    """The rows whose route others share, with n, its size.
+
+    Sides are merged: what is exploded is taken for as small as it was before, and would be broadcast through the driver.
+    """
+    return rows.hint("merge").join(rows.groupBy("route").agg(F.count("*").alias("n")).filter("n > 1"), "route")
 
 
 def _signed(x: int) -> int:
@@ -187,7 +190,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -
     other = few.select("route", F.col("fp").alias("fp2"), F.col("at").alias("at2"))
     apart = F.aggregate(F.zip_with("at", "at2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: F.greatest(s, x))
     pairs = (
-        few.join(other, "route")
+        few.hint("merge").join(other, "route")  # as in _sized
         .filter(F.col("fp") < F.col("fp2"))
         .filter(apart <= radius)
         .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)

@@ -181,3 +181,17 @@ def test_counts_don_t_rest_on_hashes(monkeypatch):
         ((_, _, t),) = chunks(pa.array([text]))
         got = quality.surface(t, *t.words())
         assert got["n_dup_lines"].tolist() == [1] and got["n_repeat_words"].tolist() == [8], got
+
+
+def test_exploded_routes_are_not_broadcast(spark):
+    """Spark takes what is exploded for as small as before, so a join would send it through the driver."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.llm import simhash
+    from rasterloom.llm.shared import kept
+
+    few = kept(spark.range(2000).select((F.col("id") % 700).alias("fp")))
+    rows = few.select("fp", F.posexplode(F.array(*[F.col("fp") % (100 + k) for k in range(20)])).alias("choice", "route"))
+    sized = simhash._sized(rows)
+    assert sized.count() == 40_000
+    assert "Broadcast" not in sized._jdf.queryExecution().executedPlan().toString()
